@@ -295,47 +295,55 @@ def vote_columns(pages: DataFrame, drop_minority: bool = True) -> DataFrame:
     """Adds `words`: one struct per column; newline columns carry only their text."""
     keep = "nl or seen * 2 >= size(rd) or gap is not null" if drop_minority else "true"
     keep = keep.replace("nl", "c.nl").replace("seen", "c.seen").replace("gap is", "c.gap is")
+    # `one` marks columns where every reader wrote the same token: most of a page, and they skip the tally
     real = pages.selectExpr(
         "* except (cols)",
-        f"""filter(transform(cols, c -> named_struct(
-              'nl', c.sub = 1 and c.cells[0].tok = '\n',
-              'gap', c.gap, 'cells', c.cells,
-              'real', filter(c.cells, x -> x.tok is not null and x.tok <> '\n' and x.key <> '[?]'),
-              'seen', size(filter(c.cells, x -> x.tok is not null and x.tok <> '\n')))), c -> {keep}) as cols""",
+        """transform(cols, c -> named_struct('nl', c.sub = 1 and c.cells[0].tok = '\n', 'gap', c.gap, 'cells', c.cells,
+              'one', c.gap is null and c.cells[0].key <> '[?]' and forall(c.cells, x -> x.tok <=> c.cells[0].tok))) as cols""",
+    ).selectExpr(
+        "* except (cols)",
+        f"""filter(transform(cols, c -> named_struct('nl', c.nl, 'gap', c.gap, 'cells', c.cells, 'one', c.one,
+              'real', case when c.nl or c.one then null
+                 else filter(c.cells, x -> x.tok is not null and x.tok <> '\n' and x.key <> '[?]') end,
+              'seen', case when c.nl or c.one then size(c.cells)
+                 else size(filter(c.cells, x -> x.tok is not null and x.tok <> '\n')) end)), c -> {keep}) as cols""",
     )
     grouped = real.selectExpr(
         "* except (cols)",
-        f"""transform(cols, c -> named_struct('nl', c.nl, 'gap', c.gap, 'cells', c.cells,
-              'number', exists(c.real, x -> x.tok rlike r'{X.DIGIT}'),
-              'tally', transform(array_distinct(c.real.key), (q, i) -> named_struct(
+        f"""transform(cols, c -> named_struct('nl', c.nl, 'gap', c.gap, 'cells', c.cells, 'one', c.one,
+              'number', case when c.one then c.cells[0].tok rlike r'{X.DIGIT}' else exists(c.real, x -> x.tok rlike r'{X.DIGIT}') end,
+              'tally', case when c.real is not null then transform(array_distinct(c.real.key), (q, i) -> named_struct(
                  'votes', size(filter(c.real, x -> x.key = q)), 'first', -i, 'key', q,
-                 'same', filter(c.real, x -> x.key = q).tok)))) as cols""",
+                 'same', filter(c.real, x -> x.key = q).tok)) end)) as cols""",
     )
     spelled = grouped.selectExpr(
         "* except (cols)",
-        f"""transform(cols, c -> named_struct('nl', c.nl, 'gap', c.gap, 'cells', c.cells, 'number', c.number,
-              'tally', transform(c.tally, t -> named_struct('votes', t.votes, 'first', t.first, 'key', t.key,
-                 'same', t.same, 'surface', {_surface('t.same')})))) as cols""",
+        f"""transform(cols, c -> named_struct('nl', c.nl, 'gap', c.gap, 'cells', c.cells, 'one', c.one, 'number', c.number,
+              'plain', case when c.one or c.gap is not null then {_surface('array(coalesce(c.gap.text, c.cells[0].tok))')} end,
+              'tally', case when c.tally is not null then transform(c.tally, t -> named_struct('votes', t.votes,
+                 'first', t.first, 'key', t.key, 'same', t.same, 'surface', {_surface('t.same')})) end)) as cols""",
     )
     won = spelled.selectExpr(
         "* except (cols)",
-        """transform(cols, c -> named_struct('nl', c.nl, 'gap', c.gap, 'cells', c.cells, 'number', c.number,
-              'tally', c.tally, 'best', array_max(c.tally))) as cols""",
+        """transform(cols, c -> named_struct('nl', c.nl, 'gap', c.gap, 'cells', c.cells, 'one', c.one, 'number', c.number,
+              'plain', c.plain, 'tally', c.tally, 'best', array_max(c.tally))) as cols""",
     )
-    plain = _surface("array(c.gap.text)")
     words = won.selectExpr(
         "* except (cols)",
-        f"""transform(cols, c -> named_struct(
-          'text', case when c.nl then '\n' when c.gap is not null then {plain}
+        """transform(cols, c -> named_struct(
+          'text', case when c.nl then '\n' when c.plain is not null then c.plain
                        when c.best is null then '[?]' else c.best.surface end,
-          'alternatives', case when c.nl then null when c.gap is not null or c.best is null then cast(array() as array<string>)
+          'alternatives', case when c.nl then null when c.plain is not null or c.best is null then cast(array() as array<string>)
                else array_sort(array_distinct(flatten(transform(filter(c.tally, t -> t.key <> c.best.key), t -> t.same)))) end,
-          'votes', case when c.nl then null when c.gap is not null then array(named_struct('text', {plain}, 'votes', c.gap.votes))
+          'votes', case when c.nl then null
+               when c.plain is not null then array(named_struct('text', c.plain, 'votes', coalesce(c.gap.votes, size(c.cells))))
                else transform(c.tally, t -> named_struct('text', t.surface, 'votes', t.votes)) end,
           'readers', case when not c.nl then size(rd) end,
-          'by_model', case when not c.nl then transform(rd, r -> named_struct('reader', r.reader, 'text',
-               get(filter(c.cells, x -> x.ord = r.ord and x.tok <> '\n').tok, 0))) end,
-          'top', case when not c.nl then coalesce(c.gap.votes, c.best.votes, 0) end,
+          'by_model', case when c.nl then null
+               when c.one then transform(rd, r -> named_struct('reader', r.reader, 'text', c.cells[0].tok))
+               else transform(rd, r -> named_struct('reader', r.reader, 'text',
+                   get(filter(c.cells, x -> x.ord = r.ord and x.tok <> '\n').tok, 0))) end,
+          'top', case when not c.nl then coalesce(c.gap.votes, c.best.votes, if(c.one, size(c.cells), 0)) end,
           'number', case when not c.nl then coalesce(c.gap.number, c.number) end)) as words""",
     )
     return words
