@@ -397,6 +397,7 @@ def page_rollup(words: DataFrame) -> DataFrame:
             "page_id",
             X.detok(F.col("w.text")).alias("text"),
             X.detok(F.transform("w", lambda x: X.mark(x.text, x.flagged))).alias("marked"),
+            X.join_words(F.transform("w", lambda x: X.mark(x.text, x.flagged))).alias("display"),
             "flagged",
             "to_check",
         )

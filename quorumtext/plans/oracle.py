@@ -30,12 +30,13 @@ COUNTS = f"""{CELLS}, cnt AS (
  FROM cells WHERE tok <> chr(10) AND key <> '[?]' GROUP BY ALL),
 best AS (
  SELECT page_id, pos, arg_max(key, v * 100 - fk) AS bkey, arg_max(surface, v * 100 - fk) AS surface, max(v) AS top,
-  string_agg(surface || ':' || v, ',' ORDER BY fk) AS votes
+  string_agg(surface || ':' || v, ',' ORDER BY fk) AS votes, list(v ORDER BY v DESC) AS vs
  FROM cnt GROUP BY ALL),
 other AS (
  SELECT page_id, pos, bool_or(regexp_matches(c, '[0-9]')) FILTER (WHERE c <> '[?]') AS number,
   coalesce(string_agg(DISTINCT c, ',' ORDER BY c) FILTER (WHERE cells.key <> bkey AND cells.key <> '[?]'), '') AS alternatives,
-  string_agg(c, ',' ORDER BY k) AS by_model
+  list_sort(coalesce(list(DISTINCT c) FILTER (WHERE cells.key <> bkey AND cells.key <> '[?]'), [])) AS alts,
+  list(c ORDER BY k) AS models, string_agg(c, ',' ORDER BY k) AS by_model
  FROM cells LEFT JOIN best USING (page_id, pos) WHERE tok <> chr(10) GROUP BY ALL)"""
 
 # words of the vote over the aligned readings, rule two_thirds with strict digits
@@ -45,5 +46,10 @@ VOTED = f"""{COUNTS}, voted AS (
   CASE WHEN t.tok <> chr(10) THEN coalesce(b.top, 0) END AS top,
   CASE WHEN t.tok <> chr(10) THEN coalesce(b.top, 0) / 5.0 END AS confidence,
   t.tok <> chr(10) AND (coalesce(b.top, 0) * 3 < 10 OR (coalesce(o.number, false) AND b.top < 5)) AS flagged,
-  o.alternatives, coalesce(b.votes, '') AS votes, o.by_model, coalesce(o.number, false) AS number, b.bkey
+  o.alternatives, o.alts, o.models, b.vs, coalesce(b.votes, '') AS votes, o.by_model, coalesce(o.number, false) AS number, b.bkey
  FROM tok t LEFT JOIN best b USING (page_id, pos) LEFT JOIN other o USING (page_id, pos))"""
+
+
+def ascii_letters(c: str) -> str:
+    """One ASCII letter per accented letter of the (lower-case) keys, so byte and character distances agree."""
+    return f"translate({c}, 'éóèñçüêäößíàâîôûùáúëïœæ', 'ABCDEFGHIJKLMNOPQRSTUVW')"
