@@ -133,9 +133,14 @@ def _sparse_totals(cutoff: float) -> list[int]:
 
 def _blocks(c: Column, cutoff: float) -> Column:
     n = F.length(c)
-    pairs = F.when(
-        n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(F.lit("b"), F.substring(c, i, F.lit(2))))
+    grams = F.when(
+        n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(c, i, F.lit(2)))
     ).otherwise(F.array().cast("array<string>"))
+    # occurrences are numbered, so equal blocks count the multiset intersection of the letter pairs
+    pairs = F.transform(
+        grams,
+        lambda g, i: F.concat_ws("|", F.lit("b"), F.size(F.filter(F.slice(grams, F.lit(1), i), lambda o: o == g)).cast("string"), g),
+    )
     letters = F.filter(F.split(c, ""), lambda ch: ch != "")
     totals = F.filter(
         F.array(*[F.lit(t) for t in _sparse_totals(cutoff)]),
@@ -152,7 +157,10 @@ def fuzzy_pairs(words: DataFrame, entries: DataFrame, cutoff: float, word: str =
     es = entries.select(entry).where(F.length(entry) > 0).distinct().select(entry, F.explode(_blocks(e, cutoff)).alias("block"))
     total = F.length(w) + F.length(e)
     fits = 2 * F.least(F.length(w), F.length(e)) >= cutoff * total - 1e-9
-    met = ws.join(es, "block").where(fits).select(word, entry).distinct()
+    # M matched letters in B blocks hold M - B >= 3M - T - 1 common letter pairs
+    needed = F.greatest(F.lit(1), 3 * F.ceil(cutoff * total / 2 - 1e-9) - total - 1)
+    met = ws.join(es, "block").where(fits).groupBy(word, entry).agg(F.count("*").alias("common")).where(F.col("common") >= needed)
+    met = met.select(word, entry)
     likely = met.where(2 * _common_letters(w, e) >= cutoff * total - 1e-9)
     return likely.withColumn("ratio", seq_ratio(e, w)).where(F.col("ratio") >= cutoff)
 

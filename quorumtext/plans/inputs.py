@@ -32,7 +32,7 @@ def slip(tok: Column, pos: Column, page: Column, reader: int) -> Column:
     """What reader 1..5 writes for a token."""
     h = (pos * 31 + page * 17) % 47
     lost = (h == 36) if reader % 2 == 0 else h.isin(33, 36)
-    swap = (h % 3 == 0) & (F.shiftright(h, reader - 1).bitwiseAND(F.lit(1)) == 1)
+    swap = (h % 6 == 0) & (F.shiftright(h, reader - 1).bitwiseAND(F.lit(1)) == 1)
     return (
         F.when(tok == X.NEWLINE, tok)
         .when(lost, X.UNREADABLE)
@@ -117,3 +117,14 @@ def noisy_readings(spark: SparkSession, sf: str) -> DataFrame:
         ]
     )
     return docs.select("page_id", F.explode_outer(per_reader).alias("r")).select("page_id", "r.*")
+
+
+def lexicon_words(spark: SparkSession, sf: str) -> DataFrame:
+    """(word, ord): the words of the benchmark passages, in order."""
+    b = table(spark, sf, "benchmark").select("item_id", F.posexplode(X.tokens(F.col("text"))).alias("pos", "word"))
+    return b.where(F.col("word") != X.NEWLINE).select("word", (F.col("item_id") * 1000000 + F.col("pos")).alias("ord"))
+
+
+def with_page_type(words: DataFrame) -> DataFrame:
+    kind = F.when(F.col("page_id") % 3 == 0, "legal").when(F.col("page_id") % 3 == 1, "note").otherwise("auto")
+    return words.withColumn("page_type", kind)

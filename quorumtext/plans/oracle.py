@@ -20,7 +20,7 @@ CELLS = f"""{TOK}, cells AS (
  SELECT page_id, pos, tok, k, c, {key('c')} AS key FROM (
   SELECT page_id, pos, tok, k,
    CASE WHEN tok = chr(10) THEN tok WHEN h = 36 OR (h = 33 AND k % 2 = 1) THEN '[?]'
-    WHEN h % 3 = 0 AND (h >> (k - 1)) & 1 = 1 THEN translate(tok, 'e1', CASE WHEN k % 2 = 1 THEN 'a7' ELSE 'o4' END)
+    WHEN h % 6 = 0 AND (h >> (k - 1)) & 1 = 1 THEN translate(tok, 'e1', CASE WHEN k % 2 = 1 THEN 'a7' ELSE 'o4' END)
     ELSE tok END AS c
   FROM (SELECT *, (pos * 31 + page_id * 17) % 47 AS h FROM tok), (SELECT unnest([1,2,3,4,5]) AS k)))"""
 
@@ -53,3 +53,32 @@ VOTED = f"""{COUNTS}, voted AS (
 def ascii_letters(c: str) -> str:
     """One ASCII letter per accented letter of the (lower-case) keys, so byte and character distances agree."""
     return f"translate({c}, 'éóèñçüêäößíàâîôûùáúëïœæ', 'ABCDEFGHIJKLMNOPQRSTUVW')"
+
+
+# words of the benchmark passages; keys of three characters or more, the last spelling of a key wins
+LEX = f"""lexw AS (SELECT item_id * 1000000 + pos AS ord, w AS word FROM (
+  SELECT item_id, unnest(range(len(a))) AS pos, unnest(a) AS w FROM (
+   SELECT item_id, string_split_regex(replace(trim(text, ' ' || chr(10)), chr(10), ' ' || chr(1) || ' '), ' +') AS a FROM benchmark)) WHERE w <> chr(1)),
+lex AS (SELECT key, arg_max(word, ord) AS word FROM (SELECT word, ord, {key('word')} AS key FROM lexw) WHERE length(key) >= 3 GROUP BY key),
+drugkeys AS (SELECT DISTINCT {key('word')} AS key FROM lexw WHERE length(word) > 3)"""
+
+STRICT_TOKENS = "^(mg|mcg|ml|g|gm|iu|units?|od|bd|bid|tds|tid|qid|qds|hs|sos|stat|prn|ac|pc|tab|cap|syp|inj)[.]?$"
+
+
+def strict(x: str, page: str) -> str:
+    t = f"trim({x}, '.,;:()[]')"
+    return (
+        f"(contains({x}, '?') OR {t} = '' OR regexp_matches({t}, '[0-9]') OR regexp_matches(lower({t}), '{STRICT_TOKENS}') "
+        f"OR ({page} = 'legal' AND left({t}, 1) = upper(left({t}, 1)) AND left({t}, 1) <> lower(left({t}, 1))))"
+    )
+
+
+PAGE_TYPE = "CASE page_id % 3 WHEN 0 THEN 'legal' WHEN 1 THEN 'note' ELSE 'auto' END"
+
+# voted words with the second flag level
+LIKELY = f"""{VOTED}, {LEX}, typed AS (SELECT *, {PAGE_TYPE} AS page_type, [text] || coalesce(alts, []) AS spellings FROM voted),
+spelled AS (SELECT page_id, idx, unnest(spellings) AS s, page_type FROM typed WHERE flagged),
+hard AS (SELECT page_id, idx, bool_or({strict('s', 'page_type')} OR k.key IS NOT NULL) AS hard
+  FROM spelled LEFT JOIN drugkeys k ON k.key = {key("trim(s, '.,;:()[]')")} GROUP BY ALL),
+words AS (SELECT t.*, coalesce(t.flagged AND len(vs) > 0 AND vs[1] / 5.0 >= 0.5 AND (len(vs) < 2 OR vs[2] < vs[1]) AND NOT hard, false) AS likely
+  FROM typed t LEFT JOIN hard h USING (page_id, idx))"""

@@ -172,7 +172,7 @@ PER_DAY_SQL = r"""CASE WHEN regexp_matches(f, '\b(\d+(?:\.\d+)?)\s*-\s*(\d+(?:\.
     "rx_parse",
     rf"""WITH {RX_SQL}, g AS (SELECT drug, strength, frequency, count(*) AS n FROM rx GROUP BY ALL),
     p AS (SELECT *, replace(replace(lower(frequency), '½', '0.5'), '1/2', '0.5') AS f,
-      regexp_extract(strength, '(?i)(\d+(?:\.\d+)?)\s*(mcg|µg|ug|mg|gm|grams?|g)?\b', 1)::DOUBLE AS value,
+      try_cast(regexp_extract(strength, '(?i)(\d+(?:\.\d+)?)\s*(mcg|µg|ug|mg|gm|grams?|g)?\b', 1) AS DOUBLE) AS value,
       nullif(lower(regexp_extract(strength, '(?i)(\d+(?:\.\d+)?)\s*(mcg|µg|ug|mg|gm|grams?|g)?\b', 2)), '') AS unit FROM g)
     SELECT drug, strength, frequency, n, trim(regexp_replace(lower(drug), '[^a-z\-]', '', 'g'), '-') AS drug_key, value, unit,
       round(value * CASE WHEN unit IN ('g', 'gm') THEN 1000.0 WHEN unit IN ('mcg', 'ug') THEN 0.001 ELSE 1.0 END, 6) AS mg,

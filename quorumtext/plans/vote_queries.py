@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorumtext.functions import text as X
+from quorumtext.operators import fuzzy, repair, similarity
+from quorumtext.operators import review as RV
 from quorumtext.operators import voting as V
 from quorumtext.plans import inputs as I
 from quorumtext.plans import oracle as O
@@ -37,3 +40,265 @@ def flat_words(words: DataFrame) -> DataFrame:
 def vote_positional(spark: SparkSession, sf: str) -> DataFrame:
     pages = V.page_frame(I.readings(spark, sf))
     return flat_words(V.explode_words(V.vote_columns(V.align_positional(pages))))
+
+
+def likely_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Voted words with the second flag level; long benchmark words stand in for the drug list."""
+    lex = I.lexicon_words(spark, sf).where(F.length("word") > 3)
+    keys = lex.select(X.key(F.col("word")).alias("key")).distinct()
+    return RV.mark_likely(I.with_page_type(I.voted(spark, sf)), F.col("page_type"), keys)
+
+
+@query(
+    "strict_words",
+    f"""WITH {O.TOK}, {O.LEX}, g AS (SELECT tok, count(*) AS n FROM tok GROUP BY tok),
+    k AS (SELECT g.*, d.key IS NOT NULL AS is_drug FROM g LEFT JOIN drugkeys d ON d.key = {O.key("trim(tok, '.,;:()[]')")})
+    SELECT tok, n, tok <> chr(10) AS is_word, regexp_matches(tok, '[0-9]') AS has_digit, is_drug,
+      {O.strict('tok', "'note'")} OR is_drug AS strict_note, {O.strict('tok', "'legal'")} OR is_drug AS strict_legal FROM k""",
+)
+def strict_words(spark: SparkSession, sf: str) -> DataFrame:
+    docs = I.documents(spark, sf, "text").select(F.explode(X.tokens(F.col("text"))).alias("tok"))
+    g = docs.groupBy("tok").agg(F.count("*").alias("n")).withColumn("key", X.key(RV.trim_marks(F.col("tok"))))
+    lex = I.lexicon_words(spark, sf).where(F.length("word") > 3)
+    drugs = lex.select(X.key(F.col("word")).alias("key")).distinct().withColumn("is_drug", F.lit(True))
+    tok, drug = F.col("tok"), F.col("is_drug")
+    return g.join(drugs, "key", "left").withColumn("is_drug", F.coalesce("is_drug", F.lit(False))).select(
+        "tok", "n", X.is_word(tok).alias("is_word"), X.has_digit(tok).alias("has_digit"), "is_drug",
+        (RV.strict(tok, F.lit("note")) | drug).alias("strict_note"), (RV.strict(tok, F.lit("legal")) | drug).alias("strict_legal"),
+    )
+
+
+@query(
+    "mark_likely",
+    f"WITH {O.LIKELY} SELECT page_id, idx, text, page_type, alternatives, likely FROM words WHERE flagged",
+)
+def mark_likely(spark: SparkSession, sf: str) -> DataFrame:
+    return likely_words(spark, sf).where("flagged").select(
+        "page_id", "idx", "text", "page_type", F.array_join("alternatives", ",").alias("alternatives"), "likely"
+    )
+
+
+# Words as later stages leave them: human answers, context picks and look-alikes by position.
+def staged_words(words: DataFrame) -> DataFrame:
+    n = F.col("idx") % 13
+    by = F.when(n == 1, "human").when(n.isin(2, 3), "context")
+    return (
+        words.withColumn("resolved_by", by)
+        .withColumn("evidence", F.when(n == 2, "guess").when(n == 3, "lexicon"))
+        .withColumn("lookalikes", F.when(n == 4, F.array(F.lit("other"))))
+    )
+
+
+STAGED = """staged AS (SELECT *, CASE WHEN idx % 13 = 1 THEN 'human' WHEN idx % 13 IN (2, 3) THEN 'context' END AS resolved_by,
+  CASE idx % 13 WHEN 2 THEN 'guess' WHEN 3 THEN 'lexicon' END AS evidence, idx % 13 = 4 AS alike FROM words)"""
+
+
+@query(
+    "word_status",
+    f"""WITH {O.LIKELY}, {STAGED} SELECT CASE WHEN resolved_by = 'human' THEN 'human' WHEN flagged AND alike THEN 'lookalike' WHEN flagged AND likely THEN 'likely'
+      WHEN flagged THEN 'flagged' WHEN resolved_by = 'context' AND evidence = 'guess' THEN 'guess' WHEN resolved_by = 'context' THEN 'context' ELSE 'agreed' END AS status,
+      CASE WHEN resolved_by = 'human' THEN 'human' WHEN resolved_by = 'context' AND evidence = 'guess' THEN 'guess' WHEN resolved_by = 'context' THEN 'context' ELSE 'agreed' END AS plain_status,
+      count(*) AS n FROM staged GROUP BY ALL""",
+)
+def word_status(spark: SparkSession, sf: str) -> DataFrame:
+    w = staged_words(likely_words(spark, sf)).withColumn("status", RV.word_status())
+    plain = RV.plain_words(w).withColumn("plain_status", RV.word_status())
+    return plain.groupBy("status", "plain_status").agg(F.count("*").alias("n"))
+
+
+@query(
+    "page_stats",
+    f"""WITH {O.LIKELY}, {STAGED} SELECT page_id, count(*) AS words, count(*) FILTER (WHERE flagged AND NOT likely) AS flagged, count(*) FILTER (WHERE flagged AND likely) AS likely,
+      count(*) FILTER (WHERE flagged) AS marked, count(*) FILTER (WHERE flagged AND alike) AS lookalikes, count(*) FILTER (WHERE resolved_by = 'human') AS human,
+      count(*) FILTER (WHERE resolved_by = 'context' AND NOT flagged) AS context, round(sum(coalesce(confidence, 0)), 4) AS agreement
+    FROM staged WHERE text <> chr(10) GROUP BY page_id""",
+)
+def page_stats(spark: SparkSession, sf: str) -> DataFrame:
+    stats = RV.page_stats(staged_words(likely_words(spark, sf)))
+    return stats.withColumn("agreement", F.round(F.col("agreement") * F.col("words"), 4))
+
+
+@query(
+    "review_queue",
+    f"""WITH {O.LIKELY}, {STAGED}, q AS (SELECT *, regexp_matches(text, '[0-9]') OR len(list_filter(alts, lambda a: regexp_matches(a, '[0-9]'))) > 0 AS num FROM staged WHERE flagged AND NOT likely)
+    SELECT page_id, idx, text, row_number() OVER (PARTITION BY page_id ORDER BY num DESC, alike DESC, confidence, idx) AS place FROM q""",
+)
+def review_queue(spark: SparkSession, sf: str) -> DataFrame:
+    return RV.review_queue(staged_words(likely_words(spark, sf))).select("page_id", "idx", "text", "place")
+
+
+@query(
+    "apply_answers",
+    f"""WITH {O.VOTED}, a AS (SELECT *, CASE WHEN flagged AND (page_id + idx) % 2 = 0 THEN truth END AS answer, CASE WHEN idx % 13 = 1 THEN 'human' END AS who FROM voted)
+    SELECT page_id, count(*) FILTER (WHERE answer IS NOT NULL AND who IS NULL) AS resolved, count(*) FILTER (WHERE flagged AND answer IS NULL) AS still_flagged,
+      count(*) FILTER (WHERE answer IS NOT NULL OR who IS NOT NULL) AS human, md5(string_agg(coalesce(answer, text), ' ' ORDER BY idx)) AS digest FROM a GROUP BY page_id""",
+)
+def apply_answers(spark: SparkSession, sf: str) -> DataFrame:
+    pages = I.voted_pages(spark, sf)
+    words = V.explode_words(pages).withColumn("resolved_by", F.when(F.col("idx") % 13 == 1, "human"))
+    truth = pages.select("page_id", F.posexplode_outer("truth").alias("idx", "answer"))
+    flags = words.where("flagged").select("page_id", "idx")
+    answers = truth.where((F.col("page_id") + F.col("idx")) % 2 == 0).join(flags, ["page_id", "idx"], "left_semi")
+    done = RV.apply_answers(words, answers)
+    ordered = F.sort_array(F.collect_list(F.struct("idx", "text")))
+    return done.groupBy("page_id").agg(
+        F.count_if("newly_resolved").alias("resolved"), F.count_if("flagged").alias("still_flagged"),
+        F.count_if(F.col("resolved_by") == "human").alias("human"), ordered.alias("w"),
+    ).select("page_id", "resolved", "still_flagged", "human", F.md5(F.array_join("w.text", " ")).alias("digest"))
+
+
+@query(
+    "review_candidates",
+    f"""WITH {O.VOTED}, c AS (SELECT page_id, idx, list_filter([text] || models || alts, lambda x: x <> '[?]' AND x <> '') AS items FROM voted WHERE flagged),
+    l AS (SELECT *, list_transform(items, lambda x: lower(x)) AS lows FROM c)
+    SELECT page_id, idx, array_to_string(list_filter(items, lambda x, i: list_position(lows, lower(x)) = i), ',') AS candidates FROM l""",
+)
+def review_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    w = I.voted(spark, sf).where("flagged")
+    return w.select("page_id", "idx", F.array_join(RV.candidates(), ",").alias("candidates"))
+
+
+@query(
+    "agreement",
+    f"""WITH {O.VOTED} SELECT len(list_filter(models, lambda m: lower(m) = lower(text))) AS votes, 5 AS of, flagged, count(*) AS n
+    FROM voted WHERE text <> chr(10) GROUP BY ALL""",
+)
+def agreement(spark: SparkSession, sf: str) -> DataFrame:
+    w = I.voted(spark, sf).where(F.col("text") != X.NEWLINE)
+    return w.groupBy(RV.agreement_votes().alias("votes"), F.size("by_model").alias("of"), "flagged").agg(F.count("*").alias("n"))
+
+
+@query(
+    "apply_picks",
+    f"""WITH {O.VOTED}, {O.LEX}, p AS (SELECT v.*, list_filter([text] || alts, lambda x: x <> '[?]') AS cands,
+        CASE WHEN page_id % 3 = 0 THEN 'nothing like it' WHEN page_id % 3 = 1 THEN truth ELSE alts[1] END AS pick, CASE WHEN idx % 5 = 0 THEN 'reread-guess' END AS ev FROM voted v WHERE flagged),
+    j AS (SELECT p.*, l.key IS NOT NULL AS backed, list_contains(cands, pick) AND (l.key IS NOT NULL OR ev IS NULL) AS take FROM p LEFT JOIN lex l ON l.key = {O.key('p.pick')})
+    SELECT page_id, idx, CASE WHEN take THEN pick ELSE text END AS text, CASE WHEN take THEN NOT backed ELSE true END AS flagged,
+      CASE WHEN take THEN 'context' END AS resolved_by, CASE WHEN take AND backed THEN 'lexicon' WHEN take THEN 'guess' ELSE ev END AS evidence FROM j""",
+)
+def apply_picks(spark: SparkSession, sf: str) -> DataFrame:
+    pages = I.voted_pages(spark, sf)
+    words = V.explode_words(pages).where("flagged").withColumn("evidence", F.when(F.col("idx") % 5 == 0, "reread-guess"))
+    truth = pages.select("page_id", F.posexplode_outer("truth").alias("idx", "truth"))
+    m = F.col("page_id") % 3
+    pick = F.when(m == 0, "nothing like it").when(m == 1, F.col("truth")).otherwise(F.get("alternatives", F.lit(0)))
+    picks = words.join(truth, ["page_id", "idx"]).select("page_id", "idx", pick.alias("pick"))
+    lex = fuzzy.lexicon(I.lexicon_words(spark, sf))
+    out = repair.apply_picks(words, repair.own_candidates(words), picks, lex)
+    return out.select("page_id", "idx", "text", "flagged", "resolved_by", "evidence")
+
+
+@query(
+    "extra_vote",
+    f"""WITH {O.VOTED}, a AS (SELECT v.*, CASE WHEN (page_id + idx) % 4 = 0 THEN '' WHEN (page_id + idx) % 4 = 3 THEN 'Zz9' ELSE truth END AS ans,
+        {O.key('CASE WHEN (page_id + idx) % 4 = 3 THEN \'Zz9\' ELSE truth END')} AS akey FROM voted v WHERE flagged),
+    c AS (SELECT a.*, cnt.surface AS hit, cnt.v AS hv FROM a LEFT JOIN cnt ON cnt.page_id = a.page_id AND cnt.pos = a.idx AND cnt.key = a.akey),
+    d AS (SELECT *, coalesce(hit, ans) AS pick, coalesce(hv, 0) + 1 AS f, regexp_matches(votes, '[0-9]:|[0-9][^:,]*:') OR regexp_matches(ans, '[0-9]') AS num FROM c)
+    SELECT page_id, idx, CASE WHEN ans = '' THEN text ELSE pick END AS text, CASE WHEN ans = '' THEN confidence ELSE round(f / 6.0, 2) END AS confidence,
+      CASE WHEN ans = '' THEN true ELSE NOT (f * 3 >= 12 AND NOT (num AND f < 6)) END AS flagged,
+      CASE WHEN ans = '' THEN 'crossed-out?' WHEN f * 3 >= 12 AND NOT (num AND f < 6) THEN 'reread' ELSE 'reread-guess' END AS evidence FROM d""",
+)
+def extra_vote(spark: SparkSession, sf: str) -> DataFrame:
+    pages = I.voted_pages(spark, sf)
+    words = V.explode_words(pages).where("flagged")
+    n = (F.col("page_id") + F.col("idx")) % 4
+    truth = pages.select("page_id", F.posexplode_outer("truth").alias("idx", "truth"))
+    extra = truth.select("page_id", "idx", F.when(n == 0, "").when(n == 3, "Zz9").otherwise(F.col("truth")).alias("answer"))
+    out = repair.apply_extra_vote(words, extra)
+    return out.select("page_id", "idx", "text", F.round("confidence", 2).alias("confidence"), "flagged", "evidence")
+
+
+NEAR_SQL = """levenshtein({a}, {b}) <= CASE WHEN greatest(length({a}), length({b})) <= 8 THEN 1 ELSE 2 END"""
+
+
+@query(
+    "dictionary_near",
+    f"""WITH {O.VOTED}, {O.LEX}, todo AS (SELECT page_id, idx, text FROM voted WHERE flagged AND text <> '[?]' AND NOT regexp_matches(text, '[0-9]')),
+    sp AS (SELECT t.page_id, t.idx, t.text, {O.key('c.surface')} AS key, c.v FROM todo t JOIN cnt c ON c.page_id = t.page_id AND c.pos = t.idx),
+    dk AS (SELECT DISTINCT key, {O.ascii_letters('key')} AS a FROM sp), dl AS (SELECT key AS entry, {O.ascii_letters('key')} AS b FROM lex),
+    nb AS (SELECT dk.key, dl.entry FROM dk JOIN dl ON abs(length(a) - length(b)) <= 2 AND {NEAR_SQL.format(a='a', b='b')}),
+    sup AS (SELECT page_id, idx, text, entry, sum(v)::BIGINT AS s FROM sp JOIN nb USING (key) GROUP BY ALL),
+    rk AS (SELECT *, max(s) OVER w AS top, count(*) FILTER (WHERE true) OVER (PARTITION BY page_id, idx, s) AS ties FROM sup WINDOW w AS (PARTITION BY page_id, idx)),
+    fix AS (SELECT page_id, idx, entry, s FROM rk WHERE s = top AND ties = 1 AND 2 * s > 5)
+    SELECT f.page_id, f.idx, l.word AS text, false AS flagged, 'dictionary, ' || f.s || '/5 readers' AS evidence FROM fix f JOIN lex l ON l.key = f.entry""",
+)
+def dictionary_near(spark: SparkSession, sf: str) -> DataFrame:
+    fixed = repair.dictionary_fix(I.voted(spark, sf), fuzzy.lexicon(I.lexicon_words(spark, sf)), "near")
+    return fixed.where("resolved_by = 'dictionary'").select("page_id", "idx", "text", "flagged", "evidence")
+
+
+@query("dictionary_fuzzy")
+def dictionary_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
+    fixed = repair.dictionary_fix(I.voted(spark, sf), fuzzy.lexicon(I.lexicon_words(spark, sf)), "fuzzy")
+    return fixed.where("resolved_by = 'dictionary'").select("page_id", "idx", "text", "flagged", "evidence")
+
+
+@query("context_candidates")
+def context_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    c = repair.context_candidates(I.voted(spark, sf), fuzzy.lexicon(I.lexicon_words(spark, sf)))
+    return c.select("page_id", "idx", F.array_join("candidates", ",").alias("candidates"))
+
+
+@query(
+    "weak_support",
+    f"""WITH {O.VOTED}, w AS (SELECT v.page_id, v.idx, v.truth, {O.key('v.truth')} AS pick FROM voted v WHERE flagged AND page_id % 2 = 0 OR flagged AND page_id % 2 = 1),
+    s AS (SELECT w.page_id, w.idx, w.truth, coalesce(sum(c.v) FILTER (WHERE levenshtein({O.ascii_letters(O.key('c.surface'))}, {O.ascii_letters('w.pick')}) <= 1), 0) AS support
+      FROM w LEFT JOIN cnt c ON c.page_id = w.page_id AND c.pos = w.idx GROUP BY ALL)
+    SELECT page_id, idx, truth AS text, 2 * support < 5 AS flagged, CASE WHEN 2 * support < 5 THEN 'lexicon (weak reader support)' ELSE 'lexicon' END AS evidence FROM s""",
+)
+def weak_support(spark: SparkSession, sf: str) -> DataFrame:
+    pages = I.voted_pages(spark, sf)
+    truth = pages.select("page_id", F.posexplode_outer("truth").alias("idx", "truth"))
+    picked = V.explode_words(pages).where("flagged").join(truth, ["page_id", "idx"])
+    picked = picked.withColumn("text", F.col("truth")).withColumn("flagged", F.lit(False))
+    picked = picked.withColumn("resolved_by", F.lit("context")).withColumn("evidence", F.lit("lexicon"))
+    return repair.weak_support(picked).select("page_id", "idx", "text", "flagged", "evidence")
+
+
+SLOTS = [f"r{k}" for k in range(1, I.READERS + 1)]
+
+
+def reader_keys(spark: SparkSession, sf: str) -> DataFrame:
+    cells = I.keyed_frame(spark, sf).select("page_id", F.explode_outer("rd").alias("r"))
+    return cells.select("page_id", "r.reader", F.explode_outer("r.keys").alias("key"))
+
+
+BAG = f"""{O.CELLS}, ck AS (SELECT page_id, key, k, count(*) AS n FROM cells GROUP BY ALL), tot AS (SELECT page_id, k, sum(n) AS t FROM ck GROUP BY ALL),
+sh AS (SELECT a.page_id, a.k AS i, b.k AS j, sum(least(a.n, b.n)) AS m FROM ck a JOIN ck b ON a.page_id = b.page_id AND a.key = b.key AND a.k <> b.k GROUP BY ALL),
+sim AS (SELECT x.page_id, x.k, 'r' || x.k AS reader, sum(2.0 * coalesce(m, 0) / (x.t + y.t)) AS score FROM tot x JOIN tot y ON x.page_id = y.page_id AND x.k <> y.k
+  LEFT JOIN sh ON sh.page_id = x.page_id AND sh.i = x.k AND sh.j = y.k GROUP BY ALL)"""
+
+
+@query("pair_similarity", f"WITH {BAG} SELECT page_id, reader, round(score, 6) AS score FROM sim")
+def pair_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    s = similarity.pair_similarity(reader_keys(spark, sf), SLOTS)
+    return s.select("page_id", "reader", F.round("score", 6).alias("score"))
+
+
+@query(
+    "pivot_bag",
+    f"WITH {BAG} SELECT page_id, arg_max(reader, round(score, 9) * 1000 - k * 1e-7) AS reader, round(max(score), 6) AS score FROM sim GROUP BY page_id",
+)
+def pivot_bag(spark: SparkSession, sf: str) -> DataFrame:
+    s = similarity.pair_similarity(reader_keys(spark, sf), SLOTS).withColumn("score", F.round("score", 9))
+    return similarity.pick_pivot(s).withColumn("score", F.round("score", 6))
+
+
+@query("unsplit_pairs")
+def unsplit_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Words joined per page and reader."""
+    before = V.page_frame(I.noisy_readings(spark, sf))
+    after = V.unsplit(before.withColumn("sizes", F.expr("transform(rd, r -> size(r.toks))")))
+    rows = after.select("page_id", F.posexplode_outer("rd").alias("slot", "r"), "sizes")
+    return rows.select(
+        "page_id", "r.reader", (F.get("sizes", F.col("slot")) - F.size("r.toks")).alias("joined"),
+        F.md5(F.array_join("r.toks", " ")).alias("digest"),
+    )
+
+
+@query("vote_sequence")
+def vote_sequence(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequence alignment of readings that skip, repeat and split words."""
+    pages = V.align_sequences(V.unsplit(V.page_frame(I.noisy_readings(spark, sf))))
+    rolled = V.page_rollup(V.explode_words(V.vote_columns(pages)))
+    return rolled.select("page_id", F.md5("text").alias("digest"), F.length("text").alias("chars"), "flagged", "to_check")
