@@ -17,6 +17,8 @@ from quorumtext.functions import rx as R
 from quorumtext.functions import text as X
 from quorumtext.functions.arrow import seq_ratio
 
+SALT = 8  # tasks a frequent letter pair is dealt over
+
 
 def lexicon(words: DataFrame, min_key: int = 3) -> DataFrame:
     """(word, ord) -> (key, word): keys of at least `min_key` characters, the last spelling of a key wins."""
@@ -50,6 +52,11 @@ def expand_groups(groups: DataFrame) -> DataFrame:
     return others.groupBy("name").agg(F.sort_array(F.collect_set("other")).alias("alike"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions by an explicit number, so that small but compute-heavy inputs are not coalesced to one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 # ---------------------------------------------------------------- edit distance 1 or 2
 
 def _segments(c: Column, d: int) -> Column:
@@ -101,7 +108,7 @@ def near_join(left: DataFrame, right: DataFrame, a: str = "a", b: str = "b") ->
     probes = F.array_distinct(F.concat(_probes(F.col(a), 1), _probes(F.col(a), 2)))
     xs = x.select(a, F.explode(probes).alias("block"))
     ys = y.select(b, F.explode(pieces).alias("block"))
-    pairs = xs.join(ys, "block").where(X.near(F.col(a), F.col(b))).select(a, b).distinct()
+    pairs = spread(xs, "block").join(spread(ys, "block"), "block").where(X.near(F.col(a), F.col(b))).select(a, b).distinct()
     return pairs.withColumn("d", F.levenshtein(F.col(a), F.col(b)))
 
 
@@ -159,9 +166,12 @@ def fuzzy_pairs(words: DataFrame, entries: DataFrame, cutoff: float, word: str =
     fits = 2 * F.least(F.length(w), F.length(e)) >= cutoff * total - 1e-9
     # M matched letters in B blocks hold M - B >= 3M - T - 1 common letter pairs
     needed = F.greatest(F.lit(1), 3 * F.ceil(cutoff * total / 2 - 1e-9) - total - 1)
-    met = ws.join(es, "block").where(fits).groupBy(word, entry).agg(F.count("*").alias("common")).where(F.col("common") >= needed)
-    met = met.select(word, entry)
-    likely = met.where(2 * _common_letters(w, e) >= cutoff * total - 1e-9)
+    # a frequent letter pair can hold a large part of all words: its words are dealt over SALT tasks
+    ws = ws.withColumn("salt", F.pmod(F.xxhash64(word), F.lit(SALT)))
+    es = es.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).withColumn("salt", F.col("salt").cast("bigint"))
+    on = ["block", "salt"]
+    met = spread(ws, *on).join(spread(es, *on), on).where(fits).groupBy(word, entry).agg(F.count("*").alias("common")).where(F.col("common") >= needed)
+    likely = met.select(word, entry).where(2 * _common_letters(w, e) >= cutoff * total - 1e-9)
     return likely.withColumn("ratio", seq_ratio(e, w)).where(F.col("ratio") >= cutoff)
 
 
