@@ -242,8 +242,12 @@ def paired(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def faithfulness(rows: DataFrame, recomputed: DataFrame) -> DataFrame:
     """Stored text against text computed again: rows compared and mismatches."""
-    both = rows.where("final is not null").join(recomputed.select("image", F.col("final").alias("again")), "image")
-    return both.agg(F.count("*").alias("rows"), F.count_if(~F.col("final").eqNullSafe(F.col("again"))).alias("mismatches"))
+    # counted after the join: a filter on the text would be pushed into, and repeat, whatever computes it
+    both = rows.join(recomputed.select("image", F.col("final").alias("again")), "image")
+    stored = F.col("final").isNotNull()
+    return both.agg(
+        F.count_if(stored).alias("rows"), F.count_if(stored & ~F.col("final").eqNullSafe(F.col("again"))).alias("mismatches")
+    )
 
 
 # ---------------------------------------------------------------- readers
