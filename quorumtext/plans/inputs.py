@@ -17,7 +17,8 @@ READERS = 5
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return df.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else df
 
 
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:

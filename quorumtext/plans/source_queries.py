@@ -149,7 +149,7 @@ def history_search(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "day_bucket",
     """WITH m AS (SELECT max(ts) AS now FROM events) SELECT CASE WHEN ts >= date_trunc('day', now) THEN 'today' WHEN ts >= date_trunc('day', now) - INTERVAL 1 DAY THEN 'yesterday' ELSE 'earlier' END AS day, count(*) AS n,
-      count(*) FILTER (WHERE epoch_us(now) - epoch_us(ts) < 3600 * 1000000) AS last_hour FROM events, m GROUP BY 1""",
+      count(*) FILTER (WHERE epoch_us(now) - epoch_us(ts) < 3600000000) AS last_hour FROM events, m GROUP BY 1""",
 )
 def day_bucket(spark: SparkSession, sf: str) -> DataFrame:
     e = I.table(spark, sf, "events")
