@@ -123,7 +123,8 @@ def bm25_scores(passages: DataFrame, queries: DataFrame, k1: float = K1, b: floa
     weight = F.col("idf") * tfc * (k1 + 1) / (tfc + k1 * (1 - b + b * dl / avg))
     asked_idf = asked.join(idf, "term")
     scored = tf.join(asked_idf, "term")
-    return scored.groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score"))
+    # rounded, so that equal passages tie whatever order their terms were added in
+    return scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 9).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int = TOP_K) -> DataFrame:

@@ -360,10 +360,11 @@ def explode_words(pages: DataFrame, rule: str = "two_thirds", digits_strict: boo
     return finish_words(rows, rule, digits_strict)
 
 
-def finish_words(rows: DataFrame, rule: str = "two_thirds", digits_strict: bool = True) -> DataFrame:
+def finish_words(rows: DataFrame, rule: str = "two_thirds", digits_strict: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     flag = is_flagged(F.col("top"), F.col("readers"), F.col("number"), rule, digits_strict)
     nothing = F.lit(None)
     return rows.select(
+        *keep,
         "page_id",
         "idx",
         "text",

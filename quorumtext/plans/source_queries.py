@@ -89,7 +89,7 @@ def history_table(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-HISTORY = """hs AS (SELECT user_id % 40 AS user_id, event_id % 700 AS id, epoch_ms(ts) AS ts, event_type AS name, repeat('t', (event_id % 9)::INT) AS thumb, props AS payload, event_id FROM events WHERE event_id % 17 <> 0),
+HISTORY = """hs AS (SELECT user_id % 40 AS user_id, event_id % 700 AS id, epoch_us(ts) // 1000 AS ts, event_type AS name, repeat('t', (event_id % 9)::INT) AS thumb, props AS payload, event_id FROM events WHERE event_id % 17 <> 0),
 fit AS (SELECT user_id, id, ts, name, CASE WHEN length(payload) + length(thumb) <= 16 THEN thumb END AS thumb, event_id FROM hs WHERE length(payload) <= 16),
 up AS (SELECT user_id, id, max(ts) AS ts, arg_max(name, ts) AS name, arg_max(coalesce(thumb, '~'), ts) AS thumb FROM fit GROUP BY ALL)"""
 

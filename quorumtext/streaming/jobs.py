@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quorumtext.operators.logs import READER_STATE
+from quorumtext.session import shared_folder
 from quorumtext.sources import tables
 
 # Vote deadline, give-up time, readers a vote needs, idle time after which a client is forgotten.
@@ -20,9 +21,7 @@ VOTE_DEADLINE, GIVE_UP, MIN_READERS, IDLE = 90, 180, 2, 3600
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the shared checkpoint folder the session names."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    root = shared_folder(spark)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 
