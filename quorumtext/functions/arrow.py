@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -50,19 +51,36 @@ def bench_norm(c: Column) -> Column:
 
 
 def _pick_pivot(keys: list[list[str]]) -> int:
-    """Reading with the highest summed ratio to all others, ties to the first."""
-    total = [0.0] * len(keys)
-    for j, other in enumerate(keys):
-        matcher = SequenceMatcher(b=other)
-        for i, mine in enumerate(keys):
-            if i == j:
+    """Reading with the highest summed ratio to all others, ties to the first.
+
+    Shared keys bound a ratio from above, so a reading whose bound stays below the best sum found is not compared.
+    """
+    bags = [Counter(k) for k in keys]
+
+    def bound(i: int, j: int) -> float:
+        size = len(keys[i]) + len(keys[j])
+        return 2.0 * (bags[i] & bags[j]).total() / size if size else 1.0
+
+    n = range(len(keys))
+    limit = [sum(bound(i, j) for j in n if j != i) for i in n]
+    matchers: dict[int, SequenceMatcher] = {}
+    best, best_sum = 0, -1.0
+    for i in sorted(n, key=lambda r: (-limit[r], r)):
+        if limit[i] < best_sum - 1e-9:
+            break
+        total = 0.0
+        for j in n:
+            if j == i:
+                continue
+            if keys[i] == keys[j]:
+                total += 1.0
                 continue
-            if mine == other:
-                total[i] += 1.0
-            else:
-                matcher.set_seq1(mine)
-                total[i] += matcher.ratio()
-    return total.index(max(total)) if total else 0
+            matcher = matchers.setdefault(j, SequenceMatcher(b=keys[j]))
+            matcher.set_seq1(keys[i])
+            total += matcher.ratio()
+        if total > best_sum or (total == best_sum and i < best):
+            best, best_sum = i, total
+    return best
 
 
 def _pair_up(pivot: list[str], other: list[str]):

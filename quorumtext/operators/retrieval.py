@@ -140,11 +140,10 @@ def pad_with_unscored(hits: DataFrame, passages: DataFrame, queries: DataFrame,
     short = queries.select("query_id").join(found, "query_id", "left").where(F.coalesce("have", F.lit(0)) < k)
     # a query with fewer than k hits needs at most 2k of the earliest passages
     early = passages.select("chunk_id").orderBy("chunk_id").limit(2 * k).agg(F.sort_array(F.collect_list("chunk_id")).alias("e"))
-    spare = F.filter(early.scalar(), lambda c: ~F.array_contains(F.coalesce("ids", F.array().cast("array<bigint>")), c.cast("bigint")))
-    fill = short.select(
-        "query_id", F.posexplode(F.slice(spare, F.lit(1), F.lit(k) - F.coalesce("have", F.lit(0)))).alias("i", "chunk_id"),
-        F.coalesce("have", F.lit(0)).alias("have"),
-    )
+    known = F.coalesce("ids", F.array().cast("array<bigint>"))
+    listed = short.select("query_id", F.coalesce("have", F.lit(0)).cast("int").alias("have"), known.alias("ids"), early.scalar().alias("e"))
+    spare = listed.select("query_id", "have", F.array_except("e", "ids").alias("spare"))
+    fill = spare.select("query_id", F.posexplode(F.slice("spare", F.lit(1), F.lit(k) - F.col("have"))).alias("i", "chunk_id"), "have")
     return hits.select("query_id", "chunk_id", "score", "rank").unionByName(
         fill.select("query_id", "chunk_id", F.lit(0.0).alias("score"), (F.col("have") + F.col("i") + 1).cast("int").alias("rank"))
     )
