@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
-from difflib import SequenceMatcher
+from difflib import Match, SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,36 @@ def bench_norm(c: Column) -> Column:
     return F.regexp_replace(folded, r"[^0-9a-z\x{0080}-\x{FFFF}]", "")
 
 
+class _Matcher(SequenceMatcher):
+    """The standard matcher (no junk test), looking only at the positions inside the asked range.
+
+    The stock search walks every position of a frequent token for every sub-range, which turns long pages
+    quadratic; the positions are sorted, so the range is cut out by bisection.
+    """
+
+    def find_longest_match(self, alo=0, ahi=None, blo=0, bhi=None):
+        a, b = self.a, self.b
+        ahi = len(a) if ahi is None else ahi
+        bhi = len(b) if bhi is None else bhi
+        at_a, at_b, size = alo, blo, 0
+        runs: dict[int, int] = {}
+        for i in range(alo, ahi):
+            places = self.b2j.get(a[i])
+            grown: dict[int, int] = {}
+            if places:
+                for j in places[bisect_left(places, blo) : bisect_left(places, bhi)]:
+                    k = grown[j] = runs.get(j - 1, 0) + 1
+                    if k > size:
+                        at_a, at_b, size = i - k + 1, j - k + 1, k
+            runs = grown
+        # frequent tokens may be left out of the index: grow the block over them
+        while at_a > alo and at_b > blo and a[at_a - 1] == b[at_b - 1]:
+            at_a, at_b, size = at_a - 1, at_b - 1, size + 1
+        while at_a + size < ahi and at_b + size < bhi and a[at_a + size] == b[at_b + size]:
+            size += 1
+        return Match(at_a, at_b, size)
+
+
 def _pick_pivot(keys: list[list[str]]) -> int:
     """Reading with the highest summed ratio to all others, ties to the first.
 
@@ -63,7 +94,7 @@ def _pick_pivot(keys: list[list[str]]) -> int:
 
     n = range(len(keys))
     limit = [sum(bound(i, j) for j in n if j != i) for i in n]
-    matchers: dict[int, SequenceMatcher] = {}
+    matchers: dict[int, _Matcher] = {}
     best, best_sum = 0, -1.0
     for i in sorted(n, key=lambda r: (-limit[r], r)):
         if limit[i] < best_sum - 1e-9:
@@ -75,7 +106,7 @@ def _pick_pivot(keys: list[list[str]]) -> int:
             if keys[i] == keys[j]:
                 total += 1.0
                 continue
-            matcher = matchers.setdefault(j, SequenceMatcher(b=keys[j]))
+            matcher = matchers.setdefault(j, _Matcher(b=keys[j]))
             matcher.set_seq1(keys[i])
             total += matcher.ratio()
         if total > best_sum or (total == best_sum and i < best):
@@ -87,7 +118,7 @@ def _pair_up(pivot: list[str], other: list[str]):
     """Index into ``other`` for every pivot position, plus the runs the pivot lacks as (gap, start, end)."""
     slots: list[int | None] = [None] * len(pivot)
     gaps = []
-    for kind, a1, a2, b1, b2 in SequenceMatcher(None, pivot, other, autojunk=False).get_opcodes():
+    for kind, a1, a2, b1, b2 in _Matcher(None, pivot, other, autojunk=False).get_opcodes():
         if kind == "insert":
             gaps.append((a1, b1, b2))
             continue

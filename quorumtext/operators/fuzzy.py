@@ -170,8 +170,10 @@ def fuzzy_pairs(words: DataFrame, entries: DataFrame, cutoff: float, word: str =
     ws = ws.withColumn("salt", F.pmod(F.xxhash64(word), F.lit(SALT)))
     es = es.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).withColumn("salt", F.col("salt").cast("bigint"))
     on = ["block", "salt"]
-    met = spread(ws, *on).join(spread(es, *on), on).where(fits).groupBy(word, entry).agg(F.count("*").alias("common")).where(F.col("common") >= needed)
-    likely = met.select(word, entry).where(2 * _common_letters(w, e) >= cutoff * total - 1e-9)
+    met = spread(ws, *on).join(spread(es, *on), on).where(fits).groupBy(word, entry).agg(F.count("*").alias("common"))
+    # one predicate on the count, so the letter test cannot be pushed below the grouping
+    enough = F.when(F.col("common") >= needed, 2 * _common_letters(w, e) >= cutoff * total - 1e-9).otherwise(False)
+    likely = met.where(enough).select(word, entry)
     return likely.withColumn("ratio", seq_ratio(e, w)).where(F.col("ratio") >= cutoff)
 
 
