@@ -148,12 +148,25 @@ def _blocks(c: Column, cutoff: float) -> Column:
         grams,
         lambda g, i: F.concat_ws("|", F.lit("b"), F.size(F.filter(F.slice(grams, F.lit(1), i), lambda o: o == g)).cast("string"), g),
     )
-    letters = F.filter(F.split(c, ""), lambda ch: ch != "")
+    # the sparse totals share no pair of neighbours but still M letters: two words that do must agree on one of
+    # their first n - M + 1 numbered letters in any fixed order
+    plain = F.filter(F.split(c, ""), lambda ch: ch != "")
+    letters = F.sort_array(
+        F.transform(
+            plain, lambda ch, i: F.concat_ws("#", ch, F.size(F.filter(F.slice(plain, F.lit(1), i), lambda o: o == ch)).cast("string"))
+        ),
+        asc=False,
+    )
     totals = F.filter(
-        F.array(*[F.lit(t) for t in _sparse_totals(cutoff)]),
-        lambda t: (t > n) & (2 * F.least(n, t - n) >= cutoff * t - 1e-9),
+        F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_least_match(t, cutoff)).alias("m")) for t in _sparse_totals(cutoff)]),
+        lambda x: (x.t > n) & (2 * F.least(n, x.t - n) >= cutoff * x.t - 1e-9) & (x.m <= n),
+    )
+    single = F.flatten(
+        F.transform(
+            totals,
+            lambda x: F.transform(F.slice(letters, F.lit(1), n - x.m + 1), lambda ch: F.concat(x.t.cast("string"), ch)),
+        )
     )
-    single = F.flatten(F.transform(totals, lambda t: F.transform(letters, lambda ch: F.concat(t.cast("string"), ch))))
     return F.array_distinct(F.concat(pairs, single))
 
 

@@ -42,11 +42,17 @@ def slip(tok: Column, pos: Column, page: Column, reader: int) -> Column:
     )
 
 
-def frame(spark: SparkSession, sf: str) -> DataFrame:
+def source_pages(spark: SparkSession, sf: str, source: str) -> DataFrame:
+    """(page_id, text): documents, or every turn of the conversations as a short page."""
+    if source == "documents":
+        return documents(spark, sf, "text").select(F.col("doc_id").alias("page_id"), "text")
+    c = table(spark, sf, "conversations")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), "text")
+
+
+def frame(spark: SparkSession, sf: str, source: str = "documents") -> DataFrame:
     """One row per page with the tokens of all readers (same length), and the true tokens."""
-    docs = documents(spark, sf, "text").select(
-        F.col("doc_id").alias("page_id"), X.tokens(F.col("text")).alias("truth")
-    )
+    docs = source_pages(spark, sf, source).select("page_id", X.tokens(F.col("text")).alias("truth"))
 
     def copy(k: int) -> Column:
         return F.transform("truth", lambda t, i: slip(t, i, F.col("page_id"), k))
@@ -64,17 +70,17 @@ def frame(spark: SparkSession, sf: str) -> DataFrame:
     return docs.withColumn("rd", rd)
 
 
-def keyed_frame(spark: SparkSession, sf: str) -> DataFrame:
-    return frame(spark, sf).withColumn("rd", V.with_keys(F.col("rd")))
+def keyed_frame(spark: SparkSession, sf: str, source: str = "documents") -> DataFrame:
+    return frame(spark, sf, source).withColumn("rd", V.with_keys(F.col("rd")))
 
 
-def voted_pages(spark: SparkSession, sf: str) -> DataFrame:
+def voted_pages(spark: SparkSession, sf: str, source: str = "documents") -> DataFrame:
     """page_id, truth and the voted `words` array."""
-    return V.vote_columns(V.align_positional(keyed_frame(spark, sf)))
+    return V.vote_columns(V.align_positional(keyed_frame(spark, sf, source)))
 
 
-def voted(spark: SparkSession, sf: str, rule: str = "two_thirds") -> DataFrame:
-    return V.explode_words(voted_pages(spark, sf), rule)
+def voted(spark: SparkSession, sf: str, rule: str = "two_thirds", source: str = "documents") -> DataFrame:
+    return V.explode_words(voted_pages(spark, sf, source), rule)
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,11 +89,9 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select("page_id", F.col("r.ord").alias("slot"), "r.reader", X.detok(F.col("r.toks")).alias("text"))
 
 
-def noisy_readings(spark: SparkSession, sf: str) -> DataFrame:
+def noisy_readings(spark: SparkSession, sf: str, source: str = "documents") -> DataFrame:
     """As `readings`, but readers also skip, repeat and split words."""
-    docs = documents(spark, sf, "text").select(
-        F.col("doc_id").alias("page_id"), X.tokens(F.col("text")).alias("truth")
-    )
+    docs = source_pages(spark, sf, source).select("page_id", X.tokens(F.col("text")).alias("truth"))
     page = F.col("page_id")
 
     def rewrite(t: Column, i: Column, k: int) -> Column:

@@ -182,9 +182,9 @@ def near_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fuzzy_top")
 def fuzzy_top(spark: SparkSession, sf: str) -> DataFrame:
-    """Closest three benchmark words of every word in the conversations."""
-    toks = I.table(spark, sf, "conversations").select(F.explode(X.tokens(F.col("text"))).alias("tok"))
-    keys = toks.where(F.col("tok") != X.NEWLINE).select(X.key(F.col("tok")).alias("word"))
+    """Closest three benchmark words of every word in the part and nation names."""
+    names = I.table(spark, sf, "part").select("p_name").union(I.table(spark, sf, "nation").select("n_name"))
+    keys = names.select(F.explode(X.tokens(F.col("p_name"))).alias("tok")).select(X.key(F.col("tok")).alias("word"))
     lex = fuzzy.lexicon(I.lexicon_words(spark, sf)).select(F.col("key").alias("entry"))
     return fuzzy.fuzzy_top(keys, lex, 0.7, 3).select("word", "entry", F.round("ratio", 6).alias("ratio"), "rank")
 
