@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumtext.llm import lines, mixing
+from quorumtext.llm import html_text, langid, lines, mixing, secrets, token_trie
 from quorumtext.llm.common import LOWER, UPPER, table
 from quorumtext.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -38,6 +38,29 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op3_secret_scan")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    base = [r.kind for r in secrets.BASE]
+    d = secrets.scan_secrets(table(spark, sf, "documents"))
+    d = d.withColumn("base", secrets.of_kinds(F.col("spans"), base))
+    counts = [F.size(secrets.of_kinds(F.col("base"), [k])).cast("long").alias(f"n_{k}") for k in base]
+    digest = F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256")
+    return d.select("doc_id", *counts, digest, secrets.span_text(F.col("spans")).alias("spans"))
+
+
+@query("op4_language_mixture")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = langid.learn(langid.training_rows(docs))
+    found = langid.infer(docs, model)
+    return found.select("doc_id", langid.held_out(found).alias("held_out"), "lang_pred", "score", F.size("shares").alias("n_langs"))
+
+
+@query("op5_html_text")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf, "pages"))
+
+
 OP6_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT rid, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
@@ -57,3 +80,12 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(
         "doc_id", total.alias("n_lines"), (total - F.size("kept")).alias("n_dropped"), F.sha2(lines.kept_text(F.col("kept")), 256).alias("kept_sha256")
     )
+
+
+#: The vocabulary file of op8; another SentencePiece file serves as well.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return token_trie.token_counts(table(spark, sf, "documents"), token_trie.piece_scores(PIECES))
