@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumtext.llm import html_text, langid, lines, mixing, secrets, token_trie
+from quorumtext.llm import decontam, html_text, langid, lines, mih, mixing, ngram_join, secrets, token_trie
 from quorumtext.llm.common import LOWER, UPPER, table
 from quorumtext.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 BLANK_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+@query("op1_multi_index_hashing")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = mih.clean_vectors(table(spark, sf, "embeddings"))
+    return mih.nearest(vectors.where(F.col("vec_id") % 50 == 0), vectors, mih.fit_rotation(vectors))
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w
@@ -89,3 +95,13 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 @query("op8_token_counts")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return token_trie.token_counts(table(spark, sf, "documents"), token_trie.piece_scores(PIECES))
+
+
+@query("op9_decontaminate")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op10_ngram_jaccard")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.similar_sets(table(spark, sf, "documents"))
