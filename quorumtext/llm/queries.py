@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumtext.llm import decontam, html_text, langid, lines, mih, mixing, ngram_join, secrets, token_trie
+from quorumtext.llm import decontam, html_text, langid, lines, mih, mixing, ngram_join, secret_scan, token_trie
 from quorumtext.llm.common import LOWER, UPPER, table
 from quorumtext.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -46,12 +46,12 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op3_secret_scan")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
-    base = [r.kind for r in secrets.BASE]
-    d = secrets.scan_secrets(table(spark, sf, "documents"))
-    d = d.withColumn("base", secrets.of_kinds(F.col("spans"), base))
-    counts = [F.size(secrets.of_kinds(F.col("base"), [k])).cast("long").alias(f"n_{k}") for k in base]
-    digest = F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256")
-    return d.select("doc_id", *counts, digest, secrets.span_text(F.col("spans")).alias("spans"))
+    base = [r.kind for r in secret_scan.BASE]
+    d = secret_scan.scan_secrets(table(spark, sf, "documents"))
+    d = d.withColumn("base", secret_scan.of_kinds(F.col("spans"), base))
+    counts = [F.size(secret_scan.of_kinds(F.col("base"), [k])).cast("long").alias(f"n_{k}") for k in base]
+    digest = F.sha2(secret_scan.span_text(F.col("base")), 256).alias("base_sha256")
+    return d.select("doc_id", *counts, digest, secret_scan.span_text(F.col("spans")).alias("spans"))
 
 
 @query("op4_language_mixture")
