@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumtext.llm import decontam, html_text, langid, lines, mih, mixing, ngram_join, secret_scan, token_trie
+from quorumtext.llm import decontam, html_text, langid, lines, mih, mixing, ngram_join, secret_scan, suffix, token_trie
 from quorumtext.llm.common import LOWER, UPPER, table
 from quorumtext.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -105,3 +105,11 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_ngram_jaccard")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.similar_sets(table(spark, sf, "documents"))
+
+
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    d = suffix.remove_repeats(table(spark, sf, "documents"))
+    cut = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r.stop - r.start)
+    spans = F.size("removed").cast("long")
+    return d.select("doc_id", "n_bytes", cut.alias("n_removed"), spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

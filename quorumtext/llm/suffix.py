@@ -144,10 +144,221 @@ def _filter(docs: DataFrame, length: int) -> np.ndarray:
                 yield frame({"anchor": (a.view(np.int64), pa.int64()), "n": (n, pa.int64())})
 
     found = docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    bit = F.pmod(F.explode(F.array("anchor", F.xxhash64("anchor"))), F.lit(FILTER_BITS))
-    bits = found.where("n > 1").select(bit.alias("bit"))
+    bits = found.where("n > 1").select(F.pmod("anchor", F.lit(FILTER_BITS)).alias("bit"))
     words = bits.groupBy(F.floor(F.col("bit") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("v"))
     rows = words.toPandas()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[rows["w"].to_numpy(dtype=np.int64)] = rows["v"].to_numpy(dtype=np.int64)
     return out.view(np.uint64)
+
+
+def _bytes_at(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
+    """Contexts as rows of `width` bytes whose anchors stand below each other, zero where a context has no byte."""
+    out = np.zeros((len(starts), width), np.uint8)
+    row = np.repeat(np.arange(len(starts)), lengths)
+    inside = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out[row, inside + left[row]] = flat[starts[row] + inside]
+    return out
+
+
+def _repeated(group: np.ndarray, rows: np.ndarray, first: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Which strings repeat between the contexts of a group.
+
+    `rows` are aligned contexts, all different within their group; context i has strings at columns first[i] to
+    first[i] + starts[i] - 1.  The answer has a column for each start."""
+    d, width = rows.shape
+    nb = width // BLOCK
+    last = first + starts - 1 + length  # the context's end
+    # sequences of whole blocks, each context closed by a symbol of its own
+    words = rows.reshape(d, nb, BLOCK // 8, 8).view(np.uint64)[..., 0]
+    h = np.zeros((d, nb), np.uint64)
+    for k in range(BLOCK // 8):
+        h = mix(h * ODD + words[:, :, k])
+    h = mix(h ^ mix(group)[:, None] ^ mix(np.arange(nb, dtype=np.uint64))[None, :])
+    column = np.arange(nb)[None, :]
+    whole = (column * BLOCK >= first[:, None]) & ((column + 1) * BLOCK <= last[:, None])
+    _, name = np.unique(h[whole], return_inverse=True)
+    count = whole.sum(1)
+    ends = np.cumsum(count + 1) - 1
+    symbols = np.empty(int(ends[-1]) + 1, np.int64)
+    place = np.ones(len(symbols), bool)
+    place[ends] = False
+    symbols[place] = name + d
+    symbols[ends] = d - 1 - np.arange(d)  # the last one is the smallest
+    at = np.full((d, nb), -1, np.int64)
+    at[whole] = np.flatnonzero(place)
+
+    sa = suffix_array(symbols)
+    out = np.zeros((d, int(starts.max())), bool)
+    sums = np.zeros((d, width + 1), np.uint64)
+    powers = np.cumprod(np.append(np.uint64(1), np.full(width - 1, ODD)))
+    np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * powers, axis=1, out=sums[:, 1:])
+    #: neighbours in the suffix array that share m symbols are one class
+    shared, classes = np.ones(len(sa) - 1, bool), {}
+    for m in range(1, length // BLOCK + 1):
+        a, b = np.minimum(sa[1:] + m - 1, len(symbols) - 1), np.minimum(sa[:-1] + m - 1, len(symbols) - 1)
+        shared &= symbols[a] == symbols[b]
+        if m >= (length - BLOCK) // BLOCK:
+            name = np.empty(len(sa), np.int64)
+            name[sa] = np.cumsum(np.append(False, ~shared))
+            many = np.append(shared, False) | np.append(False, shared)
+            alone = np.ones(len(sa), bool)
+            alone[sa] = ~many
+            classes[m] = (name, alone)
+    keys, where = [], []
+    for delta in range(BLOCK):
+        head = BLOCK - delta if delta else 0  # odd bytes before the first whole block
+        m, tail = (length - head) // BLOCK, (length - head) % BLOCK
+        name, alone = classes[m]
+        for j in range(nb):
+            o = j * BLOCK + delta
+            block = j + (1 if delta else 0)
+            if block + m > nb or o + length > width:
+                continue
+            i = np.flatnonzero((o >= first) & (o < first + starts))
+            if not len(i):
+                continue
+            run = at[i, block]
+            i, run = i[~alone[run]], run[~alone[run]]
+            if not len(i):
+                continue
+            odd = mix(sums[i, o + head] - sums[i, o]) ^ mix(sums[i, o + length] - sums[i, o + length - tail] + ODD)
+            keys.append(mix(mix(group[i]) ^ mix(name[run].astype(np.uint64) + np.uint64(o * int(ODD) % (1 << 64))) ^ odd))
+            where.append(i * width + o)
+    if keys:
+        _, inverse, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        hit = np.concatenate(where)[n[inverse] > 1]
+        i, o = hit // width, hit % width
+        out[i, o - first[i]] = True
+    return out
+
+
+def _runs(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last) of the runs of true values in each row."""
+    wide = np.zeros((covered.shape[0], covered.shape[1] + 2), np.int8)
+    wide[:, 1:-1] = covered
+    step = np.diff(wide, axis=1)
+    row, first = np.nonzero(step == 1)
+    _, end = np.nonzero(step == -1)
+    return row, first, end - 1
+
+
+def _shard(f: pd.DataFrame, length: int) -> pd.DataFrame:
+    """Spans of the texts of one shard that other places repeat."""
+    ready = f[f["context"].isna()]
+    out = [ready[["k1", "k2", "start", "stop"]]]
+    f = f[f["context"].notna()].reset_index(drop=True)
+    if len(f):
+        # equal contexts of an anchor repeat as a whole
+        same = f.groupby(["anchor", "left", "context"], sort=False)
+        f["copy"] = same.ngroup()
+        f["copies"] = same["weight"].transform("sum")
+        whole = f[f["copies"] > 1]
+        out.append(whole.assign(stop=whole["start"] + whole["context"].map(len))[["k1", "k2", "start", "stop"]])
+        one = f.drop_duplicates("copy")
+        # contexts are the whole of their groups, so groups are worked on in turn, in bounded blocks
+        n = one.groupby("anchor")["copy"].transform("size")
+        one = one[n > 1].sort_values("anchor", kind="stable").reset_index(drop=True)
+        width = 2 * -(-length // BLOCK) * BLOCK
+        zero = width // 2
+        sizes = one.groupby("anchor", sort=False).size().to_numpy()
+        block_of = np.repeat(np.cumsum(sizes) // 3000, sizes)
+        single = f[f["copies"] == 1].drop_duplicates("copy").set_index("copy")
+        for _, g in one.groupby(block_of):
+            context = g["context"].tolist()
+            lengths = np.array(list(map(len, context)))
+            flat = np.frombuffer(b"".join(context), np.uint8)
+            first = zero - g["left"].to_numpy(dtype=np.int64)
+            rows = _bytes_at(flat, np.cumsum(lengths) - lengths, lengths, first, width)
+            hit = _repeated(g["anchor"].to_numpy().view(np.uint64), rows, first, lengths - length + 1, length)
+            row, a, b = _runs(hit)
+            copy = g["copy"].to_numpy()[row]
+            mine = np.isin(copy, single.index)
+            owner = single.loc[copy[mine]]
+            start = owner["start"].to_numpy() + a[mine]
+            out.append(pd.DataFrame({"k1": owner["k1"].to_numpy(), "k2": owner["k2"].to_numpy(), "start": start, "stop": owner["start"].to_numpy() + b[mine] + length}))
+    return pd.concat(out).drop_duplicates().astype("int64")
+
+
+def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
+    """(k1, k2, start, stop): byte spans of each different text, named by 128 bits of hash, that are covered by
+    strings of `length` bytes which also start anywhere else."""
+    spark = docs.sparkSession
+    texts = docs.select("text").where(F.octet_length("text") >= length)
+    bits = spark.sparkContext.broadcast(_filter(texts, length))  # FILTER_BITS
+    slim = texts.select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = bits.value
+        for batch in batches:
+            for part in segments(batch):
+                seen: dict[tuple, list] = {}
+                for k1, k2, text in zip(*(part.column(c).to_pylist() for c in range(3))):
+                    raw = text.encode()
+                    a, place, first, starts = anchors(raw, length)
+                    bit = (a.view(np.int64) % FILTER_BITS).astype(np.uint64)
+                    maybe = words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1) > 0
+                    for h, p, s, n in zip(a[maybe].view(np.int64).tolist(), place[maybe].tolist(), first[maybe].tolist(), starts[maybe].tolist()):
+                        seen.setdefault((h, p - s, raw[s : s + n + length - 1]), []).append((k1, k2, s, s + n + length - 1))
+                spans: dict[tuple[int, int], list] = {}
+                rows = []
+                for (h, left, context), found in seen.items():
+                    rows.append((h, left, context, *found[0], len(found)))
+                    if len(found) > 1:  # repeated right here
+                        for k1, k2, s, e in found:
+                            spans.setdefault((k1, k2), []).append((s, e))
+                for (k1, k2), own in spans.items():
+                    rows += [(a, None, None, k1, k2, a, b, 0) for a, b in merged(own)]
+                cols = list(zip(*rows)) or [[]] * 8
+                names = ["anchor", "left", "context", "k1", "k2", "start", "stop", "weight"]
+                yield frame({n: (list(c), pa.binary() if n == "context" else pa.int64()) for n, c in zip(names, cols)})
+
+    fields = "anchor long, left long, context binary, k1 long, k2 long, start long, stop long, weight long"
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
+    sent = slim.mapInArrow(run, fields).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    found = sent.groupBy("shard").applyInPandas(lambda f: _shard(f, length), "k1 long, k2 long, start long, stop long")
+    return found
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of overlapping or touching spans."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+    """(doc_id, n_bytes, removed, kept): each row's text as UTF-8 bytes, the maximal removed runs, and the rest.
+
+    Every byte is removed that a `length`-byte string covers which also starts anywhere else, in another row or in the
+    same one; overlapping occurrences count, and strings are judged on the input.  Strings never cross rows.
+
+    Null text is empty; texts shorter than `length` keep all bytes; rows with equal texts lose them whole.  Repeated
+    rows are copies of each other and each keep their row.  Other columns of `docs` are ignored.  Blocks, odd bytes
+    and texts are compared by 64 to 128 bits of hash.
+    """
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    base = base.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
+    # a text's spans are bounded by its own length: distinct first, then one array
+    spans = repeated_spans(docs, length).distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    both = base.join(spans, ["k1", "k2"], "left").select(F.col("doc_id").cast("long"), "text", "spans")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in segments(batch):
+                sizes, removed, kept = [], [], []
+                for text, own in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
+                    raw = text.encode()
+                    runs = merged([(s["start"], s["stop"]) for s in own or ()])
+                    edges = [0, *(x for r in runs for x in r), len(raw)]
+                    sizes.append(len(raw))
+                    removed.append([{"start": a, "stop": b} for a, b in runs])
+                    kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                run_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+                yield frame({"doc_id": (part.column("doc_id"), None), "n_bytes": (sizes, pa.int64()), "removed": (removed, run_type), "kept": (kept, pa.binary())})
+
+    return both.mapInArrow(cut, "doc_id long, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary")
