@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,3 +58,23 @@ def prefix_sums(df: DataFrame, order: Sequence[Column], value: str, name: str) -
     # one row per range partition: the broadcast is bounded by the partition count
     joined = summed.join(F.broadcast(offsets), "__part")
     return joined.withColumn("before", F.col("__offset") + F.col("__inside")).select(*df.columns, "before")
+
+
+#: Bits of a filter: what the driver and each task hold of it, whatever the data.
+FILTER_BITS = 1 << 25
+
+
+def bit_filter(keys: DataFrame, key: str) -> np.ndarray:
+    """FILTER_BITS bits that are set for every key (a long), and by chance for others.  Where it serves, a false hit
+    only costs work, so more keys than bits stay right."""
+    bits = keys.select(F.pmod(key, F.lit(FILTER_BITS)).alias("bit"))
+    words = bits.groupBy(F.floor(F.col("bit") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("v"))
+    rows = words.toPandas()  # at most FILTER_BITS / 64 numbers
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[rows["w"].to_numpy(dtype=np.int64)] = rows["v"].to_numpy(dtype=np.int64)
+    return out.view(np.uint64)
+
+
+def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = (keys % FILTER_BITS).astype(np.uint64)
+    return (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)) > 0

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quorumtext.llm.arrow import frame, segments
 from quorumtext.llm.common import word_count
-from quorumtext.llm.shingles import Words, mix, shingles
+from quorumtext.llm.shingles import Hasher, mix, shingles
 
 #: Benchmark words a task holds at a time; a larger benchmark is taken in blocks of whole items.
 BLOCK_WORDS = 400_000
@@ -39,12 +39,12 @@ class Items:
     """One block of benchmark items: fingerprints indexed by item length and Hamming block."""
 
     def __init__(self, rows: list[tuple[int, str]], radius: int):
-        words = Words()
+        hasher = Hasher()
         self.radius, self.blocks = radius, radius + 1
         self.edges = np.linspace(0, 64, self.blocks + 1).astype(int)
         self.ids, self.size, self.parts, prints = [], [], [], []
         for item_id, text in rows:
-            w = words.of(text)
+            w = hasher.words([text])[0]
             if len(w):
                 self.ids.append(item_id)
                 self.size.append(len(w))
@@ -134,13 +134,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radi
         shared = docs.sparkSession.sparkContext.broadcast(rows)  # at most about BLOCK_WORDS words
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items, words = Items(shared.value, radius), Words()
+            items, hasher = Items(shared.value, radius), Hasher()
             short = min((n for n in items.size if n < SPAN), default=SPAN)
             for batch in batches:
                 for part in segments(batch):
                     out: list[tuple] = []
-                    for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                        w = words.of(text)
+                    words, ends = hasher.words(part.column("text").to_pylist())
+                    begin = 0
+                    for doc_id, end in zip(part.column("doc_id").to_pylist(), ends.tolist()):
+                        w, begin = words[begin:end], end
                         best = _windows(items, w, shingles(w, SPAN), least) if len(w) >= SPAN else {}
                         for n in range(short, min(SPAN, len(w) + 1)):  # items shorter than a shingle
                             best |= _windows(items, w, shingles(w, n), least)

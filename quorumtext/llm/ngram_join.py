@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumtext.llm.arrow import frame, segments
-from quorumtext.llm.common import written
+from quorumtext.llm.common import bit_filter, in_filter, written
 from quorumtext.llm.graph import components
-from quorumtext.llm.shingles import Words, mix, shingles
+from quorumtext.llm.shingles import Hasher, distinct, mix
 
 #: Tokens a task counts at a time when it looks for frequent ones.
 WINDOW = 2_000_000
@@ -46,25 +46,31 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
-def prefix(tokens: np.ndarray, percent: int, order: int, frequent: np.ndarray) -> np.ndarray:
+def _among(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(sorted_, x)
+    at[at == len(sorted_)] = 0
+    return sorted_[at] == x
+
+
+def prefix(tokens: np.ndarray, rare: np.ndarray, percent: int, order: int) -> np.ndarray:
     """The first tokens of a set under an order: rare before frequent, then by a hash of the order's own."""
     n = len(tokens)
     take = n - -(-percent * n // 100) + 1
-    rank = mix(tokens + np.uint64(order * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(1)
-    if len(frequent):
-        at = np.searchsorted(frequent, tokens)
-        at[at == len(frequent)] = 0
-        rank |= (frequent[at] == tokens).astype(np.uint64) << np.uint64(63)
-    return tokens[np.argpartition(rank, take - 1)[:take]] if take < n else tokens
+    if take >= n:
+        return tokens
+    rank = (tokens ^ np.uint64((order + 1) * 0xD6E8FEB86659FD93 % (1 << 64))) * np.uint64(0xA0761D6478BD642F)
+    rank ^= rank >> np.uint64(32)
+    rank = rank >> np.uint64(1) | (~rare).astype(np.uint64) << np.uint64(63)
+    return tokens[np.argpartition(rank, take - 1)[:take]]
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union, of sorted sets."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    both = int((b[at] == a).sum())
+    both = int(_among(b, a).sum())
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
@@ -73,7 +79,7 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
     task's documents, equal sets counted once; their sums show the frequent tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, held, waiting = Words(), set(), 0, []
+        hasher, seen, held, waiting = Hasher(), set(), 0, []
 
         def repeated() -> pa.RecordBatch:
             token, count = np.unique(np.concatenate(waiting), return_counts=True)
@@ -84,8 +90,7 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for part in segments(batch):
                 sizes, f1, f2 = [], [], []
-                for text in part.column("text").to_pylist():
-                    tokens = np.unique(shingles(words.of(text), n))
+                for tokens in map(distinct, hasher.shingles(part.column("text").to_pylist(), n)):
                     a, b = fingerprint(tokens)
                     sizes.append(len(tokens))
                     f1.append(a)
@@ -137,48 +142,41 @@ def _buckets(frames: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"kind": [], "a": [], "b": []})
 
 
-def candidates(tokens: DataFrame, percent: int, order: int, frequent, shards: int) -> DataFrame:
-    """(kind, a, b): sets that share a prefix token under `order`.  `tokens`: (node, tokens) with packed sorted sets, or
-    (doc_id, text) rows."""
-    fields = tokens.columns
+def candidates(docs: DataFrame, n: int, percent: int, orders: int, frequent, shards: int) -> DataFrame:
+    """(ord, kind, a, b): sets that share a prefix token, under each of the orders."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, words, seen = frequent.value, Words(), set()
+        common, hasher, seen = frequent.value, Hasher(), set()
         for batch in batches:
-            for part in segments(batch, fields[1]):
-                parts, nodes = [], []
-                for key, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    if fields[1] == "text":
-                        own = np.unique(shingles(words.of(value), int(key)))
+            for part in segments(batch):
+                parts, nodes, sizes = [], [], []
+                for own in map(distinct, hasher.shingles(part.column("text").to_pylist(), n)):
+                    if len(own):
                         key = fingerprint(own)[0]
-                    else:
-                        own = np.frombuffer(value, np.uint64)
-                    if len(own) and key not in seen:
-                        if len(seen) > 1_000_000:
-                            seen.clear()  # equal sets sent twice cost only their rows
-                        seen.add(key)
-                        parts.append((prefix(own, percent, order, common), len(own)))
-                        nodes.append(key)
-                if not nodes:
-                    continue
-                length = [len(p) for p, _ in parts]
-                token = np.concatenate([p for p, _ in parts])
-                node = np.repeat(np.array(nodes, np.int64), length)
-                size = np.repeat(np.array([s for _, s in parts], np.int32), length)
-                shard = (mix(token) % np.uint64(shards)).astype(np.int32)
-                by = np.argsort(shard, kind="stable")
-                token, node, size, shard = token[by], node[by], size[by], shard[by]
-                cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist()
-                spans = list(zip(cuts, [*cuts[1:], len(shard)]))
-                yield frame(
-                    {
-                        "shard": (shard[cuts], pa.int32()), "tokens": ([token[a:b].tobytes() for a, b in spans], pa.binary()),
-                        "nodes": ([node[a:b].tobytes() for a, b in spans], pa.binary()), "sizes": ([size[a:b].tobytes() for a, b in spans], pa.binary()),
-                    }
-                )
-
-    sent = tokens.mapInArrow(emit, "shard int, tokens binary, nodes binary, sizes binary")
-    return sent.groupBy("shard").applyInPandas(lambda f: _buckets(f, percent), "kind string, a long, b long")
+                        if key not in seen:
+                            if len(seen) > 1_000_000:
+                                seen.clear()  # equal sets sent twice cost only their rows
+                            seen.add(key)
+                            rare = ~_among(common, own)
+                            parts.append([prefix(own, rare, percent, k) for k in range(orders)])
+                            nodes.append(key)
+                            sizes.append(len(own))
+                for k in range(orders if nodes else 0):
+                    length = [len(p[k]) for p in parts]
+                    token = np.concatenate([p[k] for p in parts])
+                    node, size = np.repeat(np.array(nodes, np.int64), length), np.repeat(np.array(sizes, np.int32), length)
+                    shard = (mix(token) % np.uint64(shards)).astype(np.int32)
+                    by = np.argsort(shard, kind="stable")
+                    token, node, size, shard = token[by], node[by], size[by], shard[by]
+                    cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist()
+                    spans = list(zip(cuts, [*cuts[1:], len(shard)]))
+                    pack = lambda x: ([x[a:b].tobytes() for a, b in spans], pa.binary())
+                    yield frame(
+                        {"ord": ([k] * len(cuts), pa.int32()), "shard": (shard[cuts], pa.int32()), "tokens": pack(token), "nodes": pack(node), "sizes": pack(size)}
+                    )
+
+    sent = docs.select("text").mapInArrow(emit, "ord int, shard int, tokens binary, nodes binary, sizes binary")
+    return sent.groupBy("ord", "shard").applyInPandas(lambda f: _buckets(f, percent).assign(ord=f["ord"].iloc[0]), "ord int, kind string, a long, b long")
 
 
 def _compare(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -240,25 +238,25 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80, orders: int = 2
     frequent = spark.sparkContext.broadcast(np.sort(_unsigned(often.to_numpy())))  # at most MOST_FREQUENT numbers
 
     sets = found.where("kind = 0").select(F.col("id").alias("doc_id"), "size", "f1", "f2")
-    texts = docs.select(F.lit(n).alias("n"), "text")
-    first = written(candidates(texts, percent, 0, frequent, shards).distinct(), "join-first")
-
-    # the sets of all nodes that met another, packed; one row a node
-    met = first.select(F.explode(F.array("a", "b")).alias("f1")).distinct()
-    chosen = sets.join(met, "f1").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.col("f1").alias("node"))
-    packed = _packed(docs, chosen, n)
-    packed = written(packed.dropDuplicates(["node"]), "join-packed")
-
-    pairs = first.where("kind = 'pair'").select("a", "b")
-    for k in range(1, orders):
-        again = candidates(packed, percent, k, frequent, shards)
-        # a bucket that is large under this order says nothing about its pairs
-        passed = again.where("kind = 'pair'").select("a", "b").distinct()
-        crowd = again.where("kind = 'star'").select("b").unionByName(again.where("kind = 'star'").select(F.col("a").alias("b"))).distinct()
-        crowded = pairs.join(crowd, "b", "left_semi").join(crowd.withColumnRenamed("b", "a"), "a", "left_semi").select("a", "b")
-        pairs = pairs.join(passed, ["a", "b"]).unionByName(crowded).distinct()
-    stars = first.where("kind = 'star'").select("a", "b")
-    links = written(_verified(pairs.unionByName(stars).distinct(), packed, percent), "join-links")
+    met = written(candidates(docs, n, percent, orders, frequent, shards), "join-met")
+    # a pair passes an order by a common small bucket, or if both have large buckets under it
+    pairs = met.where("kind = 'pair'").groupBy("a", "b").agg(F.collect_set("ord").alias("ords"))
+    crowd = met.where("kind = 'star'").select("ord", F.explode(F.array("a", "b")).alias("node")).distinct()
+    crowds = crowd.groupBy("node").agg(F.collect_set("ord").alias("in"))
+    part = pairs.where(F.size("ords") < orders)
+    part = part.join(crowds.select(F.col("node").alias("a"), F.col("in").alias("x")), "a")
+    part = part.join(crowds.select(F.col("node").alias("b"), F.col("in").alias("y")), "b")
+    part = part.where(F.size(F.array_union("ords", F.array_intersect("x", "y"))) == orders)
+    stars = met.where("kind = 'star' and ord = 0").select("a", "b").distinct()
+    pairs = pairs.where(F.size("ords") == orders).select("a", "b").unionByName(part.select("a", "b")).unionByName(stars).distinct()
+    pairs = written(pairs, "join-pairs")
+
+    # the sets of the nodes that are left, packed; one row a node
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("f1")).distinct()
+    chosen = sets.join(nodes, "f1").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"))
+    packed = written(_packed(docs, chosen, n), "join-packed")
+
+    links = written(_verified(pairs, packed, percent), "join-links")
 
     joined = components(links)
     group = components(stars).select("node", F.col("component").alias("bucket"))
@@ -286,15 +284,23 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80, orders: int = 2
 
 
 def _packed(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
-    """(node, tokens) of the chosen rows."""
-
-    @F.pandas_udf("struct<node:long,tokens:binary>")
-    def pack(text: pd.Series) -> pd.DataFrame:
-        words = Words()
-        sets = [np.unique(shingles(words.of(t), n)) for t in text]
-        return pd.DataFrame({"node": [fingerprint(s)[0] for s in sets], "tokens": [s.tobytes() for s in sets]})
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    kept = texts.join(chosen, texts.id.eqNullSafe(chosen.doc_id)).select("node", pack("text").alias("p"))
-    # rows that share the id but not the set are others
-    return kept.where("p.node = node").select("p.node", "p.tokens")
+    """(node, tokens) of the chosen rows: the documents are read again past a filter of fixed size.  What it lets through
+    by chance is another node, or the same one once more; neither changes what the joins find."""
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(chosen.select(F.col("f1").bitwiseXOR(F.coalesce("doc_id", F.lit(0))).alias("key")), "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, seen = Hasher(), set()
+        for batch in batches:
+            for part in segments(batch):
+                ids, nodes, sets = [], [], []
+                for i, own in zip(part.column("doc_id").to_pylist(), map(distinct, hasher.shingles(part.column("text").to_pylist(), n))):
+                    f1 = fingerprint(own)[0]
+                    if (i, f1) not in seen and in_filter(bits.value, np.array([f1 ^ (i or 0)]))[0]:
+                        seen.add((i, f1))
+                        ids.append(i)
+                        nodes.append(f1)
+                        sets.append(own.tobytes())
+                if ids:
+                    yield frame({"doc_id": (ids, pa.int64()), "node": (nodes, pa.int64()), "tokens": (sets, pa.binary())})
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, tokens binary")

@@ -17,16 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumtext.llm.arrow import frame, segments
-from quorumtext.llm.shingles import mix
+from quorumtext.llm.common import bit_filter, in_filter
+from quorumtext.llm.shingles import ODD, mix
 
 PIECE = 32
 BLOCK = 32
-#: Bits of the filter that says which anchors may occur twice.  Fewer bits than anchors need only send more contexts.
-FILTER_BITS = 1 << 25
-#: Contexts of a shard; anchors with more contexts than HOT are split by what surrounds them.
-SHARD, HOT = 12_000, 4_000
-RANGES = 8
-ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -134,7 +129,7 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _filter(docs: DataFrame, length: int) -> np.ndarray:
-    """Bit filter of the anchors that occur twice or more: FILTER_BITS at most reach the driver."""
+    """Filter of the anchors that occur twice or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,12 +139,7 @@ def _filter(docs: DataFrame, length: int) -> np.ndarray:
                 yield frame({"anchor": (a.view(np.int64), pa.int64()), "n": (n, pa.int64())})
 
     found = docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    bits = found.where("n > 1").select(F.pmod("anchor", F.lit(FILTER_BITS)).alias("bit"))
-    words = bits.groupBy(F.floor(F.col("bit") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("v"))
-    rows = words.toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[rows["w"].to_numpy(dtype=np.int64)] = rows["v"].to_numpy(dtype=np.int64)
-    return out.view(np.uint64)
+    return bit_filter(found.where("n > 1"), "anchor")
 
 
 def _bytes_at(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
@@ -285,7 +275,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     strings of `length` bytes which also start anywhere else."""
     spark = docs.sparkSession
     texts = docs.select("text").where(F.octet_length("text") >= length)
-    bits = spark.sparkContext.broadcast(_filter(texts, length))  # FILTER_BITS
+    bits = spark.sparkContext.broadcast(_filter(texts, length))  # of fixed size
     slim = texts.select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,8 +286,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
                 for k1, k2, text in zip(*(part.column(c).to_pylist() for c in range(3))):
                     raw = text.encode()
                     a, place, first, starts = anchors(raw, length)
-                    bit = (a.view(np.int64) % FILTER_BITS).astype(np.uint64)
-                    maybe = words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1) > 0
+                    maybe = in_filter(words, a.view(np.int64))
                     for h, p, s, n in zip(a[maybe].view(np.int64).tolist(), place[maybe].tolist(), first[maybe].tolist(), starts[maybe].tolist()):
                         seen.setdefault((h, p - s, raw[s : s + n + length - 1]), []).append((k1, k2, s, s + n + length - 1))
                 spans: dict[tuple[int, int], list] = {}
