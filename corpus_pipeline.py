@@ -1,11 +1,73 @@
-"""Corpus pipeline: each stage is one operator of the llm folder, written as Parquet and read by the next."""
+"""Corpus pipeline: each stage is one operator of the llm folder, written as Parquet and read by the next.
+
+Rows without doc_id take part in every stage.  Rows that share a doc_id count as one document.  Null texts have no
+language and go with the first stage.  Extra columns stay to the last stage, which returns the mix.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quorumtext.llm import decontam, langid, lines, mixing, ngram_join
+from quorumtext.llm.common import MADE, remove, small, written
+
+ROW = "__row"
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, ROW): the row whole, beside what the operators read."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW))
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learn the languages from the labelled rows of the fold for learning; rows without letters, and rows that no
+    language explains better than chance, go."""
+    model = langid.learn(langid.training_rows(docs))
+    found = langid.infer(_rows(docs), model, carry=ROW)
+    return langid.accepted(found).select(f"{ROW}.*")
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of ten documents or more go; texts keep the rest, and n_chars follows."""
+    found = lines.line_dedup(_rows(docs), carry=ROW)
+    text = F.when(F.col("text").isNotNull(), F.col("__kept"))
+    out = found.select(f"{ROW}.*", lines.kept_text(F.col("kept")).alias("__kept")).withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
 
-from quorumtext.llm import lines, mixing
-from quorumtext.llm.common import written
+def _name() -> Column:
+    """The id that the join knows a row by: rows without one get a large number from their text."""
+    own = F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 61)
+    return F.coalesce(F.col("doc_id").cast("long"), own)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents that links of similarity 0.8 join, the one with the smallest id stays.  Texts without words stay."""
+    named = docs.withColumn("__id", _name())
+    found = written(ngram_join.similar_sets(named.select(F.col("__id").alias("doc_id"), "text")), "pipeline-groups")
+    found = found.where("n_shingles > 0").withColumnRenamed("doc_id", "__id")
+    gone = small(found.where("__id <> component_id").select("__id").distinct())
+    twice = found.where("__id = component_id").groupBy("__id").count().where("count > 1").select("__id")
+    kept = named.join(gone, "__id", "left_anti")
+    if not twice.isEmpty():
+        twice = small(twice)
+        once = kept.join(twice, "__id", "left_semi").dropDuplicates(["__id"])
+        kept = kept.join(twice, "__id", "left_anti").unionByName(once)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or a near copy of one, go.  Found by text, so equal texts go together."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    named = docs.withColumn("__key", F.xxhash64("text"))
+    found = decontam.contaminated(named.select(F.col("__key").alias("doc_id"), "text"), benchmark)
+    found = written(found.select(F.col("doc_id").alias("__key")).distinct(), "pipeline-leaks")
+    return named.join(small(found), "__key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +75,31 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs)
 
 
-STAGES = [("mix", mix)]
+#: Tables that the last call of each stage wrote for itself.
+_own: dict[str, list[str]] = {}
+
+
+def _stage(name: str, before: str | None, work: Callable) -> tuple[str, Callable]:
+    """The stage under its name.  Its docs are the written result of the stage before, so that one's own tables go."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if before:
+            remove(spark, _own.pop(before, []))
+        start = len(MADE)
+        out = work(spark, docs, sf_dir)
+        _own[name] = MADE[start:]
+        return out
+
+    return name, run_stage
+
+
+STAGES = [
+    _stage("language", None, identify),
+    _stage("line_dedup", "language", dedup_lines),
+    _stage("near_dup", "line_dedup", dedup_near),
+    _stage("decontaminate", "near_dup", decontaminate),
+    _stage("mix", "decontaminate", mix),
+]
 
 #: The language stage learns its model, which SQL cannot express; tests compare the stages with plain Python.
 ORACLE_SQL = None

@@ -21,15 +21,32 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: Tables written so far and not removed, by the session's user.
+MADE: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back: lineage is cut, and the rows stay readable
     when executors are lost."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    MADE.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """`df` marked for broadcast if it has at most `rows` rows; beyond that Spark joins it as it sees fit."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only.  Text of ASCII alone takes the fast built-in."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quorumtext.llm.arrow import frame, segments
 
@@ -158,8 +159,8 @@ def mixtures(n: np.ndarray, feature: np.ndarray, of: np.ndarray, docs: int, logp
     return out, fit
 
 
-def infer(docs: DataFrame, model: Model, penalty: float = 3.0, rounds: int = 30) -> DataFrame:
-    """(doc_id, lang_pred, score, shares, fit) of each row's whole text.
+def infer(docs: DataFrame, model: Model, penalty: float = 3.0, rounds: int = 30, carry: str | None = None) -> DataFrame:
+    """(doc_id, lang_pred, score, shares, fit) of each row's whole text, and the column `carry` if one is named.
 
     `shares` lists the languages found with their proportions, largest first; `lang_pred` is the first (ties: the
     smaller name) and `score` its proportion.  `fit` is the mean log likelihood of a trigram.  Null text, text without
@@ -187,15 +188,16 @@ def infer(docs: DataFrame, model: Model, penalty: float = 3.0, rounds: int = 30)
                     score.append(float(min(row[order[0]], 1.0)) if ok else 0.0)
                     shares.append([{"lang": langs[i], "share": float(row[i])} for i in order if row[i] > 0])
                 share_type = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-                yield frame(
-                    {
-                        "doc_id": (part.column("doc_id"), None), "lang_pred": (pred, pa.string()), "score": (score, pa.float64()),
-                        "shares": (shares, share_type), "fit": (fit, pa.float64()),
-                    }
-                )
+                out = {
+                    "doc_id": (part.column("doc_id"), None), "lang_pred": (pred, pa.string()), "score": (score, pa.float64()),
+                    "shares": (shares, share_type), "fit": (fit, pa.float64()),
+                }
+                yield frame(out | ({carry: (part.column(carry), None)} if carry else {}))
 
     schema = "doc_id long, lang_pred string, score double, shares array<struct<lang:string,share:double>>, fit double"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    slim = docs.select(F.col("doc_id").cast("long"), "text", *([carry] if carry else []))
+    schema = StructType.fromDDL(schema)
+    return slim.mapInArrow(run, StructType(schema.fields + [f for f in slim.schema.fields if f.name == carry]))
 
 
 def held_out(docs: DataFrame):
@@ -206,3 +208,8 @@ def held_out(docs: DataFrame):
 def training_rows(docs: DataFrame) -> DataFrame:
     """(text, lang) of the rows that may be learnt from."""
     return docs.where(F.col("doc_id").isNotNull() & ~held_out(docs)).select("text", "lang")
+
+
+def accepted(found: DataFrame) -> DataFrame:
+    """The rows of `infer` whose text some language explains better than trigrams drawn at random would be."""
+    return found.where((F.col("lang_pred") != "und") & (F.col("fit") > -float(np.log(FEATURES))))

@@ -18,8 +18,9 @@ def _hash(line: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, salts: int = 16) -> DataFrame:
-    """(doc_id, lines, kept): every line of each row, and the lines that stay, in their order.
+def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, salts: int = 16, carry: str | None = None) -> DataFrame:
+    """(doc_id, lines, kept): every line of each row, and the lines that stay, in their order; and the column `carry` if
+    one is named.
 
     A key is the line without ASCII white space at its ends, A-Z lower-cased.  Keys of `min_chars` code points or
     more that occur in at least `min_docs` documents are dropped everywhere.
@@ -46,10 +47,11 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, salts: i
     drop = drop.select("h", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     # a document's set is bounded by its own lines
     gone = pairs.join(drop, ["h", "salt"]).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("h").alias("__gone"))
-    both = base.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    lines = both.select("doc_id", "__gone", _lines(F.col("text")).alias("lines"))
+    more = [carry] if carry else []
+    both = docs.select("doc_id", "text", *more).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    lines = both.select("doc_id", "__gone", _lines(F.col("text")).alias("lines"), *more)
     stays = F.filter("lines", lambda x: ~F.array_contains("__gone", _hash(ascii_lower(x))))
-    return lines.select("doc_id", "lines", F.when(F.col("__gone").isNull(), F.col("lines")).otherwise(stays).alias("kept"))
+    return lines.select("doc_id", "lines", F.when(F.col("__gone").isNull(), F.col("lines")).otherwise(stays).alias("kept"), *more)
 
 
 def kept_text(kept: Column) -> Column:
