@@ -109,8 +109,8 @@ def mixtures(n: np.ndarray, feature: np.ndarray, of: np.ndarray, docs: int, logp
     """Proportions of each document's languages, and its log likelihood a trigram.
 
     Starts from the best single language.  The language along which the likelihood rises most is added, and stays if
-    the fitted likelihood grows by more than `penalty` x log(trigrams).  The likelihood is concave in the
-    proportions, so a language whose slope is below the penalty is not tried."""
+    the fitted likelihood grows by more than `penalty` x log(trigrams); one that costs less than that to leave out goes.
+    The likelihood is concave in the proportions, so a language whose slope is below the penalty is not tried."""
     out, fit = np.zeros((docs, logp.shape[1])), np.zeros(docs)
     if not len(n):
         return out, fit
@@ -155,6 +155,21 @@ def mixtures(n: np.ndarray, feature: np.ndarray, of: np.ndarray, docs: int, logp
         better = value - ll[who] > cost[who]
         open_[who[~better]] = False
         mix[who[better]], ll[who[better]] = new[better], value[better]
+    # a language that a later one has made superfluous goes again
+    for j in range(logp.shape[1]):
+        trial = (mix[:, j] > 0) & ((mix > 0).sum(1) > 1)
+        take = trial[local]
+        if not take.any():
+            continue
+        who = np.flatnonzero(trial)
+        at = np.flatnonzero(np.diff(local[take], prepend=-1))
+        own = np.repeat(np.arange(len(who)), np.diff(np.append(at, take.sum())))
+        start = mix[who]
+        start[:, j] = 0
+        start /= start.sum(1, keepdims=True)
+        new, value = _em(p[take], n[take], at, own, start, rounds)
+        gone = ll[who] - value < cost[who]
+        mix[who[gone]], ll[who[gone]] = new[gone], value[gone]
     out[ids], fit[ids] = mix, (ll + base) / total
     return out, fit
 

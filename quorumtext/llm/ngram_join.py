@@ -28,6 +28,7 @@ MOST_FREQUENT = 500_000
 LARGE = 48
 #: Sets of a block, on either side, when the rest of a large bucket is compared.
 BLOCK = 1500
+PAIR, STAR = 0, 1
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -111,7 +112,7 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _buckets(frames: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Of one shard: `pair` rows of small buckets, `star` rows (pivot, member) of large ones."""
+    """Of one shard: PAIR rows of small buckets, STAR rows (pivot, member) of large ones."""
     token = np.concatenate([np.frombuffer(b, np.uint64) for b in frames["tokens"]])
     node = np.concatenate([np.frombuffer(b, np.int64) for b in frames["nodes"]])
     size = np.concatenate([np.frombuffer(b, np.int32) for b in frames["sizes"]])
@@ -135,11 +136,11 @@ def _buckets(frames: pd.DataFrame, percent: int) -> pd.DataFrame:
             fits = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
             pairs.append(np.unique(np.stack([a[fits], b[fits]], 1), axis=0))
     out = []
-    for kind, found in (("pair", pairs), ("star", stars)):
+    for kind, found in ((PAIR, pairs), (STAR, stars)):
         if found:
             ab = np.unique(np.concatenate(found), axis=0)
             out.append(pd.DataFrame({"kind": kind, "a": ab[:, 0], "b": ab[:, 1]}))
-    return pd.concat(out) if out else pd.DataFrame({"kind": [], "a": [], "b": []})
+    return pd.concat(out) if out else pd.DataFrame({"kind": [], "a": [], "b": []}, dtype="int64")
 
 
 def candidates(docs: DataFrame, n: int, percent: int, orders: int, frequent, shards: int) -> DataFrame:
@@ -176,7 +177,7 @@ def candidates(docs: DataFrame, n: int, percent: int, orders: int, frequent, sha
                     )
 
     sent = docs.select("text").mapInArrow(emit, "ord int, shard int, tokens binary, nodes binary, sizes binary")
-    return sent.groupBy("ord", "shard").applyInPandas(lambda f: _buckets(f, percent).assign(ord=f["ord"].iloc[0]), "ord int, kind string, a long, b long")
+    return sent.groupBy("ord", "shard").applyInPandas(lambda f: _buckets(f, percent).assign(ord=f["ord"].iloc[0]), "ord int, kind int, a long, b long")
 
 
 def _compare(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -240,14 +241,14 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80, orders: int = 2
     sets = found.where("kind = 0").select(F.col("id").alias("doc_id"), "size", "f1", "f2")
     met = written(candidates(docs, n, percent, orders, frequent, shards), "join-met")
     # a pair passes an order by a common small bucket, or if both have large buckets under it
-    pairs = met.where("kind = 'pair'").groupBy("a", "b").agg(F.collect_set("ord").alias("ords"))
-    crowd = met.where("kind = 'star'").select("ord", F.explode(F.array("a", "b")).alias("node")).distinct()
+    pairs = met.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.collect_set("ord").alias("ords"))
+    crowd = met.where(F.col("kind") == STAR).select("ord", F.explode(F.array("a", "b")).alias("node")).distinct()
     crowds = crowd.groupBy("node").agg(F.collect_set("ord").alias("in"))
     part = pairs.where(F.size("ords") < orders)
     part = part.join(crowds.select(F.col("node").alias("a"), F.col("in").alias("x")), "a")
     part = part.join(crowds.select(F.col("node").alias("b"), F.col("in").alias("y")), "b")
     part = part.where(F.size(F.array_union("ords", F.array_intersect("x", "y"))) == orders)
-    stars = met.where("kind = 'star' and ord = 0").select("a", "b").distinct()
+    stars = met.where((F.col("kind") == STAR) & (F.col("ord") == 0)).select("a", "b").distinct()
     pairs = pairs.where(F.size("ords") == orders).select("a", "b").unionByName(part.select("a", "b")).unionByName(stars).distinct()
     pairs = written(pairs, "join-pairs")
 

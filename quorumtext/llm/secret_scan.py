@@ -70,7 +70,7 @@ def _grams(s: str):
 
 
 def _ask(run: set[str]):
-    return _both([_grams(s) for s in run], "or")
+    return _both([_grams(s) for s in sorted(run)], "or")
 
 
 def _exact(op, arg) -> set[str] | None:
