@@ -1,13 +1,15 @@
 """N-gram Jaccard join with prefix filters under several global token orders.
 
-Documents are sets of distinct word shingles.  Two sets of similarity t or more share, under any order of all tokens, a
-token among the first |x| - ceil(t |x|) + 1 of either.  A pair must pass that filter under every order before its
+Documents are sets of distinct word shingles.  Two sets of similarity t or more share, under any order of all tokens, k
+tokens among the first |x| - ceil(t |x|) + k of either.  A pair must pass that filter under every order before its
 similarity is computed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,9 @@ MOST_FREQUENT = 500_000
 LARGE = 48
 #: Sets of a block, on either side, when the rest of a large bucket is compared.
 BLOCK = 1500
-PAIR, STAR = 0, 1
+PAIR, STAR, CROWD = 0, 1, 2
+#: Prefix tokens of a shard.
+SHARD = 2_000_000
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -55,10 +59,16 @@ def _among(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_[at] == x
 
 
+def spare(size):
+    """Tokens by which prefixes are longer than they must be for one common token.  Prefixes of similar sets then
+    share so many: at least the smaller `spare` of the two."""
+    return size // 20 + 1
+
+
 def prefix(tokens: np.ndarray, rare: np.ndarray, percent: int, order: int) -> np.ndarray:
     """The first tokens of a set under an order: rare before frequent, then by a hash of the order's own."""
     n = len(tokens)
-    take = n - -(-percent * n // 100) + 1
+    take = n - -(-percent * n // 100) + spare(n)
     if take >= n:
         return tokens
     rank = (tokens ^ np.uint64((order + 1) * 0xD6E8FEB86659FD93 % (1 << 64))) * np.uint64(0xA0761D6478BD642F)
@@ -111,40 +121,54 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind int, id long, size long, f1 long, f2 long")
 
 
-def _buckets(frames: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Of one shard: PAIR rows of small buckets, STAR rows (pivot, member) of large ones."""
-    token = np.concatenate([np.frombuffer(b, np.uint64) for b in frames["tokens"]])
-    node = np.concatenate([np.frombuffer(b, np.int64) for b in frames["nodes"]])
-    size = np.concatenate([np.frombuffer(b, np.int32) for b in frames["sizes"]])
+def _buckets(f: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Of one shard: PAIR rows (a, b, common tokens, tokens needed) of small buckets, STAR rows (pivot, member) of large
+    ones, CROWD rows (node, its tokens in large buckets)."""
+    tables = [np.frombuffer(b, np.int64) for b in f["nodes"]]
+    sizes = np.concatenate([np.frombuffer(b, np.int32) for b in f["sizes"]])
+    nodes, first, inverse = np.unique(np.concatenate(tables), return_index=True, return_inverse=True)
+    sizes = sizes[first].astype(np.int64)
+    starts = np.cumsum([0, *map(len, tables)])
+    place = np.concatenate([np.frombuffer(b, np.uint32).astype(np.int64) + a for b, a in zip(f["places"], starts)])
+    token, node = np.concatenate([np.frombuffer(b, np.uint64) for b in f["tokens"]]), inverse[place]
     order = np.lexsort((node, token))
-    token, node, size = token[order], node[order], size[order]
-    keep = np.ones(len(token), bool)
-    keep[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-    token, node, size = token[keep], node[keep], size[keep]
+    token, node = token[order], node[order]
+    keep = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
+    token, node = token[keep], node[keep]
     cuts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
     count = np.diff(np.append(cuts, len(token)))
-    pairs, stars = [], []
+    wide, out = np.int64(len(nodes)), []
+
+    def rows(kind, a, b, common, need):
+        return pd.DataFrame({"kind": np.full(len(a), kind), "a": nodes[a], "b": nodes[b], "common": common, "need": need})
+
+    pairs, times, stars = np.empty(0, np.int64), np.empty(0, np.int64), []
+    held = np.zeros(len(nodes), np.int64)
     for c in np.unique(count[count > 1]).tolist():
-        rows = cuts[count == c][:, None] + np.arange(c)
+        members = node[cuts[count == c][:, None] + np.arange(c)]
         if c > LARGE:
-            members = node[rows]
-            stars.append(np.stack([np.repeat(members[:, 0], c - 1), members[:, 1:].ravel()], 1))
+            stars.append(np.unique(np.repeat(members[:, 0], c - 1) * wide + members[:, 1:].ravel()))
+            held += np.bincount(members.ravel(), minlength=len(nodes))
             continue
         i, j = np.triu_indices(c, 1)
-        for some in np.array_split(rows, max(1, len(rows) * len(i) // 2_000_000)):  # bounded memory
-            a, b, x, y = node[some][:, i].ravel(), node[some][:, j].ravel(), size[some][:, i].ravel(), size[some][:, j].ravel()
-            fits = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
-            pairs.append(np.unique(np.stack([a[fits], b[fits]], 1), axis=0))
-    out = []
-    for kind, found in ((PAIR, pairs), (STAR, stars)):
-        if found:
-            ab = np.unique(np.concatenate(found), axis=0)
-            out.append(pd.DataFrame({"kind": kind, "a": ab[:, 0], "b": ab[:, 1]}))
-    return pd.concat(out) if out else pd.DataFrame({"kind": [], "a": [], "b": []}, dtype="int64")
+        for some in np.array_split(members, max(1, len(members) * len(i) // 2_000_000)):  # bounded memory
+            a, b = some[:, i].ravel(), some[:, j].ravel()
+            fits = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
+            key, n = np.unique(a[fits] * wide + b[fits], return_counts=True)
+            pairs, back = np.unique(np.append(pairs, key), return_inverse=True)
+            times = np.bincount(back, weights=np.append(times, n), minlength=len(pairs)).astype(np.int64)
+    a, b = pairs // wide, pairs % wide
+    out.append(rows(PAIR, a, b, times, spare(np.minimum(sizes[a], sizes[b]))))
+    if stars:
+        star = np.unique(np.concatenate(stars))
+        out.append(rows(STAR, star // wide, star % wide, 0, 0))
+        crowd = np.flatnonzero(held)
+        out.append(rows(CROWD, crowd, crowd, held[crowd], 0))
+    return pd.concat(out).astype("int64")
 
 
 def candidates(docs: DataFrame, n: int, percent: int, orders: int, frequent, shards: int) -> DataFrame:
-    """(ord, kind, a, b): sets that share a prefix token, under each of the orders."""
+    """(ord, kind, a, b, common, need): sets that share prefix tokens, under each of the orders (see `_buckets`)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, hasher, seen = frequent.value, Hasher(), set()
@@ -165,19 +189,23 @@ def candidates(docs: DataFrame, n: int, percent: int, orders: int, frequent, sha
                 for k in range(orders if nodes else 0):
                     length = [len(p[k]) for p in parts]
                     token = np.concatenate([p[k] for p in parts])
-                    node, size = np.repeat(np.array(nodes, np.int64), length), np.repeat(np.array(sizes, np.int32), length)
+                    doc = np.repeat(np.arange(len(nodes)), length)
                     shard = (mix(token) % np.uint64(shards)).astype(np.int32)
                     by = np.argsort(shard, kind="stable")
-                    token, node, size, shard = token[by], node[by], size[by], shard[by]
+                    token, doc, shard = token[by], doc[by], shard[by]
                     cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist()
-                    spans = list(zip(cuts, [*cuts[1:], len(shard)]))
-                    pack = lambda x: ([x[a:b].tobytes() for a, b in spans], pa.binary())
-                    yield frame(
-                        {"ord": ([k] * len(cuts), pa.int32()), "shard": (shard[cuts], pa.int32()), "tokens": pack(token), "nodes": pack(node), "sizes": pack(size)}
-                    )
+                    packs: dict[str, list] = {"tokens": [], "places": [], "nodes": [], "sizes": []}
+                    for a, b in zip(cuts, [*cuts[1:], len(shard)]):
+                        own, places = np.unique(doc[a:b], return_inverse=True)
+                        packs["tokens"].append(token[a:b].tobytes())
+                        packs["places"].append(places.astype(np.uint32).tobytes())
+                        packs["nodes"].append(np.array(nodes, np.int64)[own].tobytes())
+                        packs["sizes"].append(np.array(sizes, np.int32)[own].tobytes())
+                    columns = {"ord": ([k] * len(cuts), pa.int32()), "shard": (shard[cuts], pa.int32())}
+                    yield frame(columns | {name: (v, pa.binary()) for name, v in packs.items()})
 
-    sent = docs.select("text").mapInArrow(emit, "ord int, shard int, tokens binary, nodes binary, sizes binary")
-    return sent.groupBy("ord", "shard").applyInPandas(lambda f: _buckets(f, percent).assign(ord=f["ord"].iloc[0]), "ord int, kind int, a long, b long")
+    sent = docs.select("text").mapInArrow(emit, "ord int, shard int, tokens binary, places binary, nodes binary, sizes binary")
+    return sent.groupBy("ord", "shard").applyInPandas(lambda f: _buckets(f, percent).assign(ord=f["ord"].iloc[0]), "ord int, kind int, a long, b long, common long, need long")
 
 
 def _compare(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -232,24 +260,27 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80, orders: int = 2
     pair: whatever is in one component already needs no further test, so no link between components is lost.
     """
     spark = docs.sparkSession
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
     found = written(shingle_sets(docs, n), "join-sets")
     often = found.where("kind = 1").groupBy(F.col("f1").alias("token")).agg(F.sum("size").alias("c")).where(F.col("c") >= min_frequent)
     often = often.orderBy(F.desc("c"), "token").limit(MOST_FREQUENT).select("token").toPandas()["token"]
     frequent = spark.sparkContext.broadcast(np.sort(_unsigned(often.to_numpy())))  # at most MOST_FREQUENT numbers
 
     sets = found.where("kind = 0").select(F.col("id").alias("doc_id"), "size", "f1", "f2")
+    total = sets.agg(F.sum("size")).first()[0] or 0
+    shards = max(1, -(-total * (125 - percent) // 100 // SHARD))
     met = written(candidates(docs, n, percent, orders, frequent, shards), "join-met")
-    # a pair passes an order by a common small bucket, or if both have large buckets under it
-    pairs = met.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.collect_set("ord").alias("ords"))
-    crowd = met.where(F.col("kind") == STAR).select("ord", F.explode(F.array("a", "b")).alias("node")).distinct()
-    crowds = crowd.groupBy("node").agg(F.collect_set("ord").alias("in"))
-    part = pairs.where(F.size("ords") < orders)
-    part = part.join(crowds.select(F.col("node").alias("a"), F.col("in").alias("x")), "a")
-    part = part.join(crowds.select(F.col("node").alias("b"), F.col("in").alias("y")), "b")
-    part = part.where(F.size(F.array_union("ords", F.array_intersect("x", "y"))) == orders)
+    # under each order a pair must share as many prefix tokens as are needed; those in large buckets are not counted by
+    # pair, so each side's number of them bounds what may be missing
+    under = lambda c, k: F.coalesce(F.sum(F.when(F.col("ord") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}")
+    pairs = met.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.max("need").alias("need"), *[under("common", k) for k in range(orders)])
+    crowd = met.where(F.col("kind") == CROWD).groupBy("a").agg(*[under("common", k) for k in range(orders)])
+    side = lambda c: crowd.select(F.col("a").alias(c), *[F.col(f"common{k}").alias(f"{c}{k}") for k in range(orders)])
+    enough = lambda missing: reduce(and_, [F.col(f"common{k}") + missing(k) >= F.col("need") for k in range(orders)])
+    sure = pairs.where(enough(lambda k: F.lit(0)))
+    rest = pairs.where(~enough(lambda k: F.lit(0))).join(side("a"), "a").join(side("b"), "b")
+    rest = rest.where(enough(lambda k: F.least(f"a{k}", f"b{k}")))
     stars = met.where((F.col("kind") == STAR) & (F.col("ord") == 0)).select("a", "b").distinct()
-    pairs = pairs.where(F.size("ords") == orders).select("a", "b").unionByName(part.select("a", "b")).unionByName(stars).distinct()
+    pairs = sure.select("a", "b").unionByName(rest.select("a", "b")).unionByName(stars).distinct()
     pairs = written(pairs, "join-pairs")
 
     # the sets of the nodes that are left, packed; one row a node
