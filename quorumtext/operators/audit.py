@@ -159,7 +159,9 @@ def score_words(runs: DataFrame) -> DataFrame:
     pred = F.coalesce("pred", F.lit(""))
     p, g = F.col("p"), F.col("g")
     keyed = runs.withColumn("p", bench_norm(F.col("pred"))).withColumn("g", bench_norm(F.col("label")))
-    near = F.exists(F.coalesce("neighbours", F.array().cast("array<string>")), lambda x: F.regexp_replace(F.lower(x), r"[^0-9a-z\x{0080}-\x{FFFF}]", "") == p)
+    # neighbours take the same normal form as the prediction, all of a row in one call; the mark between them stays
+    between = "\ue000"
+    near = F.array_contains(F.split(bench_norm(F.array_join(F.coalesce("neighbours", F.array().cast("array<string>")), between)), between), p)
     digits = lambda c: F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0))
     return keyed.select(
         *runs.columns,

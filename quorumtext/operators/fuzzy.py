@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from quorumtext.functions import rx as R
 from quorumtext.functions import text as X
-from quorumtext.functions.arrow import seq_ratio
+from quorumtext.functions.arrow import seq_ratio_from
 
 SALT = 8  # tasks a frequent letter pair is dealt over
 
@@ -114,15 +114,6 @@ def near_join(left: DataFrame, right: DataFrame, a: str = "a", b: str = "b") ->
 
 # ---------------------------------------------------------------- sequence ratio
 
-def _common_letters(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of the letters: an upper bound of the matched letters."""
-    def count(s: Column, ch: Column) -> Column:
-        return F.length(s) - F.length(F.replace(s, ch, F.lit("")))
-
-    letters = F.filter(F.array_distinct(F.split(a, "")), lambda ch: ch != "")
-    return F.aggregate(letters, F.lit(0), lambda acc, ch: acc + F.least(count(a, ch), count(b, ch)))
-
-
 def _least_match(total: int, cutoff: float) -> int:
     return math.ceil(cutoff * total / 2 - 1e-9)
 
@@ -135,7 +126,8 @@ def _sparse_totals(cutoff: float) -> list[int]:
     """
     if cutoff <= 2 / 3:
         raise ValueError("cutoff must be above 2/3 for the letter-pair blocks to be complete")
-    return [t for t in range(2, 400) if 3 * _least_match(t, cutoff) <= t + 1]
+    longest = math.ceil(1 / (1.5 * cutoff - 1)) + 2
+    return [t for t in range(2, longest + 1) if 3 * _least_match(t, cutoff) <= t + 1]
 
 
 def _blocks(c: Column, cutoff: float) -> Column:
@@ -184,10 +176,8 @@ def fuzzy_pairs(words: DataFrame, entries: DataFrame, cutoff: float, word: str =
     es = es.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).withColumn("salt", F.col("salt").cast("bigint"))
     on = ["block", "salt"]
     met = spread(ws, *on).join(spread(es, *on), on).where(fits).groupBy(word, entry).agg(F.count("*").alias("common"))
-    # one predicate on the count, so the letter test cannot be pushed below the grouping
-    enough = F.when(F.col("common") >= needed, 2 * _common_letters(w, e) >= cutoff * total - 1e-9).otherwise(False)
-    likely = met.where(enough).select(word, entry)
-    return likely.withColumn("ratio", seq_ratio(e, w)).where(F.col("ratio") >= cutoff)
+    likely = met.where(F.col("common") >= needed).select(word, entry)
+    return likely.withColumn("ratio", seq_ratio_from(cutoff)(e, w)).where(F.col("ratio") >= cutoff)
 
 
 def fuzzy_top(words: DataFrame, entries: DataFrame, cutoff: float, n: int, word: str = "word", entry: str = "entry") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Event-log operators in batch form: trailing windows, cool-down, stalls, overlap, admission, job progress.
+"""Event-log operators in batch form: trailing windows, cool-down, stalls, overlap, job progress.
 
 A busy client or reader can own a large part of a log, so nothing here puts a whole key into one window: time is
 cut into chunks, a chunk borrows the rows of the one before that its window can reach, and running values add a
@@ -7,10 +7,6 @@ small per-chunk summary to the value inside the chunk.
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,41 +87,6 @@ def overlap(jobs: DataFrame, cap: int = 4, chunk_seconds: int = 3600) -> DataFra
     return out.where("delta = 1").select("job", "host", F.col("running").alias("in_flight"), (F.col("running") > cap).alias("over_cap"))
 
 
-def admit(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """bucket, client, ts, request_id -> admitted, retry_after: at most `limit` admitted hits per trailing window.
-
-    Admission depends on earlier admissions, but never across a silence of a whole window: a client's log is cut
-    there, the pieces are spread over tasks and each is read once, in order, holding `limit` times.
-    """
-    keys = ["bucket", "client"]
-    seen = trailing(requests, keys, seconds, {"recent": F.count("*")}, False)
-    starts = seen.withColumn("us", F.unix_micros("ts")).withColumn("start", F.when(F.col("recent") == 0, F.col("us")).otherwise(F.lit(-1)))
-    cut = running(starts, keys, "start", "max", tie="request_id").withColumnRenamed("running", "piece")
-    ordered = cut.select(*keys, "piece", "us", "request_id").repartition(*keys, "piece").sortWithinPartitions(*keys, "piece", "us", "request_id")
-    width = seconds * SECOND
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, hits = None, deque()
-        for batch in batches:
-            verdicts = []
-            for bucket, client, piece, now in zip(batch["bucket"], batch["client"], batch["piece"], batch["us"]):
-                if (bucket, client, piece) != current:
-                    current, hits = (bucket, client, piece), deque()
-                while hits and hits[0] <= now - width:
-                    hits.popleft()
-                if len(hits) < limit:
-                    hits.append(now)
-                    verdicts.append((True, 0))
-                else:
-                    wait = (hits[0] if hits else now) + width - now
-                    verdicts.append((False, max(1, -(-int(wait) // SECOND))))
-            yield pd.DataFrame({
-                "request_id": batch["request_id"], "admitted": [v[0] for v in verdicts], "retry_after": [v[1] for v in verdicts],
-            })
-
-    return ordered.mapInPandas(decide, "request_id bigint, admitted boolean, retry_after int")
-
-
 # ---------------------------------------------------------------- job progress
 
 READER_STATE = {"start": "running", "done": "done", "failed": "failed", "timeout": "timeout"}
@@ -142,17 +103,24 @@ def stage_states(events: DataFrame) -> DataFrame:
     return e.groupBy("job_id", "stage").agg(F.max_by("state", "seq").alias("state"))
 
 
-def reader_states(events: DataFrame) -> DataFrame:
-    """(job_id, slot, state, model, replaced): last state of every reader slot, and how often a spare stood in."""
+def reader_states(events: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """(job_id, slot, state, model, replaced): last state of every reader slot, and how often a spare stood in.
+
+    The model before an event is looked up inside its chunk of the sequence; a chunk starts from the last model of the
+    chunks before it, one row each, so a slot with many events is many tasks.
+    """
     e = events.where("type = 'reader' and slot is not null").withColumn("state", _lookup(READER_STATE, F.col("status"))).where("state is not null")
-    w = Window.partitionBy("job_id", "slot").orderBy("seq")
-    last_model = F.last("model", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    swapped = (F.col("status") == "start") & (F.col("model") != last_model)
-    marked = e.withColumn("swapped", F.coalesce(swapped, F.lit(False)).cast("int"))
-    return marked.groupBy("job_id", "slot").agg(
-        F.max_by("state", "seq").alias("state"), F.max_by("model", F.when(F.col("model").isNotNull(), F.col("seq"))).alias("model"),
-        F.sum("swapped").alias("replaced"),
-    )
+    e = e.withColumn("chunk", F.floor(F.col("seq") / chunk))
+    keys = ["job_id", "slot"]
+    named = F.when(F.col("model").isNotNull(), F.col("seq"))
+    ends = e.groupBy(*keys, "chunk").agg(F.max_by("model", named).alias("model"))
+    before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "chunk", F.last("model", ignorenulls=True).over(before).alias("carried"))
+    w = Window.partitionBy(*keys, "chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    seen = e.join(ends, [*keys, "chunk"]).withColumn("last_model", F.coalesce(F.last("model", ignorenulls=True).over(w), "carried"))
+    swapped = (F.col("status") == "start") & (F.col("model") != F.col("last_model"))
+    marked = seen.withColumn("swapped", F.coalesce(swapped, F.lit(False)).cast("int"))
+    return marked.groupBy(*keys).agg(F.max_by("state", "seq").alias("state"), F.max_by("model", named).alias("model"), F.sum("swapped").alias("replaced"))
 
 
 def order_check(events: DataFrame) -> DataFrame:

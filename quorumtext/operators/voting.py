@@ -68,9 +68,12 @@ def drop_translations(readings: DataFrame) -> DataFrame:
 
 
 def latest_per_slot(readings: DataFrame) -> DataFrame:
-    """One reading per (page, slot): the newest.  Combines map-side, so repeated deliveries never pile up."""
-    newest = F.max_by(F.struct("reader", "text"), F.col("ts")).alias("r")
-    return readings.groupBy("page_id", "slot").agg(newest).select("page_id", "slot", "r.reader", "r.text")
+    """One reading per (page, slot): the newest by `ts`, without that column any one of them with text.  Combines
+    map-side, so repeated deliveries never pile up."""
+    rest = [c for c in readings.columns if c not in ("page_id", "slot", "ts")]
+    newest = F.col("ts") if "ts" in readings.columns else F.struct(F.coalesce(X.strip(F.col("text")) != "", F.lit(False)), "reader", "text")
+    kept = F.max_by(F.struct(*rest), newest).alias("__r")
+    return readings.groupBy("page_id", "slot").agg(kept).select("page_id", "slot", "__r.*")
 
 
 def dedupe_claims(readings: DataFrame) -> DataFrame:

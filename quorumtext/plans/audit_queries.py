@@ -16,28 +16,28 @@ from quorumtext.plans.text_queries import hash_sql, pick
 
 
 def vec_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return I.table(spark, sf, "embeddings").select("vec_id", "label", L.gradient_bits(F.col("embedding"), 16).alias("h"))
+    return I.table(spark, sf, "embeddings").select("vec_id", "label", L.gradient_bits(F.col("embedding"), 64).alias("h"))
 
 
-HASHES = f"h AS (SELECT vec_id, label, {hash_sql(16)} AS h FROM embeddings)"
+HASHES = f"h AS (SELECT vec_id, label, {hash_sql(64)} AS h FROM embeddings)"
 
 
 @query(
     "hamming_join",
-    f"WITH {HASHES}, u AS (SELECT DISTINCT h FROM h) SELECT a.h AS ha, b.h AS hb, bit_count(xor(a.h, b.h)) AS d FROM u a JOIN u b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= 2",
+    f"WITH {HASHES}, u AS (SELECT DISTINCT h FROM h) SELECT a.h AS ha, b.h AS hb, bit_count(xor(a.h, b.h)) AS d FROM u a JOIN u b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= 10",
 )
 def hamming_join(spark: SparkSession, sf: str) -> DataFrame:
     h = vec_hash(spark, sf)
-    return A.hamming_join(h.select(F.col("h").alias("ha")), h.select(F.col("h").alias("hb")), 2, 16, 1).where("ha < hb")
+    return A.hamming_join(h.select(F.col("h").alias("ha")), h.select(F.col("h").alias("hb")), 10).where("ha < hb")
 
 
 @query(
     "exclude_copies",
-    f"""WITH {HASHES} SELECT vec_id, EXISTS (SELECT 1 FROM h b WHERE b.label % 3 <> 0 AND bit_count(xor(a.h, b.h)) <= 1) AS excluded FROM h a WHERE label % 3 = 0""",
+    f"""WITH {HASHES} SELECT vec_id, EXISTS (SELECT 1 FROM h b WHERE b.label % 3 <> 0 AND bit_count(xor(a.h, b.h)) <= 10) AS excluded FROM h a WHERE label % 3 = 0""",
 )
 def exclude_copies(spark: SparkSession, sf: str) -> DataFrame:
     h = vec_hash(spark, sf)
-    kept, out = A.exclude_copies(h.where("label % 3 = 0"), h.where("label % 3 <> 0"), 1, 16)
+    kept, out = A.exclude_copies(h.where("label % 3 = 0"), h.where("label % 3 <> 0"), 10)
     return kept.select("vec_id", F.lit(False).alias("excluded")).unionByName(out.select("vec_id", F.lit(True).alias("excluded")))
 
 
@@ -261,12 +261,11 @@ def held_out(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "stop_point",
-    f"""WITH {RUN_LOG}, g AS (SELECT *, readers < 1 AND lag(readers) OVER (ORDER BY run_no) < 1 AND run_no >= 500 AS stop FROM rl WHERE run_no >= 500),
-    s AS (SELECT min(run_no) AS stop FROM g WHERE stop) SELECT rl.run_no, rl.image, rl.readers FROM rl, s WHERE run_no >= 500 AND run_no <= coalesce(s.stop, 9223372036854775807)""",
+    f"""WITH {RUN_LOG}, g AS (SELECT *, readers < 1 AND lag(readers) OVER (ORDER BY run_no) < 1 AS stop FROM rl),
+    s AS (SELECT min(run_no) AS stop FROM g WHERE stop) SELECT rl.run_no, rl.image, rl.readers FROM rl, s WHERE run_no <= coalesce(s.stop, 9223372036854775807)""",
 )
 def stop_point(spark: SparkSession, sf: str) -> DataFrame:
-    log = run_log(spark, sf).where("run_no >= 500")
-    return A.stop_point(log, 1, chunk=64).select("run_no", "image", "readers")
+    return A.stop_point(run_log(spark, sf), 1, chunk=4096).select("run_no", "image", "readers")
 
 
 @query(

@@ -22,11 +22,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    """Documents for row-heavy work.  A file with fewer splits than cores is spread first (raw text moves, the
-    compact form); a table of many files already has its splits and is read as it lies."""
-    docs = table(spark, sf, "documents").select("doc_id", *columns)
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+    """Documents for row-heavy work, spread evenly: raw text moves once, the compact form of all that follows."""
+    return table(spark, sf, "documents").select("doc_id", *columns).repartition("doc_id")
 
 
 def slip(tok: Column, pos: Column, page: Column, reader: int) -> Column:

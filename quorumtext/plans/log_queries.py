@@ -28,11 +28,6 @@ def rate_demand(spark: SparkSession, sf: str) -> DataFrame:
     return logs.rate_demand(requests(spark, sf), 7200).select("bucket", "client", "request_id", "demand")
 
 
-@query("rate_admission")
-def rate_admission(spark: SparkSession, sf: str) -> DataFrame:
-    return logs.admit(requests(spark, sf), 2, 7200)
-
-
 @query(
     "cooldown",
     rf"""WITH {CALL_SQL}, m AS (SELECT *, epoch_us(ts) AS us, regexp_replace(lower(message), '[-_\s]+', '', 'g') AS q FROM calls),
@@ -125,8 +120,3 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     w = jobs.windows(event_stream(spark, sf), "event_type", "6 hours").select(F.unix_micros("w.start").alias("start_us"), "event_type", "n")
     return jobs.run_updates(w, ["start_us", "event_type"], "windows")
 
-
-@query("rate_stream")
-def rate_stream(spark: SparkSession, sf: str) -> DataFrame:
-    e = event_stream(spark, sf).select(F.col("event_type").alias("bucket"), (F.col("user_id") % 5).alias("client"), "ts", F.col("event_id").alias("request_id"))
-    return jobs.run_appends(jobs.admit(e, 2, 7200), "admit")

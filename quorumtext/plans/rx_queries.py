@@ -34,7 +34,7 @@ aliases AS (SELECT * FROM (VALUES ('alfa', 'alfazine'), ('beta', 'betadine-x'))
     "dose_warnings",
     rf"""WITH {RX_SQL}, {FORMULARY_SQL}, g AS (SELECT drug, strength, frequency, count(*) AS n, replace(lower(frequency), '½', '0.5') AS f,
        CASE WHEN regexp_matches(strength, '\d+\s*(mcg|ug|mg|gm|g)?\b') THEN strength ELSE drug END AS cell,
-       CASE drug WHEN 'Tab. Alfa' THEN 'alfazine' WHEN 'betadine-x' THEN 'betadine-x' WHEN 'Cap GAMMAPROL' THEN 'gammaprol' END AS canonical FROM rx GROUP BY ALL),
+       CASE drug WHEN 'Tab. Alfa' THEN 'alfazine' WHEN 'betadine-x' THEN 'betadine-x' WHEN 'Cap GAMMAPROL' THEN 'gammaprol' WHEN 'alfazin 650' THEN 'alfazine' END AS canonical FROM rx GROUP BY ALL),
     p AS (SELECT g.*, d.unit AS ref, d.strengths, d.max_day, try_cast(regexp_extract(cell, '(\d+(?:\.\d+)?)\s*(mcg|ug|mg|gm|g)?\b', 1) AS DOUBLE) AS v,
        nullif(regexp_extract(cell, '(\d+(?:\.\d+)?)\s*(mcg|ug|mg|gm|g)?\b', 2), '') AS u, {PER_DAY_SQL} AS pd FROM g LEFT JOIN drugs d ON d.name = g.canonical),
     q AS (SELECT *, v * (CASE WHEN coalesce(u, ref) IN ('g', 'gm') THEN 1000.0 WHEN coalesce(u, ref) IN ('mcg', 'ug') THEN 0.001 ELSE 1.0 END) / (CASE WHEN ref = 'mcg' THEN 0.001 ELSE 1.0 END) AS amt,
@@ -46,7 +46,7 @@ aliases AS (SELECT * FROM (VALUES ('alfa', 'alfazine'), ('beta', 'betadine-x'))
 )
 def dose_warnings(spark: SparkSession, sf: str) -> DataFrame:
     g = rx_cells(spark, sf).groupBy("drug", "strength", "frequency").agg(F.count("*").alias("n"))
-    out = safety.check_rows(g.withColumn("flagged", F.lit(False)), formulary(spark), alias_table(spark), None)
+    out = safety.check_rows(g.withColumn("flagged", F.lit(False)), formulary(spark), alias_table(spark))
     short = F.transform(
         "warnings",
         lambda w: F.when(w.startswith("Frequency"), "odd frequency").when(w.contains("not possible"), "impossible")
@@ -182,9 +182,9 @@ def near_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fuzzy_top")
 def fuzzy_top(spark: SparkSession, sf: str) -> DataFrame:
-    """Closest three benchmark words of every word in the part and nation names."""
-    names = I.table(spark, sf, "part").select("p_name").union(I.table(spark, sf, "nation").select("n_name"))
-    keys = names.select(F.explode(X.tokens(F.col("p_name"))).alias("tok")).select(X.key(F.col("tok")).alias("word"))
+    """Closest three benchmark words of every word of the documents."""
+    toks = I.documents(spark, sf, "text").select(F.explode(X.tokens(F.col("text"))).alias("tok"))
+    keys = toks.where(F.col("tok") != X.NEWLINE).select(X.key(F.col("tok")).alias("word"))
     lex = fuzzy.lexicon(I.lexicon_words(spark, sf)).select(F.col("key").alias("entry"))
     return fuzzy.fuzzy_top(keys, lex, 0.7, 3).select("word", "entry", F.round("ratio", 6).alias("ratio"), "rank")
 

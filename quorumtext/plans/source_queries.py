@@ -72,24 +72,24 @@ def writer_words_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "writer_words_lookup",
-    f"""WITH {ANSWERS}, lo AS (SELECT DISTINCT writer, answer, k FROM cl WHERE event_id % 3 = 0), sh AS (SELECT DISTINCT writer, answer, k FROM cl WHERE event_id % 3 = 1)
+    f"""WITH {ANSWERS}, lo AS (SELECT DISTINCT writer, answer, k FROM cl WHERE event_id % 2 = 0), sh AS (SELECT DISTINCT writer, answer, k FROM cl WHERE event_id % 2 = 1)
     SELECT writer, answer, 0 AS place FROM lo UNION ALL SELECT writer, answer, 1 FROM sh WHERE (writer, k) NOT IN (SELECT (writer, k) FROM lo)""",
 )
 def writer_words_lookup(spark: SparkSession, sf: str) -> DataFrame:
     rows = answer_rows(spark, sf).withColumn("writer", L.writer_slug(F.col("writer"))).where("writer is not null and trim(answer) <> ''")
-    side = lambda n: rows.where(F.col("event_id") % 3 == n).select("writer", "answer").distinct()
+    side = lambda n: rows.where(F.col("event_id") % 2 == n).select("writer", "answer").distinct()
     return T.words_for(side(0), side(1))
 
 
 def history_table(spark: SparkSession, sf: str) -> DataFrame:
-    payload = F.when(F.col("event_id") % 17 == 0, "{broken").otherwise(F.col("props"))
+    payload = F.when(F.col("event_id") % 17 == 0, "{broken").when(F.col("event_id") % 13 == 0, F.concat(F.lit('{"long": "'), F.repeat("event_type", 3), F.lit('"}'))).otherwise(F.col("props"))
     return I.table(spark, sf, "events").select(
         (F.col("user_id") % 40).alias("user_id"), (F.col("event_id") % 700).alias("id"), F.unix_millis("ts").alias("ts"), F.unix_millis("ts").alias("updated"),
         F.col("event_type").alias("name"), F.repeat(F.lit("t"), (F.col("event_id") % 9).cast("int")).alias("thumb"), payload.alias("payload"), "event_id",
     )
 
 
-HISTORY = """hs AS (SELECT user_id % 40 AS user_id, event_id % 700 AS id, epoch_us(ts) // 1000 AS ts, event_type AS name, repeat('t', (event_id % 9)::INT) AS thumb, props AS payload, event_id FROM events WHERE event_id % 17 <> 0),
+HISTORY = """hs AS (SELECT user_id % 40 AS user_id, event_id % 700 AS id, epoch_us(ts) // 1000 AS ts, event_type AS name, repeat('t', (event_id % 9)::INT) AS thumb, CASE WHEN event_id % 13 = 0 THEN '{"long": "' || repeat(event_type, 3) || '"}' ELSE props END AS payload, event_id FROM events WHERE event_id % 17 <> 0),
 fit AS (SELECT user_id, id, ts, name, CASE WHEN length(payload) + length(thumb) <= 16 THEN thumb END AS thumb, event_id FROM hs WHERE length(payload) <= 16),
 up AS (SELECT user_id, id, max(ts) AS ts, arg_max(name, ts) AS name, arg_max(coalesce(thumb, '~'), ts) AS thumb FROM fit GROUP BY ALL)"""
 

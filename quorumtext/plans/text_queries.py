@@ -9,6 +9,7 @@ from quorumtext.functions import labels as L
 from quorumtext.functions import rx as R
 from quorumtext.functions import text as X
 from quorumtext.functions.arrow import bench_norm as arrow_bench_norm
+from quorumtext.functions.arrow import word_list
 from quorumtext.operators import retrieval, voting as V
 from quorumtext.plans import inputs as I
 from quorumtext.plans import oracle as O
@@ -80,12 +81,12 @@ def render_marked(spark: SparkSession, sf: str) -> DataFrame:
         lambda t: CASE WHEN lower(t) IN ('[unclear]', '[illegible]', '[?]') THEN [t] ELSE string_split_regex(t, '[-/–]+') END)),
         lambda t: CASE WHEN lower(t) IN ('[unclear]', '[illegible]', '[?]') THEN '<any>' ELSE {O.key('t')} END),
         lambda t: t <> '' AND (t IN ('[?]', '<any>') OR regexp_matches(t, '[\p{{L}}\p{{N}}]'))) AS ws
-      FROM (SELECT doc_id, text || ' [unclear] AC/DC -' AS text FROM documents))
+      FROM (SELECT doc_id, text || ' [unclear] AC/DC - café' AS text FROM documents))
     SELECT doc_id, len(ws) AS words, md5(array_to_string(ws, ' ')) AS digest FROM w""",
 )
 def eval_words(spark: SparkSession, sf: str) -> DataFrame:
     docs = I.documents(spark, sf, "text")
-    ref = X.word_list(F.concat(F.col("text"), F.lit(" [unclear] AC/DC -")), ref=True)
+    ref = word_list(F.concat(F.col("text"), F.lit(" [unclear] AC/DC - cafe\u0301")), ref=True)
     return docs.select("doc_id", ref.alias("ws")).select(
         "doc_id", F.size("ws").alias("words"), F.md5(F.array_join("ws", " ")).alias("digest")
     )

@@ -229,14 +229,14 @@ def dictionary_near(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("dictionary_fuzzy")
 def dictionary_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    words = I.voted(spark, sf, source="conversations")
+    words = I.voted(spark, sf)
     fixed = repair.dictionary_fix(words, fuzzy.lexicon(I.lexicon_words(spark, sf)), "fuzzy")
     return fixed.where("resolved_by = 'dictionary'").select("page_id", "idx", "text", "flagged", "evidence")
 
 
 @query("context_candidates")
 def context_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    c = repair.context_candidates(I.voted(spark, sf, source="conversations"), fuzzy.lexicon(I.lexicon_words(spark, sf)))
+    c = repair.context_candidates(I.voted(spark, sf), fuzzy.lexicon(I.lexicon_words(spark, sf)))
     return c.select("page_id", "idx", F.array_join("candidates", ",").alias("candidates"))
 
 
@@ -300,6 +300,6 @@ def unsplit_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query("vote_sequence")
 def vote_sequence(spark: SparkSession, sf: str) -> DataFrame:
     """Sequence alignment of readings that skip, repeat and split words."""
-    pages = V.align_sequences(V.unsplit(V.page_frame(I.noisy_readings(spark, sf, "conversations"))))
+    pages = V.align_sequences(V.unsplit(V.page_frame(I.noisy_readings(spark, sf))))
     rolled = V.page_rollup(V.explode_words(V.vote_columns(pages)))
     return rolled.select("page_id", F.md5("text").alias("digest"), F.length("text").alias("chars"), "flagged", "to_check")

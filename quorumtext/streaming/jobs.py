@@ -15,8 +15,8 @@ from quorumtext.operators.logs import READER_STATE
 from quorumtext.session import shared_folder
 from quorumtext.sources import tables
 
-# Vote deadline, give-up time, readers a vote needs, idle time after which a client is forgotten.
-VOTE_DEADLINE, GIVE_UP, MIN_READERS, IDLE = 90, 180, 2, 3600
+# Vote deadline, give-up time, readers a vote needs.
+VOTE_DEADLINE, GIVE_UP, MIN_READERS = 90, 180, 2
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -67,44 +67,6 @@ def run_appends(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-# ---------------------------------------------------------------- rate limit
-
-def admit(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """bucket, client, ts, request_id -> admitted, retry_after.  State per client: the admitted times of the
-    window; it is dropped after an hour of silence."""
-
-    def decide(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        hits = list(state.get[0]) if state.exists else []
-        newest = 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "request_id"])
-        out = []
-        for ts, rid in zip(rows["ts"], rows["request_id"]):
-            now = ts.value // 1000
-            newest = max(newest, now)
-            hits = [h for h in hits if h > now - seconds * 1_000_000]
-            if len(hits) < limit:
-                hits.append(now)
-                out.append((rid, True, 0))
-            else:
-                wait = hits[0] + seconds * 1_000_000 - now if hits else seconds * 1_000_000
-                out.append((rid, False, max(1, -(-wait // 1_000_000))))
-        state.update((hits,))
-        mark = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(newest // 1000 + IDLE * 1000, mark + 1))
-        yield pd.DataFrame(out, columns=["request_id", "admitted", "retry_after"])
-
-    return (
-        requests.withWatermark("ts", "1 minute")
-        .groupBy("bucket", "client")
-        .applyInPandasWithState(
-            decide, "request_id bigint, admitted boolean, retry_after int", "hits array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
-
-
 # ---------------------------------------------------------------- job progress
 
 def reader_progress(events: DataFrame) -> DataFrame:

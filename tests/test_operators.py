@@ -2,7 +2,6 @@
 
 import datetime as dt
 import random
-from collections import deque
 from difflib import get_close_matches
 
 from pyspark.sql import functions as F
@@ -136,41 +135,6 @@ def test_edit_trace():
         assert arrow.edit_trace(h, r)[0] == d[len(h)][len(r)]
 
 
-def brute_admit(rows, limit, seconds):
-    hits, out = {}, {}
-    for bucket, client, ts, rid in sorted(rows, key=lambda r: (r[2], r[3])):
-        q = hits.setdefault((bucket, client), deque())
-        while q and q[0] <= ts - dt.timedelta(seconds=seconds):
-            q.popleft()
-        out[rid] = len(q) < limit
-        if out[rid]:
-            q.append(ts)
-    return out
-
-
-def requests(spark, n=300):
-    rng = random.Random(4)
-    start = dt.datetime(2024, 1, 1)
-    rows = [("b", f"c{rng.randint(0, 2)}", start + dt.timedelta(seconds=rng.randint(0, 9000)), i) for i in range(n)]
-    return rows, spark.createDataFrame(rows, "bucket string, client string, ts timestamp, request_id bigint")
-
-
-def test_admission_batch_and_stream_equal_brute_force(spark, tmp_path):
-    rows, df = requests(spark)
-    want = brute_admit(rows, 2, 60)
-    assert {r.request_id: r.admitted for r in logs.admit(df, 2, 60).collect()} == want
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    assert {r.request_id: r.admitted for r in jobs.run_appends(jobs.admit(stream, 2, 60), "t").collect()} == want
-
-
-def test_rate_limit_golden(spark):
-    t = dt.datetime(2024, 1, 1)
-    rows = [("b", "c", t + dt.timedelta(seconds=s), s) for s in (0, 10, 20, 61)]
-    out = logs.admit(spark.createDataFrame(rows, "bucket string, client string, ts timestamp, request_id bigint"), 2, 60)
-    assert sorted((r.request_id, r.admitted, r.retry_after) for r in out.collect()) == [(0, True, 0), (10, True, 0), (20, False, 40), (61, True, 0)]
-
-
 def test_vote_deadline_stream(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     at = lambda s: t + dt.timedelta(seconds=s)
