@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text worked on at a time; one longer text makes a segment of its own.
-SEGMENT = 4_000_000
+#: Bytes of text and rows worked on at a time; one longer text makes a segment of its own.
+SEGMENT, ROWS = 4_000_000, 50_000
 
 
 def segments(batch: pa.RecordBatch, column: str = "text", limit: int = SEGMENT) -> Iterator[pa.RecordBatch]:
@@ -19,7 +19,7 @@ def segments(batch: pa.RecordBatch, column: str = "text", limit: int = SEGMENT)
 
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(sizes, dtype=np.int64) // limit
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    cuts = sorted({0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), *range(0, batch.num_rows, ROWS), batch.num_rows})
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumtext.llm.arrow import frame, segments
-from quorumtext.llm.common import bit_filter, in_filter, written
+from quorumtext.llm.common import bit_filter, in_filter, small, written
 from quorumtext.llm.graph import components
 from quorumtext.llm.shingles import Hasher, distinct, mix
 
@@ -27,10 +27,10 @@ WINDOW = 2_000_000
 #: Frequent tokens kept for the orders.  Any order is right, so this bounds only the broadcast.
 MOST_FREQUENT = 500_000
 #: Buckets of more sets than this are linked through pivots; what that leaves open is compared in blocks.
-LARGE = 48
+LARGE = 8
 #: Sets of a block, on either side, when the rest of a large bucket is compared.
 BLOCK = 1500
-PAIR, STAR, CROWD = 0, 1, 2
+PAIR, MEMBER = 0, 1
 #: Prefix tokens of a shard.
 SHARD = 2_000_000
 
@@ -121,35 +121,32 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind int, id long, size long, f1 long, f2 long")
 
 
+def _tokens(f: pd.DataFrame) -> np.ndarray:
+    """48 bits of each token: two tokens that agree on them only meet in vain."""
+    low = np.concatenate([np.frombuffer(b, np.uint32) for b in f["low"]]).astype(np.uint64)
+    return low | np.concatenate([np.frombuffer(b, np.uint16) for b in f["high"]]).astype(np.uint64) << np.uint64(32)
+
+
 def _buckets(f: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Of one shard: PAIR rows (a, b, common tokens, tokens needed) of small buckets, STAR rows (pivot, member) of large
-    ones, CROWD rows (node, its tokens in large buckets)."""
+    """Of one shard: PAIR rows (a, b, common tokens, tokens needed) of small buckets, MEMBER rows (token, node, 1, tokens
+    needed at least) of large ones."""
     tables = [np.frombuffer(b, np.int64) for b in f["nodes"]]
     sizes = np.concatenate([np.frombuffer(b, np.int32) for b in f["sizes"]])
     nodes, first, inverse = np.unique(np.concatenate(tables), return_index=True, return_inverse=True)
     sizes = sizes[first].astype(np.int64)
     starts = np.cumsum([0, *map(len, tables)])
-    place = np.concatenate([np.frombuffer(b, np.uint32).astype(np.int64) + a for b, a in zip(f["places"], starts)])
-    token, node = np.concatenate([np.frombuffer(b, np.uint64) for b in f["tokens"]]), inverse[place]
+    place = np.concatenate([np.frombuffer(b, np.uint16).astype(np.int64) + a for b, a in zip(f["places"], starts)])
+    token, node = _tokens(f), inverse[place]
     order = np.lexsort((node, token))
     token, node = token[order], node[order]
     keep = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
     token, node = token[keep], node[keep]
     cuts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
     count = np.diff(np.append(cuts, len(token)))
-    wide, out = np.int64(len(nodes)), []
-
-    def rows(kind, a, b, common, need):
-        return pd.DataFrame({"kind": np.full(len(a), kind), "a": nodes[a], "b": nodes[b], "common": common, "need": need})
-
-    pairs, times, stars = np.empty(0, np.int64), np.empty(0, np.int64), []
-    held = np.zeros(len(nodes), np.int64)
-    for c in np.unique(count[count > 1]).tolist():
+    wide = np.int64(len(nodes))
+    pairs, times = np.empty(0, np.int64), np.empty(0, np.int64)
+    for c in range(2, LARGE + 1):
         members = node[cuts[count == c][:, None] + np.arange(c)]
-        if c > LARGE:
-            stars.append(np.unique(np.repeat(members[:, 0], c - 1) * wide + members[:, 1:].ravel()))
-            held += np.bincount(members.ravel(), minlength=len(nodes))
-            continue
         i, j = np.triu_indices(c, 1)
         for some in np.array_split(members, max(1, len(members) * len(i) // 2_000_000)):  # bounded memory
             a, b = some[:, i].ravel(), some[:, j].ravel()
@@ -158,13 +155,11 @@ def _buckets(f: pd.DataFrame, percent: int) -> pd.DataFrame:
             pairs, back = np.unique(np.append(pairs, key), return_inverse=True)
             times = np.bincount(back, weights=np.append(times, n), minlength=len(pairs)).astype(np.int64)
     a, b = pairs // wide, pairs % wide
-    out.append(rows(PAIR, a, b, times, spare(np.minimum(sizes[a], sizes[b]))))
-    if stars:
-        star = np.unique(np.concatenate(stars))
-        out.append(rows(STAR, star // wide, star % wide, 0, 0))
-        crowd = np.flatnonzero(held)
-        out.append(rows(CROWD, crowd, crowd, held[crowd], 0))
-    return pd.concat(out).astype("int64")
+    few = pd.DataFrame({"kind": np.full(len(a), PAIR), "a": nodes[a], "b": nodes[b], "common": times, "need": spare(np.minimum(sizes[a], sizes[b]))})
+    crowded = np.repeat(count > LARGE, count)
+    token, node = token[crowded], node[crowded]
+    large = pd.DataFrame({"kind": np.full(len(node), MEMBER), "a": _signed(token), "b": nodes[node], "common": 1, "need": spare(percent * sizes[node] // 100)})
+    return pd.concat([few, large]).astype("int64")
 
 
 def candidates(docs: DataFrame, n: int, percent: int, orders: int, frequent, shards: int) -> DataFrame:
@@ -194,17 +189,18 @@ def candidates(docs: DataFrame, n: int, percent: int, orders: int, frequent, sha
                     by = np.argsort(shard, kind="stable")
                     token, doc, shard = token[by], doc[by], shard[by]
                     cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist()
-                    packs: dict[str, list] = {"tokens": [], "places": [], "nodes": [], "sizes": []}
+                    packs: dict[str, list] = {"low": [], "high": [], "places": [], "nodes": [], "sizes": []}
                     for a, b in zip(cuts, [*cuts[1:], len(shard)]):
                         own, places = np.unique(doc[a:b], return_inverse=True)
-                        packs["tokens"].append(token[a:b].tobytes())
-                        packs["places"].append(places.astype(np.uint32).tobytes())
+                        packs["low"].append(token[a:b].astype(np.uint32).tobytes())
+                        packs["high"].append((token[a:b] >> np.uint64(32)).astype(np.uint16).tobytes())
+                        packs["places"].append(places.astype(np.uint16).tobytes())
                         packs["nodes"].append(np.array(nodes, np.int64)[own].tobytes())
                         packs["sizes"].append(np.array(sizes, np.int32)[own].tobytes())
                     columns = {"ord": ([k] * len(cuts), pa.int32()), "shard": (shard[cuts], pa.int32())}
                     yield frame(columns | {name: (v, pa.binary()) for name, v in packs.items()})
 
-    sent = docs.select("text").mapInArrow(emit, "ord int, shard int, tokens binary, places binary, nodes binary, sizes binary")
+    sent = docs.select("text").mapInArrow(emit, "ord int, shard int, low binary, high binary, places binary, nodes binary, sizes binary")
     return sent.groupBy("ord", "shard").applyInPandas(lambda f: _buckets(f, percent).assign(ord=f["ord"].iloc[0]), "ord int, kind int, a long, b long, common long, need long")
 
 
@@ -231,6 +227,14 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFr
     return pd.DataFrame(list(found.values()), columns=["a", "b"]).astype("int64")
 
 
+def _between(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs whose sides are not in one component."""
+    x = joined.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    y = joined.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    both = pairs.join(x, "a", "left").join(y, "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets are similar."""
 
@@ -254,10 +258,11 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80, orders: int = 2
     their row.  Other columns of `docs` are ignored.
 
     Frequent tokens come last in every order, so a passage that many documents share puts its tokens in few prefixes.
-    Buckets of at most LARGE sets give their pairs; a pair that fails the filter of another order is dropped, the
-    others are verified.  A larger bucket gives only links to its pivot.  Sets that those links join, and that
-    verified links don't connect yet, are compared with the rest of their group in blocks, without a row for each
-    pair: whatever is in one component already needs no further test, so no link between components is lost.
+    Buckets of at most LARGE sets give their pairs; a pair that fails the filter of any order is dropped.  A larger
+    bucket gives only links to its pivot, and only for sets that can have all they need in large buckets.  The pair of
+    each set that has most in common is verified first, then those that still lie between two components.  Sets that
+    large buckets join, and that verified links don't connect, are compared with the rest of their group in blocks,
+    without a row for each pair.  Inside one component no further test is needed, so no link between components is lost.
     """
     spark = docs.sparkSession
     found = written(shingle_sets(docs, n), "join-sets")
@@ -273,22 +278,37 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80, orders: int = 2
     # pair, so each side's number of them bounds what may be missing
     under = lambda c, k: F.coalesce(F.sum(F.when(F.col("ord") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}")
     pairs = met.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.max("need").alias("need"), *[under("common", k) for k in range(orders)])
-    crowd = met.where(F.col("kind") == CROWD).groupBy("a").agg(*[under("common", k) for k in range(orders)])
-    side = lambda c: crowd.select(F.col("a").alias(c), *[F.col(f"common{k}").alias(f"{c}{k}") for k in range(orders)])
+    members = met.where(F.col("kind") == MEMBER)
+    crowd = members.groupBy("b").agg(F.max("need").alias("need"), *[under("common", k) for k in range(orders)])
+    crowd = written(crowd.withColumnRenamed("b", "node"), "join-crowd")
+    side = lambda c: crowd.select(F.col("node").alias(c), *[F.col(f"common{k}").alias(f"{c}{k}") for k in range(orders)])
     enough = lambda missing: reduce(and_, [F.col(f"common{k}") + missing(k) >= F.col("need") for k in range(orders)])
     sure = pairs.where(enough(lambda k: F.lit(0)))
     rest = pairs.where(~enough(lambda k: F.lit(0))).join(side("a"), "a").join(side("b"), "b")
     rest = rest.where(enough(lambda k: F.least(f"a{k}", f"b{k}")))
-    stars = met.where((F.col("kind") == STAR) & (F.col("ord") == 0)).select("a", "b").distinct()
-    pairs = sure.select("a", "b").unionByName(rest.select("a", "b")).unionByName(stars).distinct()
-    pairs = written(pairs, "join-pairs")
+    common = reduce(lambda x, y: x + y, [F.col(f"common{k}") for k in range(orders)]).alias("common")
+    pairs = written(sure.select("a", "b", common).unionByName(rest.select("a", "b", common)), "join-pairs")
+    # large buckets, of sets that can have all they need there: each member and the smallest one
+    able = crowd.where(enough(lambda k: F.lit(0))).select(F.col("node").alias("b"))
+    members = members.where(F.col("ord") == 0).select(F.col("a").alias("token"), "b").join(able, "b")
+    pivots = members.groupBy("token").agg(F.min("b").alias("a"))
+    stars = members.join(pivots, "token").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    stars = written(stars, "join-stars")
 
     # the sets of the nodes that are left, packed; one row a node
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("f1")).distinct()
+    nodes = pairs.select("a", "b").unionByName(stars.select("a", "b")).select(F.explode(F.array("a", "b")).alias("f1")).distinct()
     chosen = sets.join(nodes, "f1").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"))
     packed = written(_packed(docs, chosen, n), "join-packed")
 
-    links = written(_verified(pairs, packed, percent), "join-links")
+    # first the pair of each node that has most in common, then those that still lie between two components
+    best = pairs.unionByName(stars).withColumn("node", F.explode(F.array("a", "b"))).groupBy("node")
+    best = best.agg(F.max_by(F.struct("a", "b"), F.struct("common", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    links = written(_verified(best, packed, percent), "join-links")
+    joined = components(links)
+    left = _between(pairs.select("a", "b"), joined).join(best, ["a", "b"], "left_anti")
+    left = written(left, "join-left")
+    wanted = small(left.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    links = links.unionByName(written(_verified(left, packed.join(wanted, "node", "left_semi"), percent), "join-links"))
 
     joined = components(links)
     group = components(stars).select("node", F.col("component").alias("bucket"))
@@ -297,7 +317,9 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80, orders: int = 2
     counts = mine.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("bucket").agg(F.max(F.struct("n", F.col("component").alias("main"))).alias("m"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"))
     main = main.where("k > 1").select("bucket", F.col("m.main").alias("main"), F.col("total"), (F.col("total") - F.col("m.n")).alias("rest"))
-    open_ = written(mine.join(main, "bucket").join(packed, "node"), "join-open")
+    open_ = mine.join(main, "bucket")
+    wanted = small(open_.select("node"))
+    open_ = written(open_.join(packed.join(wanted, "node", "left_semi"), "node"), "join-open")
     rights = F.ceil(F.col("total") / BLOCK).cast("int")
     lefts = F.ceil(F.col("rest") / BLOCK).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), c - 1))

@@ -232,7 +232,7 @@ def test_near_copies(docs, rows, none, monkeypatch):
     want = collections.Counter((r[0], len(sets[i]), least[find(i)] if sets[i] else r[0]) for i, r in enumerate(rows))
     assert bag(ngram_join.similar_sets(docs)) == want
     # the way of large buckets, of blocks and of frequent tokens
-    monkeypatch.setattr(ngram_join, "LARGE", 3)
+    monkeypatch.setattr(ngram_join, "LARGE", 2)
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
     monkeypatch.setattr(ngram_join, "WINDOW", 3000)
     assert bag(ngram_join.similar_sets(docs, orders=3, min_frequent=2)) == want
