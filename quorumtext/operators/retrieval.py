@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quorumtext.functions import text as X
+from quorumtext.session import cut_lineage
 
 # BM25 parameters, hits per query, chunk size.
 K1, B, TOP_K, CHUNK_SIZE = 1.5, 0.75, 5, 900
@@ -20,13 +23,6 @@ def _cut_long(s: Column, size: int) -> Column:
     return F.when(F.length(s) <= size, F.array(s)).otherwise(F.regexp_extract_all(s, F.lit(piece), F.lit(1)))
 
 
-def chunk_list(text: Column, size: int = CHUNK_SIZE) -> Column:
-    """Array of chunks of one text: whole sentences packed up to `size` characters, a short last sentence
-    repeated at the start of the next chunk.  A fold over sentence lengths, so only numbers are copied."""
-    sents = F.flatten(F.transform(X.sentences(text), lambda s: _cut_long(s, size)))
-    return pack_sentences(F.filter(F.transform(sents, X.strip), lambda s: s != ""), size)
-
-
 def pack_sentences(sents: Column, size: int) -> Column:
     start = F.struct(
         F.array().cast("array<struct<a:int,b:int>>").alias("cuts"),
@@ -104,27 +100,57 @@ def corpus_stats(passages: DataFrame, text: str = "text") -> DataFrame:
     return passages.agg(F.count("*").alias("n"), F.avg(dl).alias("avg_dl"))
 
 
-def bm25_scores(passages: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, chunk_id, score) of every pair that shares a term.
+def asked_postings(passages: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings, asked): (chunk_id, term, tf, dl) of the terms somebody asks for, and (query_id, term).
 
-    Postings are cut down to the terms somebody asks for before they are grouped, and joined to the (small)
-    query terms; which side is broadcast is left to the size-checked choice of Spark.
+    The corpus is read and tokenised once; a row with the empty term stands for each passage and carries its length.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(X.rag_tokens(F.col("text")))).alias("term"))
     toks = passages.select("chunk_id", X.rag_tokens(F.col("text")).alias("t"))
-    terms = toks.select("chunk_id", F.greatest(F.size("t"), F.lit(1)).alias("dl"), F.explode("t").alias("term"))
-    wanted = terms.join(asked.select("term").distinct(), "term", "left_semi")
-    tf = wanted.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(passages)
+    terms = toks.select("chunk_id", F.size("t").alias("dl"), F.explode(F.concat("t", F.array(F.lit("")))).alias("term"))
+    wanted = asked.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "term string"))
+    counted = terms.join(wanted, "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    return cut_lineage(counted), asked
+
+
+def bm25_top(passages: DataFrame, queries: DataFrame, k: int = TOP_K, k1: float = K1, b: float = B, seed: int = 2000) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the best `k` passages of each query, exactly.
+
+    The rarest terms of a query, with about `seed` postings, give partial scores, whose k-th largest no final answer
+    falls below.  Its most frequent terms whose largest possible scores stay below that together cannot lift a passage
+    into the answer alone: only passages with another term are scored, each from the map of its terms.
+    """
+    post, asked = asked_postings(passages, queries)
+    stats = post.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
     n, avg = stats.select("n").scalar(), stats.select(F.when(F.col("avg_dl") > 0, F.col("avg_dl")).otherwise(1.0)).scalar()
-    idf = df.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    tfc, dl = F.col("tf"), F.col("dl")
-    weight = F.col("idf") * tfc * (k1 + 1) / (tfc + k1 * (1 - b + b * dl / avg))
-    asked_idf = asked.join(idf, "term")
-    scored = tf.join(asked_idf, "term")
+    post = post.where("term <> ''")
+    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.select("term", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    known = cut_lineage(asked.join(idf, "term"))
+
+    def weight(idf_: Column, tf: Column, dl: Column) -> Column:
+        return idf_ * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.greatest(dl, F.lit(1)) / avg))
+
+    rare = Window.partitionBy("query_id").orderBy("df", "term")
+    running = F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, 0))
+    seeds = known.select("query_id", "term", "idf", running.alias("c"), F.row_number().over(rare).alias("r")).where((F.col("c") <= seed) | (F.col("r") == 1))
+    partial = post.join(seeds, "term").groupBy("query_id", "chunk_id").agg(F.sum(weight(F.col("idf"), F.col("tf"), F.col("dl"))).alias("score"))
+    floor = top_k(partial, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    frequent = Window.partitionBy("query_id").orderBy("idf", "term").rowsBetween(Window.unboundedPreceding, 0)
+    most = known.join(floor, "query_id", "left").withColumn("most", F.sum(F.col("idf") * (k1 + 1)).over(frequent))
+    # a hair of slack for the order in which weights are added
+    telling = most.where(F.col("most") * (1 + 1e-9) >= F.coalesce("floor", F.lit(0.0))).select("query_id", "term")
+    met = post.join(telling, "term").select("query_id", "chunk_id").distinct()
+    terms = known.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("terms"))
+    held = post.groupBy("chunk_id", "dl").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("held"))
+    both = met.join(terms, "query_id").join(held, "chunk_id").withColumn("norm", k1 * (1 - b + b * F.greatest("dl", F.lit(1)) / avg))
+
+    def add(acc: Column, t: Column) -> Column:
+        tf = F.coalesce(F.try_element_at("held", t.term), F.lit(0)).cast("double")
+        return acc + t.idf * tf * (k1 + 1) / (tf + F.col("norm"))
+
     # rounded, so that equal passages tie whatever order their terms were added in
-    return scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 9).alias("score"))
+    return top_k(both.select("query_id", "chunk_id", F.round(F.aggregate("terms", F.lit(0.0), add), 9).alias("score")), k)
 
 
 def top_k(scores: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -150,7 +176,7 @@ def pad_with_unscored(hits: DataFrame, passages: DataFrame, queries: DataFrame,
 
 
 def bm25_search(passages: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
-    hits = top_k(bm25_scores(passages, queries), k)
+    hits = bm25_top(passages, queries, k)
     return pad_with_unscored(hits, passages, queries, k)
 
 
@@ -161,36 +187,39 @@ def unit(vec: Column) -> Column:
     return F.transform(vec, lambda x: x / norm)
 
 
-def vector_scores(passages: DataFrame, queries: DataFrame, blocks: int = 16) -> DataFrame:
-    """(query_id, chunk_id, score): dot products of normalised vectors.
+def vector_top(passages: DataFrame, queries: DataFrame, k: int = TOP_K, block: int = 20_000, query_block: int = 2_000) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the best `k` dot products of normalised vectors.
 
-    Queries are packed into `blocks` rows by a hash of their id; every passage meets each block once and scores
-    the whole block in one expression.
+    Passages and queries are dealt by hash to blocks of bounded size; each pair of blocks keeps k rows a query, and
+    those are merged.  Ties, at nine digits, take the earlier chunk.
     """
-    q = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), "query_id", unit(F.col("vec").cast("array<double>")).alias("qv"))
-    packed = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "qv")).alias("qs"))
-    p = passages.select("chunk_id", unit(F.col("vec").cast("array<double>")).alias("pv"))
-    met = p.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("bigint"))
-    dots = met.join(packed, "block").select(
-        "chunk_id",
-        F.explode(
-            F.transform(
-                "qs",
-                lambda x: F.struct(
-                    x.query_id.alias("query_id"),
-                    F.aggregate(F.zip_with(x.qv, F.col("pv"), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v).alias("score"),
-                ),
-            )
-        ).alias("s"),
-    )
-    return dots.select("s.query_id", "chunk_id", "s.score")
+    blocks = max(1, -(-passages.count() // block))
+    parts = max(1, -(-queries.count() // query_block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    p = passages.select(own("chunk_id", blocks).alias("b"), "chunk_id", unit(F.col("vec").cast("array<double>")).alias("v")).withColumn("q", every(parts))
+    q = queries.select(own("query_id", parts).alias("q"), "query_id", unit(F.col("vec").cast("array<double>")).alias("v")).withColumn("b", every(blocks))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+        ids = left["chunk_id"].to_numpy()
+        score = np.round(np.array(right["v"].tolist()) @ np.array(left["v"].tolist()).T, 9)
+        at = [np.lexsort((ids, -s))[:k] for s in score]
+        return pd.DataFrame({
+            "query_id": np.repeat(right["query_id"].to_numpy(), [len(a) for a in at]), "chunk_id": ids[np.concatenate(at)],
+            "score": np.concatenate([s[a] for s, a in zip(score, at)]),
+        })
+
+    kinds = f"query_id {q.schema['query_id'].dataType.simpleString()}, chunk_id {p.schema['chunk_id'].dataType.simpleString()}, score double"
+    return top_k(p.groupBy("b", "q").cogroup(q.groupBy("b", "q")).applyInPandas(best, kinds), k)
 
 
 def search(passages: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     """Vector ranking when every passage has a vector, else BM25; decided by one cheap aggregate."""
     all_vectors = passages.agg(F.coalesce(F.bool_and(F.col("vec").isNotNull()), F.lit(False)).alias("v")).first()["v"]
     if all_vectors and "vec" in queries.columns:
-        return top_k(vector_scores(passages, queries), k)
+        return vector_top(passages, queries, k)
     return bm25_search(passages, queries, k)
 
 
