@@ -77,7 +77,7 @@ def voted_pages(spark: SparkSession, sf: str, source: str = "documents") -> Data
 
 
 def voted(spark: SparkSession, sf: str, rule: str = "two_thirds", source: str = "documents") -> DataFrame:
-    return V.explode_words(voted_pages(spark, sf, source), rule)
+    return V.finish_words(V.vote_rows(V.align_positional(keyed_frame(spark, sf, source))), rule)
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
