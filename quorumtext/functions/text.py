@@ -71,10 +71,6 @@ def is_margin_tag(tok: Column) -> Column:
     return F.lower(tok) == MARGIN
 
 
-def is_unreadable(tok: Column) -> Column:
-    return tok == UNREADABLE
-
-
 def is_word(tok: Column) -> Column:
     return (tok != NEWLINE) & (tok != MARGIN) & ~tok.contains(UNREADABLE)
 

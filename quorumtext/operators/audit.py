@@ -81,6 +81,19 @@ def coverage(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def near_copies(a: DataFrame, b: DataFrame, distance: int = 2) -> DataFrame:
+    """One row: rows of `b` whose hash is near one of `a`, and those with the very same hash.  Both: h."""
+    _, out = exclude_copies(b, a, distance)
+    same = b.join(a.select("h").distinct(), "h", "left_semi").agg(F.count("*").alias("same"))
+    return out.agg(F.count("*").alias("near")).select("near", same.scalar().alias("same"))
+
+
+def manifest(test: DataFrame, train: DataFrame, per_dataset: int, distance: int = 2, seed: int = 2026) -> DataFrame:
+    """Sample of the test items that are no copies of train items, datasets in turn.  Both: dataset, image, h."""
+    kept, _ = exclude_copies(test, train, distance)
+    return interleave(seeded_sample(kept, per_dataset, seed))
+
+
 def unlabelled(files: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     return files.select(key).subtract(labels.select(key))
 

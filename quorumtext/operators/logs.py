@@ -42,18 +42,18 @@ def rate_demand(requests: DataFrame, seconds: int = 60) -> DataFrame:
 
 
 def resting(calls: DataFrame) -> DataFrame:
-    """calls: reader, ts, status, message -> is the reader resting at call time, and why."""
+    """calls: reader, ts, status, message -> is the reader (its key) resting at call time, and why: out of quota, provider
+    down, day quota used up, key refused."""
     s, m = F.col("status"), F.col("message")
-    marked = calls.withColumn("quota", L.out_of_quota(s, m)).withColumn("upstream", L.upstream_down(s, m))
-    def last(flag: str) -> Column:
-        return F.max(F.col(flag))
-    q = trailing(marked, ["reader"], L.QUOTA_REST, {"resting_quota": last("quota")}, False, 6 * 3600)
-    out = trailing(q, ["reader"], L.UPSTREAM_REST, {"resting_upstream": last("upstream")}, False, 6 * 3600)
-    return out.select(
-        *calls.columns,
-        F.coalesce("resting_quota", F.lit(False)).alias("resting_quota"),
-        F.coalesce("resting_upstream", F.lit(False)).alias("resting_upstream"),
-    )
+    problem = L.key_problem(s, m)
+    rests = {
+        "quota": (L.out_of_quota(s, m), L.QUOTA_REST), "upstream": (L.upstream_down(s, m), L.UPSTREAM_REST),
+        "day": (problem == "day_quota", L.DAY_REST), "auth": (problem == "auth", L.AUTH_REST),
+    }
+    out = calls.select("*", *[c.alias(name) for name, (c, _) in rests.items()])
+    for name, (_, seconds) in rests.items():
+        out = trailing(out, ["reader"], seconds, {f"resting_{name}": F.max(name)}, False, 6 * 3600)
+    return out.select(*calls.columns, *[F.coalesce(f"resting_{name}", F.lit(False)).alias(f"resting_{name}") for name in rests])
 
 
 def stalls(events: DataFrame, key: str, seconds: int) -> DataFrame:

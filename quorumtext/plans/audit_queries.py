@@ -232,6 +232,29 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
     return A.interleave(A.seeded_sample(items, 30)).select("dataset", "image", "place")
 
 
+@query(
+    "leakage_near",
+    f"""WITH {HASHES}, a AS (SELECT DISTINCT h FROM h WHERE vec_id % 2 = 1), b AS (SELECT * FROM h WHERE vec_id % 2 = 0)
+    SELECT count(*) FILTER (WHERE EXISTS (SELECT 1 FROM a WHERE bit_count(xor(a.h, b.h)) <= 10)) AS near, count(*) FILTER (WHERE h IN (SELECT h FROM a)) AS same FROM b""",
+)
+def leakage_near(spark: SparkSession, sf: str) -> DataFrame:
+    """Even vectors as test set, odd ones as train set."""
+    h = vec_hash(spark, sf)
+    return A.near_copies(h.where("vec_id % 2 = 1"), h.where("vec_id % 2 = 0"), 10)
+
+
+@query(
+    "manifest_without_copies",
+    f"""WITH {HASHES}, i AS (SELECT label AS dataset, vec_id AS image FROM h b WHERE vec_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM h a WHERE a.vec_id % 2 = 1 AND bit_count(xor(a.h, b.h)) <= 10)),
+    s AS (SELECT dataset, image, row_number() OVER (PARTITION BY dataset ORDER BY md5('2026-' || dataset || '-' || image), image) AS place FROM i),
+    k AS (SELECT * FROM s WHERE place <= 30), m AS (SELECT min(n) AS least FROM (SELECT max(place) AS n FROM k GROUP BY dataset))
+    SELECT dataset, image, place FROM k, m WHERE place <= least""",
+)
+def manifest_without_copies(spark: SparkSession, sf: str) -> DataFrame:
+    items = vec_hash(spark, sf).select(F.col("label").alias("dataset"), F.col("vec_id").alias("image"), "h")
+    return A.manifest(items.where("image % 2 = 0"), items.where("image % 2 = 1"), 30, 10).select("dataset", "image", "place")
+
+
 def run_log(spark: SparkSession, sf: str) -> DataFrame:
     """Events read as a run log: one run per event, image = user, readers by event kind."""
     n = F.when(F.col("event_type") == "error", 0).otherwise((F.col("event_id") % 5 + 1).cast("int"))

@@ -31,12 +31,15 @@ def rate_demand(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "cooldown",
     rf"""WITH {CALL_SQL}, m AS (SELECT *, epoch_us(ts) AS us, regexp_replace(lower(message), '[-_\s]+', '', 'g') AS q FROM calls),
-    f AS (SELECT *, status = 404 OR (status = 429 AND contains(q, 'perday')) AS quota, contains(lower(message), 'provider returned error') AS up FROM m)
+    f AS (SELECT *, status = 404 OR (status = 429 AND contains(q, 'perday')) AS quota, contains(lower(message), 'provider returned error') AS up,
+      status = 429 AND contains(q, 'perday') AND NOT contains(q, 'upstream') AND NOT contains(q, 'providerreturnederror') AS dq, status IN (401, 403) AS au FROM m)
     SELECT event_id, coalesce(bool_or(quota) OVER (PARTITION BY reader ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND 1 PRECEDING), false) AS resting_quota,
-      coalesce(bool_or(up AND NOT quota) OVER (PARTITION BY reader ORDER BY us RANGE BETWEEN 299999999 PRECEDING AND 1 PRECEDING), false) AS resting_upstream FROM f""",
+      coalesce(bool_or(up AND NOT quota) OVER (PARTITION BY reader ORDER BY us RANGE BETWEEN 299999999 PRECEDING AND 1 PRECEDING), false) AS resting_upstream,
+      coalesce(bool_or(dq) OVER (PARTITION BY reader ORDER BY us RANGE BETWEEN 21599999999 PRECEDING AND 1 PRECEDING), false) AS resting_day,
+      coalesce(bool_or(au) OVER (PARTITION BY reader ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND 1 PRECEDING), false) AS resting_auth FROM f""",
 )
 def cooldown(spark: SparkSession, sf: str) -> DataFrame:
-    return logs.resting(call_log(spark, sf)).select("event_id", "resting_quota", "resting_upstream")
+    return logs.resting(call_log(spark, sf)).select("event_id", "resting_quota", "resting_upstream", "resting_day", "resting_auth")
 
 
 @query(

@@ -142,8 +142,9 @@ def resume_pending(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT doc_id, source FROM documents WHERE contains(lower(source), 'src1') OR contains(lower(text), 'tion the')",
 )
 def history_search(spark: SparkSession, sf: str) -> DataFrame:
-    d = I.table(spark, sf, "documents")
-    return d.where(F.lower("source").contains("src1") | F.lower("text").contains("tion the")).select("doc_id", "source")
+    d = I.table(spark, sf, "documents").select("doc_id", "source", "text")
+    both = RV.search_history(d, " SRC1 ", "source").unionByName(RV.search_history(d, "tion the", "text"))
+    return both.select("doc_id", "source").distinct()
 
 
 @query(
@@ -202,11 +203,15 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
     return V.dedupe_claims(r).select("page_id", "reader", "slot")
 
 
-@query("mark_distinct", "SELECT o_custkey, count(DISTINCT o_orderpriority) AS kinds, arg_min(o_orderpriority, o_orderkey) AS first FROM orders GROUP BY o_custkey")
+@query("mark_distinct", "SELECT o_custkey, count(DISTINCT lower(o_orderpriority))::INT AS kinds, arg_min(o_orderpriority, o_orderkey) AS first FROM orders GROUP BY o_custkey")
 def mark_distinct(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct values per group with the first one seen."""
     o = I.table(spark, sf, "orders")
-    return o.groupBy("o_custkey").agg(F.countDistinct("o_orderpriority").alias("kinds"), F.min_by("o_orderpriority", "o_orderkey").alias("first"))
+    # one row per customer and spelling first, so the list holds each spelling once
+    per = o.groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("at"))
+    seen = per.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("at", F.col("o_orderpriority").alias("mark")))).alias("s"))
+    kept = X.first_by_lower(F.col("s.mark"))
+    return seen.select("o_custkey", F.size(kept).alias("kinds"), F.get(kept, F.lit(0)).alias("first"))
 
 
 def page_meta(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quorumtext.functions import text as X
 
@@ -12,16 +11,16 @@ from quorumtext.functions import text as X
 IMAGE_EXT = ("jpg", "jpeg", "png", "webp")
 EVENT_TYPES = ("plan", "stage", "reader", "ping", "result", "error")
 
-WORD = T.StructType.fromDDL(
-    "text string, confidence double, flagged boolean, likely boolean, alternatives array<string>, votes map<string,int>, "
-    "readers int, by_model map<string,string>, lookalikes array<string>, resolved_by string, evidence string, original string"
+WORD = (
+    "text:string, confidence:double, flagged:boolean, likely:boolean, alternatives:array<string>, votes:map<string,int>, "
+    "readers:int, by_model:map<string,string>, lookalikes:array<string>, resolved_by:string, evidence:string, original:string"
 )
 RUN = (
-    T.StructType.fromDDL("image string, dataset string, final string, readings map<string,string>, errors map<string,string>, doc_type string, "
-                         "seconds double, baseline_raw string, single_raw string, single_clean string, error string, ablation_errors map<string,string>")
-    .add("words", T.ArrayType(WORD))
+    "image string, dataset string, final string, readings map<string,string>, errors map<string,string>, doc_type string, "
+    "seconds double, baseline_raw string, single_raw string, single_clean string, error string, "
+    f"ablation_errors map<string,string>, words array<struct<{WORD}>>"
 )
-EVENT = T.StructType.fromDDL(
+EVENT = (
     "job_id string, seq bigint, ts timestamp, type string, stage string, status string, slot int, model string, error string, ms bigint, "
     "answered int, failed int, readers array<string>"
 )
@@ -61,18 +60,18 @@ def scan_pairs(spark: SparkSession, folder: str) -> DataFrame:
         .select(_stem().alias("stem"), F.col("path").alias("image"))
     )
     texts = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+        spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
         .select(_stem("_metadata.file_path").alias("stem"), F.col("value").alias("text"))
     )
     return images.join(texts, "stem")
 
 
 def scan_wordlist(spark: SparkSession, path: str) -> DataFrame:
-    """(word, source, ord): trimmed lines of text files without blanks and # comments, in file order."""
-    lines = spark.read.text(path).select(
-        X.strip(F.col("value")).alias("word"), F.col("_metadata.file_name").alias("source"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("ord"),
-    )
+    """(word, source, ord): trimmed lines of text files without blanks and # comments.  `ord` sorts by file name, block of
+    the file and line of the block."""
+    source = F.col("_metadata.file_name")
+    place = F.struct(source.alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(X.strip(F.col("value")).alias("word"), source.alias("source"), place.alias("ord"))
     return lines.where((F.col("word") != "") & ~F.col("word").startswith("#")).select("word", "source", "ord")
 
 
@@ -81,7 +80,7 @@ def scan_documents(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     return files.select(
         F.regexp_extract("path", r"([^/]+)$", 1).alias("source"), F.lit(None).cast("int").alias("page"),
-        F.replace(F.decode(F.col("content"), "UTF-8"), F.lit("�"), F.lit("")).alias("text"),
+        F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit("")).alias("text"),
     )
 
 

@@ -13,7 +13,7 @@ from quorumtext.functions import text as X
 from quorumtext.functions.labels import writer_slug
 
 MAX_CHARS = 2_000_000  # fixed value: payload limit of a history entry
-HISTORY_CLOUD, HISTORY_LOCAL = 100, 20
+HISTORY_CLOUD = 100
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], ts: str = "created_at") -> DataFrame:
@@ -24,14 +24,6 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], ts: str = "cr
     return both.groupBy(*keys).agg(newest).select(*keys, "_r.*").select(*target.columns)
 
 
-def insert_ignore(target: DataFrame, updates: DataFrame, keys: list[str], ts: str = "created_at") -> DataFrame:
-    """First row per key stays."""
-    both = target.withColumn("_new", F.lit(0)).unionByName(updates.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    rest = [c for c in target.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct("_new", ts)).alias("_r")
-    return both.groupBy(*keys).agg(first).select(*keys, "_r.*").select(*target.columns)
-
-
 def delete_by(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(gone.select(*keys).distinct(), keys, "left_anti")
 

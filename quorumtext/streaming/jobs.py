@@ -159,13 +159,24 @@ def vote_ready(readings: DataFrame, slots: int, deadline: int = VOTE_DEADLINE, g
 
 # ---------------------------------------------------------------- answers
 
+ANSWER = "writer string, original string, answer string, created_at timestamp"
+
+
+def read_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """The words that `ingest_answers` has gathered: the first answer per writer and word."""
+    empty = spark.createDataFrame([], ANSWER)
+    return tables.add_answers(empty, spark.read.schema(ANSWER).option("recursiveFileLookup", True).parquet(f"{folder}/words"))
+
+
 def ingest_answers(answers: DataFrame, folder: str):
-    """Starts a stream that appends confirmed words once per writer; every batch writes a new table version."""
+    """Starts a stream that appends confirmed words.  A batch adds its own part and rewrites nothing else; a replayed
+    batch overwrites its part, and reading keeps the first answer."""
     spark = answers.sparkSession
-    schema = "writer string, original string, answer string, created_at timestamp"
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        old = spark.createDataFrame([], schema) if epoch == 0 else spark.read.schema(schema).parquet(f"{folder}/v{epoch - 1}")
-        tables.add_answers(old, batch).write.mode("overwrite").parquet(f"{folder}/v{epoch}")
+        empty = spark.createDataFrame([], ANSWER)
+        tables.add_answers(empty, batch.select("writer", "original", "answer", "created_at")).select(
+            "writer", "original", "answer", "created_at"
+        ).write.mode("overwrite").parquet(f"{folder}/words/part-{epoch}")
 
     return answers.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
