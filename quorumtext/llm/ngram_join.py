@@ -32,7 +32,7 @@ LARGE = 8
 BLOCK = 1500
 PAIR, MEMBER = 0, 1
 #: Prefix tokens of a shard.
-SHARD = 2_000_000
+SHARD = 1_000_000
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
