@@ -13,15 +13,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumtext.llm.arrow import frame, segments
-from quorumtext.llm.common import bit_filter, in_filter
+from quorumtext.llm.common import bit_filter, in_filter, written
 from quorumtext.llm.shingles import ODD, mix
 
 PIECE = 32
 BLOCK = 32
+#: Contexts of a shard.  Anchors that occur more often than HOT are dealt by RANGES of starts and the bytes that all strings
+#: of a range share, so one anchor of many different copies is many groups.
+SHARD, HOT, RANGES = 15_000, 4_000, 8
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -128,8 +132,8 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _filter(docs: DataFrame, length: int) -> np.ndarray:
-    """Filter of the anchors that occur twice or more."""
+def _repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
+    """(anchor, n) of the anchors that occur twice or more, counted with a map-side combine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +143,19 @@ def _filter(docs: DataFrame, length: int) -> np.ndarray:
                 yield frame({"anchor": (a.view(np.int64), pa.int64()), "n": (n, pa.int64())})
 
     found = docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    return bit_filter(found.where("n > 1"), "anchor")
+    return written(found.where("n > 1"), "suffix-anchors")
+
+
+def _ranges(raw: bytes, anchor: int, place: int, first: int, starts: int, length: int) -> Iterator[tuple[int, int, int]]:
+    """(group, first, starts): the strings of a hot anchor by range of their start, counted from the anchor.  Equal strings
+    fall in the same range and share the bytes that all strings of that range cover."""
+    reach = length - PIECE
+    step = -(-(reach + 1) // RANGES)
+    for lo in range(place - reach, place + 1, step):
+        a, b = max(first, lo), min(first + starts, lo + step)
+        if a < b:
+            core = raw[max(lo + step - 1, 0) : lo + length]
+            yield xxhash.xxh3_64_intdigest(core, seed=(anchor ^ (place - lo)) % (1 << 64)) - (1 << 63), a, b - a
 
 
 def _bytes_at(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
@@ -275,20 +291,24 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     strings of `length` bytes which also start anywhere else."""
     spark = docs.sparkSession
     texts = docs.select("text").where(F.octet_length("text") >= length)
-    bits = spark.sparkContext.broadcast(_filter(texts, length))  # of fixed size
+    often = _repeated_anchors(texts, length)
+    bits = spark.sparkContext.broadcast((bit_filter(often, "anchor"), bit_filter(often.where(F.col("n") > HOT), "anchor")))  # of fixed size
     slim = texts.select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = bits.value
+        repeated, often_repeated = bits.value
         for batch in batches:
             for part in segments(batch):
                 seen: dict[tuple, list] = {}
                 for k1, k2, text in zip(*(part.column(c).to_pylist() for c in range(3))):
                     raw = text.encode()
                     a, place, first, starts = anchors(raw, length)
-                    maybe = in_filter(words, a.view(np.int64))
-                    for h, p, s, n in zip(a[maybe].view(np.int64).tolist(), place[maybe].tolist(), first[maybe].tolist(), starts[maybe].tolist()):
-                        seen.setdefault((h, p - s, raw[s : s + n + length - 1]), []).append((k1, k2, s, s + n + length - 1))
+                    maybe = in_filter(repeated, a.view(np.int64))
+                    hot = in_filter(often_repeated, a.view(np.int64))[maybe].tolist()
+                    found = zip(a[maybe].view(np.int64).tolist(), place[maybe].tolist(), first[maybe].tolist(), starts[maybe].tolist(), hot)
+                    for h, p, s, n, split in found:
+                        for group, s, n in _ranges(raw, h, p, s, n, length) if split else ((h, s, n),):
+                            seen.setdefault((group, p - s, raw[s : s + n + length - 1]), []).append((k1, k2, s, s + n + length - 1))
                 spans: dict[tuple[int, int], list] = {}
                 rows = []
                 for (h, left, context), found in seen.items():
@@ -303,7 +323,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
                 yield frame({n: (list(c), pa.binary() if n == "context" else pa.int64()) for n, c in zip(names, cols)})
 
     fields = "anchor long, left long, context binary, k1 long, k2 long, start long, stop long, weight long"
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
+    shards = max(1, -(-(often.agg(F.sum("n")).first()[0] or 0) // SHARD))
     sent = slim.mapInArrow(run, fields).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     found = sent.groupBy("shard").applyInPandas(lambda f: _shard(f, length), "k1 long, k2 long, start long, stop long")
     return found

@@ -239,7 +239,10 @@ def test_near_copies(docs, rows, none, monkeypatch):
     assert not ngram_join.similar_sets(none).collect()
 
 
-def test_suffix_dedup(docs, rows, none):
+@pytest.mark.parametrize("hot", [4000, 1])
+def test_suffix_dedup(docs, rows, none, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "SHARD", 100)
     length = 400
     raw = [(r[1] or "").encode() for r in rows]
     count = collections.Counter(t[k : k + length] for t in raw for k in range(len(t) - length + 1))
