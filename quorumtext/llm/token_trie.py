@@ -35,23 +35,31 @@ class Trie:
     """Nodes are prefixes; each holds the forward score of its prefix and the tokens on the best path to it.  Words
     that share a prefix share its scores."""
 
-    def __init__(self, scores: Mapping[str, float], most_nodes: int = 400_000, long_word: int = 200):
-        self.scores, self.widest = scores, max(map(len, scores), default=1)
+    def __init__(self, scores: Mapping[str, float], most_nodes: int = 600_000, long_word: int = 200):
+        #: every ending of a piece, with the piece's score where it is one
+        self.endings: dict[str, float | None] = {p[i:]: None for p in scores for i in range(len(p))}
+        self.endings.update(scores)
         self.most_nodes, self.long_word = most_nodes, long_word
         self.nodes: dict[str, tuple[float, int]] = {"": (0.0, 0)}
         self.ends: dict[bytes, int] = {}
 
     def _node(self, path: list[tuple[float, int]], word: str, at: int) -> tuple[float, int]:
         """Best (score, tokens) of word[:at] from the nodes of the shorter prefixes; ties take fewer tokens."""
-        size = len(word[at - 1].encode())
-        best = (path[at - 1][0] + BYTE_SCORE * size, path[at - 1][1] + size)
-        for start in range(max(0, at - self.widest), at):
-            score = self.scores.get(word[start:at])
-            if score is not None:
-                here = (path[start][0] + score, path[start][1] + 1)
-                if here[0] > best[0] or here[0] == best[0] and here[1] < best[1]:
-                    best = here
-        return best
+        score, tokens = path[at - 1]
+        size = 1 if word[at - 1] < "\x80" else len(word[at - 1].encode())
+        score, tokens = score + BYTE_SCORE * size, tokens + size
+        endings, start = self.endings, at - 1
+        while start >= 0:
+            part = word[start:at]
+            if part not in endings:
+                break
+            own = endings[part]
+            if own is not None:
+                before, count = path[start]
+                if before + own > score or before + own == score and count + 1 < tokens:
+                    score, tokens = before + own, count + 1
+            start -= 1
+        return score, tokens
 
     def insert(self, raw: bytes) -> int:
         word = MARK + raw.decode("utf-8", "replace")
