@@ -231,11 +231,26 @@ def export_text(spark: SparkSession, sf: str) -> DataFrame:
     return E.to_text(I.voted(spark, sf))
 
 
-@query("export_markdown")
+MARKDOWN = rf"""WITH {O.VOTED}, c AS (SELECT *, replace(replace(text, '|', '\|'), chr(10), ' ') AS cell,
+      replace(replace(array_to_string(list_transform(models, lambda x, i: 'r' || i || ': ' || x), '; '), '|', '\|'), chr(10), ' ') AS seen FROM voted),
+    j AS (SELECT page_id, count(*) FILTER (WHERE flagged) AS n, string_agg(CASE WHEN flagged THEN '[[' || text || '?]]' ELSE text END, ' ' ORDER BY idx) AS m,
+      string_agg('| ' || cell || ' | ' || seen || ' |  |', chr(10) ORDER BY idx) FILTER (WHERE flagged AND text <> chr(10)) AS tab FROM c GROUP BY page_id),
+    b AS (SELECT *, trim(regexp_replace(regexp_replace(m, '\s*\n\s*', chr(10), 'g'), ' ([.,;:!?)\]])', '\1', 'g'), ' ' || chr(10)) AS body FROM j)
+    SELECT page_id, array_to_string(['# Transcription', '', '- Source: ' || source, '- Digitized: ' || strftime(make_timestamp(doc_id * 1000000), '%Y-%m-%dT%H:%M:%S.%gZ'),
+      '- Document type: note', '- Models that read it: 5', '- Unverified words: ' || n, '- Corrected by a person: 0', '', '## Text', '',
+      replace(regexp_replace(body, '\[\[(.+?)\?\]\]', '**[[\1?]]**', 'g'), chr(10), '  ' || chr(10)), ''], chr(10))
+      || CASE WHEN n > 0 THEN array_to_string(['', '> Words in **[[ ]]** were not verified. Check them against the original before use.', '', '## Needs verification', '',
+      '| Word | Models read | Note |', '| --- | --- | --- |', tab, ''], chr(10)) ELSE '' END AS value FROM b JOIN documents d ON d.doc_id = b.page_id"""
+
+
+@query("export_markdown", MARKDOWN)
 def export_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return E.to_markdown(I.voted(spark, sf), page_meta(spark, sf))
 
 
 @query("export_json")
 def export_json(spark: SparkSession, sf: str) -> DataFrame:
-    return E.to_json_doc(I.voted(spark, sf), page_meta(spark, sf))
+    readings = I.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("page_id"), F.explode(F.array(*[F.lit(f"r{k}") for k in range(1, I.READERS + 1)])).alias("reader"), F.lit(None).cast("string").alias("error")
+    )
+    return E.to_json_doc(I.voted(spark, sf), page_meta(spark, sf), readings=readings, exported_at=F.timestamp_seconds(F.lit(0)))

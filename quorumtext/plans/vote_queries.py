@@ -39,7 +39,7 @@ def flat_words(words: DataFrame) -> DataFrame:
 )
 def vote_positional(spark: SparkSession, sf: str) -> DataFrame:
     pages = V.page_frame(I.readings(spark, sf))
-    return flat_words(V.explode_words(V.vote_columns(V.align_positional(pages))))
+    return flat_words(V.finish_words(V.vote_rows(V.align_positional(pages))))
 
 
 def likely_words(spark: SparkSession, sf: str) -> DataFrame:

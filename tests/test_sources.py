@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quorumtext.functions import arrow
 from quorumtext.operators import audit, pipeline, safety
 from quorumtext.operators import voting as V
-from quorumtext.sources import files
+from quorumtext.sources import exports, files
 from quorumtext.streaming import jobs
 
 START = dt.datetime(2024, 1, 1)
@@ -141,3 +141,17 @@ def test_row_vote_equals_page_vote(spark):
     assert key(V.finish_words(V.vote_rows(pages))) == key(V.explode_words(V.vote_columns(pages)))
     pages = V.align_sequences(V.page_frame(spark.createDataFrame([*rows, (1, 3, "d", "the big cat\nsat on 5", None, "")], READINGS)))
     assert key(V.finish_words(V.vote_rows(pages))) == key(V.explode_words(V.vote_columns(pages)))
+
+
+def test_json_and_markdown_exports(spark):
+    rows = [(1, k, f"r{k}", "Tab alfa 10 mg" if k else "Tab alta 70 mg", None, "") for k in range(3)]
+    words = V.finish_words(V.vote_rows(V.align_positional(V.page_frame(spark.createDataFrame(rows, READINGS)))))
+    pages = spark.createDataFrame([(1, "scan.png", START, "prescription", 3, 1, "raw")], "page_id int, name string, digitized_at timestamp, doc_type string, models int, failed int, baseline string")
+    readings = spark.createDataFrame([(1, f"r{k}", None) for k in range(3)] + [(1, "r9", "down"), (1, "baseline", "x")], "page_id int, reader string, error string")
+    drugs = spark.createDataFrame([(1, 0, "alfa", "10 mg", "Tab", "OD", None, ["too much"], True)], "page_id int, row int, drug string, strength string, form string, frequency string, duration string, warnings array<string>, flagged boolean")
+    doc = json.loads(exports.to_json_doc(words, pages, readings=readings, rows=drugs).first().value)
+    assert doc["models"] == {"answered": ["r0", "r1", "r2"], "failed": {"r9": "down"}} and doc["baseline"] == "raw" and doc["note"] == exports.NOTE
+    assert doc["prescription"][0]["drug"] == "alfa" and doc["prescription"][0]["duration"] is None and doc["exported_at"]
+    assert [w["text"] for w in doc["words"]] == ["Tab", "alfa", "10", "mg"] and [w["verified"] for w in doc["words"]] == [True, True, False, True]
+    text = exports.to_markdown(words, pages, drugs).first().value
+    assert "| alfa | 10 mg | Tab | OD | - | Check dose: too much |" in text and "- Models that read it: 3 (1 failed)" in text and "**[[10?]]**" in text
