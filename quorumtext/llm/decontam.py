@@ -17,6 +17,8 @@ from quorumtext.llm.shingles import Hasher, mix, shingles
 #: Benchmark words a task holds at a time; a larger benchmark is taken in blocks of whole items.
 BLOCK_WORDS = 400_000
 SPAN = 5
+#: Windows start in so many words at a time; a longer text is taken in pieces that share an item's length.
+STEP = 50_000
 
 
 def _signs(words: np.ndarray) -> np.ndarray:
@@ -67,6 +69,20 @@ class Items:
         return [prints >> np.uint64(a) & np.uint64((1 << (b - a)) - 1) for a, b in zip(self.edges, self.edges[1:])]
 
 
+def _found(items: Items, words: np.ndarray, short: int, least: float) -> dict[int, tuple[float, int]]:
+    """Item -> (similarity, first word) of its best window in one document, the first of equal ones."""
+    best: dict[int, tuple[float, int]] = {}
+    longest = max(items.size, default=1)
+    for base in range(0, len(words), STEP):
+        w = words[base : base + STEP + longest - 1]
+        parts = [shingles(w, n) for n in range(short, min(SPAN, len(w) + 1))]  # items shorter than a shingle
+        for part in [*parts, shingles(w, SPAN)] if len(w) >= SPAN else parts:
+            for i, (score, at) in _windows(items, w, part, least).items():
+                if i not in best or score > best[i][0]:
+                    best[i] = (score, base + at)
+    return best
+
+
 def _windows(items: Items, words: np.ndarray, parts: np.ndarray, least: float) -> dict[int, tuple[float, int]]:
     """Item -> (similarity, first word) of its best window in one document."""
     best: dict[int, tuple[float, int]] = {}
@@ -143,9 +159,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radi
                     begin = 0
                     for doc_id, end in zip(part.column("doc_id").to_pylist(), ends.tolist()):
                         w, begin = words[begin:end], end
-                        best = _windows(items, w, shingles(w, SPAN), least) if len(w) >= SPAN else {}
-                        for n in range(short, min(SPAN, len(w) + 1)):  # items shorter than a shingle
-                            best |= _windows(items, w, shingles(w, n), least)
+                        best = _found(items, w, short, least)
                         out += [(doc_id, items.ids[i], s, a, items.size[i]) for i, (s, a) in best.items()]
                     cols = list(zip(*out)) or [[]] * 5
                     types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]

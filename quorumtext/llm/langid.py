@@ -17,6 +17,8 @@ from quorumtext.llm.arrow import frame, segments
 FEATURES = 1 << 16
 MOST_LANGS = 256
 SPACE = 32
+#: Characters made into trigrams at a time.
+PIECE = 2_000_000
 
 
 @dataclass
@@ -36,7 +38,30 @@ class Grams:
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, feature) of every trigram, and which documents hold a letter.
 
-        Texts are lower-cased, runs of non-letters become one space, and each text stands between spaces."""
+        Texts are lower-cased, runs of non-letters become one space, and each text stands between spaces.  A text of
+        more than PIECE characters is taken in pieces, each between spaces of its own."""
+        docs, features, has = [], [], np.zeros(len(texts), bool)
+        waiting: list[tuple[int, str]] = []
+        held = 0
+        for i, t in enumerate(texts):
+            for a in range(0, max(len(t), 1), PIECE):
+                waiting.append((i, t[a : a + PIECE]))
+                held += len(waiting[-1][1])
+                if held >= PIECE:
+                    self._add(waiting, docs, features, has)
+                    waiting, held = [], 0
+        if waiting:
+            self._add(waiting, docs, features, has)
+        return np.concatenate(docs), np.concatenate(features), has
+
+    def _add(self, pieces: list[tuple[int, str]], docs: list, features: list, has: np.ndarray) -> None:
+        names = np.array([i for i, _ in pieces], np.int32)
+        doc, feature, letters = self._grams([t for _, t in pieces])
+        docs.append(names[doc])
+        features.append(feature)
+        has[names[letters]] = True
+
+    def _grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low = [t.lower() for t in texts]
         points = np.frombuffer((" " + "  ".join(low) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
         doc = np.repeat(np.arange(len(low), dtype=np.int32), [len(t) + 2 for t in low])

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes hashed at a time; a longer text is cut between words.
+PIECE = 8_000_000
 #: Modular inverse of ODD, so powers can be taken off again.
 INVERSE = pow(int(ODD), -1, 1 << 64)
 
@@ -56,15 +58,22 @@ class Hasher:
         """(hashes of all words, in order; where each text's words end)."""
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         flat = np.frombuffer(b"\n".join(raw).lower() + b"\n", np.uint8)
-        self._powers(len(flat))
         blank = self.blank[flat]
         edge = np.flatnonzero(np.diff(blank, prepend=True))
         start, end = edge[::2], edge[1::2]
+        stops = np.cumsum([len(r) + 1 for r in raw])
+        hashes, done = [np.empty(0, np.uint64)], 0
+        while done < len(start):
+            upto = max(done + 1, int(np.searchsorted(end, start[done] + PIECE, "right")))
+            hashes.append(self._hash(flat[start[done] : end[upto - 1]], start[done:upto] - start[done], end[done:upto] - start[done]))
+            done = upto
+        return np.concatenate(hashes), np.searchsorted(start, stops)
+
+    def _hash(self, flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        self._powers(len(flat))
         sums = np.zeros(len(flat) + 1, np.uint64)
         np.cumsum(self.value[flat] * self.power[: len(flat)], out=sums[1:])
-        hashes = mix((sums[end] - sums[start]) * self.back[start] + (end - start).astype(np.uint64))
-        stops = np.cumsum([len(r) + 1 for r in raw])
-        return hashes, np.searchsorted(start, stops)
+        return mix((sums[end] - sums[start]) * self.back[start] + (end - start).astype(np.uint64))
 
     def shingles(self, texts: list[str | None], n: int = 5) -> list[np.ndarray]:
         """Each text's shingles, in order."""

@@ -344,3 +344,27 @@ def test_html(spark):
     assert got[1, TEXT] == 2 and got[2, None] == 1 and got[3, ""] == 1 and got[4, "x"] == 1 and got[None, "ab"] == 1
     assert html_text.render("a<td>b</table></div></p>c") and html_text.render("<table><tr><td><table><tr><td>in</table><td>out</table>") == "in | out"
     assert not html_text.extract_text(spark.createDataFrame([], "page_id long, html string")).collect()
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    """Cutting long texts changes neither words nor windows."""
+    import numpy as np
+
+    from quorumtext.llm import shingles
+
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcé", k=rng.randint(1, 9))) for _ in range(n)) for n in (0, 1, 7, 400)] + [None, "x" * 90, " \n"]
+    whole, ends = shingles.Hasher().words(texts)
+    items = decontam.Items([(1, " ".join(texts[3].split()[100:130])), (2, " ".join(texts[3].split()[205:208]))], 15)
+    words = whole[ends[2] : ends[3]]
+    found = decontam._found(items, words, 3, 0.8)
+    assert found == {0: (1.0, 100), 1: (1.0, 205)}
+    grams = langid.Grams()(texts[3:4])
+    monkeypatch.setattr(shingles, "PIECE", 20)
+    monkeypatch.setattr(decontam, "STEP", 11)
+    again = shingles.Hasher().words(texts)
+    assert np.array_equal(again[0], whole) and np.array_equal(again[1], ends) and decontam._found(items, words, 3, 0.8) == found
+    monkeypatch.setattr(langid, "PIECE", 50)
+    assert len(langid.Grams()(["ab" * 25])[0]) == 50
+    cut = langid.Grams()(texts[3:4])
+    assert set(cut[1].tolist()) & set(grams[1].tolist()) and cut[2].tolist() == [True] and abs(len(cut[1]) - len(grams[1])) < len(grams[1]) // 10
