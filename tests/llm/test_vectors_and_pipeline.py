@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quorumtext.llm import mih
+from quorumtext.llm import graph, mih
 from quorumtext.llm.common import prefix_sums
 from quorumtext.llm.graph import components
 
@@ -54,7 +54,9 @@ def test_index_finds_every_code_within_the_radius():
         assert index.within(q, 150).tolist() == np.flatnonzero(bits <= radius).tolist()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part", [500_000, 20])
+def test_components(spark, monkeypatch, part):
+    monkeypatch.setattr(graph, "PART", part)
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2040)] + [(7, 7)]
     up = {}
@@ -69,7 +71,7 @@ def test_components(spark):
         if a != b:
             a, b = find(a), find(b)
             up[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(30)).collect()}
     assert got == {x: find(x) for x in up}
     assert not components(spark.createDataFrame([], "a long, b long")).collect()
 
