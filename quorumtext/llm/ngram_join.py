@@ -30,7 +30,7 @@ MOST_FREQUENT = 500_000
 LARGE = 8
 #: Sets of a block, on either side, when the rest of a large bucket is compared.
 BLOCK = 1500
-PAIR, MEMBER = 0, 1
+PAIR, MEMBER, SALTS = 0, 1, 16
 #: Prefix tokens of a shard.
 SHARD = 1_000_000
 
@@ -330,11 +330,17 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80, orders: int = 2
     more = written(more, "join-more")
 
     graph = components(links.unionByName(more))
-    named = sets.join(graph, sets.f1 == graph.node, "left").withColumn("root", F.coalesce("component", "f1"))
-    named = named.select("doc_id", "size", "root")
-    ids = named.where("size > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(ids, "root", "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # copies of one set, or one large component, may be a third of all rows: they are dealt over SALTS tasks, and only
+    # what differs from a row's own name is looked up
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    moved = graph.where("node <> component").select(F.col("node").alias("f1"), "component", every)
+    named = sets.select("doc_id", "size", "f1", salt).join(moved, ["f1", "salt"], "left")
+    named = named.select("doc_id", "size", "salt", F.coalesce("component", "f1").alias("root"))
+    ids = named.where("size > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    shared = ids.where("n > 1").select("root", F.col("component_id").alias("least"), F.lit(True).alias("many"), every)
+    out = named.join(shared, ["root", "salt"], "left")
+    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when((F.col("size") > 0) & F.col("many"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _packed(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
