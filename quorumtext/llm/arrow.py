@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text and rows worked on at a time; one longer text makes a segment of its own.
-SEGMENT, ROWS = 4_000_000, 50_000
+SEGMENT, ROWS = 2_000_000, 50_000
 
 
 def segments(batch: pa.RecordBatch, column: str = "text", limit: int = SEGMENT) -> Iterator[pa.RecordBatch]:
