@@ -105,6 +105,14 @@ def lasa_groups(spark: SparkSession, sf: str) -> DataFrame:
     return fuzzy.expand_groups(part_groups(spark, sf)).select("name", F.array_join("alike", ",").alias("alike"))
 
 
+@query("lookalike_table")
+def lookalike_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Every name with all it could be mistaken for: mates of its group, and close spellings of another medicine."""
+    lex = fuzzy.lexicon(I.lexicon_words(spark, sf)).select(F.col("key").alias("group_id"), F.col("key").alias("name"))
+    alike = safety.build_lookalikes(formulary(spark), alias_table(spark), part_groups(spark, sf).unionByName(lex))
+    return alike.select("name", F.array_join("alike", ",").alias("alike"))
+
+
 @query("spelling_pairs")
 def spelling_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark words read as drug names: pairs that look alike."""
