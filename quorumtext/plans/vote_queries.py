@@ -285,6 +285,18 @@ def pivot_bag(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.pick_pivot(s).withColumn("score", F.round("score", 6))
 
 
+@query(
+    "page_readers",
+    """SELECT doc_id AS page_id, 5 - CASE WHEN trim(text, ' ' || chr(10)) = '' THEN 5 WHEN doc_id % 7 < 5 THEN 1 ELSE 0 END AS models,
+      CASE WHEN trim(text, ' ' || chr(10)) = '' THEN 5 WHEN doc_id % 7 < 5 THEN 1 ELSE 0 END AS failed FROM documents""",
+)
+def page_readers(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings of five readers, every slot delivered twice; on most pages one of them comes back empty."""
+    r = I.readings(spark, sf)
+    r = r.withColumn("text", F.when(F.col("page_id") % 7 != F.col("slot"), F.col("text"))).withColumn("error", F.lit("no answer"))
+    return RV.page_readers(r.unionByName(r))
+
+
 @query("unsplit_pairs")
 def unsplit_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Words joined per page and reader."""
