@@ -42,7 +42,7 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+def small(df: DataFrame, rows: int = 300_000) -> DataFrame:
     """`df` marked for broadcast if it has at most `rows` rows; beyond that Spark joins it as it sees fit."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
