@@ -1,7 +1,6 @@
 """Operators on documents against plain Python, over rows with nulls, ties, repeats, long texts and clashing columns."""
 
 import collections
-import hashlib
 import random
 import re
 
