@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quorumtext.functions import labels as L
 from quorumtext.functions import text as X
 from quorumtext.operators import audit as A
-from quorumtext.operators import voting as V
 from quorumtext.plans import inputs as I
 from quorumtext.plans import oracle as O
 from quorumtext.plans.catalog import query

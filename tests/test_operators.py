@@ -10,7 +10,7 @@ from quorumtext.functions import arrow
 from quorumtext.functions import labels as L
 from quorumtext.functions import rx as R
 from quorumtext.functions import text as X
-from quorumtext.operators import audit, fuzzy, logs, retrieval, safety
+from quorumtext.operators import audit, fuzzy, retrieval, safety
 from quorumtext.plans import rx_queries
 from quorumtext.streaming import jobs
 
