@@ -25,7 +25,7 @@ PIECE = 32
 BLOCK = 32
 #: Contexts of a shard.  Anchors that occur more often than HOT are dealt by RANGES of starts and the bytes that all strings
 #: of a range share, so one anchor of many different copies is many groups.
-SHARD, HOT, RANGES = 15_000, 4_000, 8
+SHARD, HOT, RANGES = 8_000, 4_000, 8
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
