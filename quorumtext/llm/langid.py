@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quorumtext.llm.arrow import frame, segments
+from quorumtext.llm.common import written
 
 #: Letter trigrams are hashed to so many features; a model holds one number per feature and language.
 FEATURES = 1 << 16
@@ -106,6 +107,7 @@ def learn(labelled: DataFrame, smoothing: float = 0.05) -> Model:
 
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     counts = known.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    counts = written(counts, "lang-counts")  # read twice, counted once
     if counts.select("lang").distinct().limit(MOST_LANGS + 1).count() > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
     rows = counts.toPandas()  # at most MOST_LANGS x FEATURES numbers
