@@ -297,7 +297,7 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80, orders: int = 2
 
     # the sets of the nodes that are left, packed; one row a node
     nodes = pairs.select("a", "b").unionByName(stars.select("a", "b")).select(F.explode(F.array("a", "b")).alias("f1")).distinct()
-    chosen = sets.join(nodes, "f1").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"))
+    chosen = sets.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id")).join(nodes, "f1")
     packed = written(_packed(docs, chosen, n), "join-packed")
 
     # first the pair of each node that has most in common, then those that still lie between two components
