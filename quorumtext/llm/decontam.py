@@ -77,14 +77,17 @@ def _found(items: Items, words: np.ndarray, short: int, least: float) -> dict[in
         w = words[base : base + STEP + longest - 1]
         parts = [shingles(w, n) for n in range(short, min(SPAN, len(w) + 1))]  # items shorter than a shingle
         for part in [*parts, shingles(w, SPAN)] if len(w) >= SPAN else parts:
-            for i, (score, at) in _windows(items, w, part, least).items():
+            for i, (score, at) in _windows(items, w, part, least, base == 0).items():
                 if i not in best or score > best[i][0]:
                     best[i] = (score, base + at)
     return best
 
 
-def _windows(items: Items, words: np.ndarray, parts: np.ndarray, least: float) -> dict[int, tuple[float, int]]:
-    """Item -> (similarity, first word) of its best window in one document."""
+def _windows(items: Items, words: np.ndarray, parts: np.ndarray, least: float, start: bool) -> dict[int, tuple[float, int]]:
+    """Item -> (similarity, first word) of its best window in one document, or in a piece of it.
+
+    The piece at the document's start holds more words than any item if the document does, so for a longer item it is
+    the whole document."""
     best: dict[int, tuple[float, int]] = {}
     if not len(items.known) or not len(parts):
         return best
@@ -102,11 +105,12 @@ def _windows(items: Items, words: np.ndarray, parts: np.ndarray, least: float) -
     np.cumsum(_signs(words), axis=0, out=sums[1:])
     for n, places in of_length.items():
         span = min(SPAN, n)
-        last = len(words) - n
-        if last < 0:
+        size = min(n, len(words))  # a shorter document is one window
+        last = len(words) - size
+        if size < n and (not start or (size - span + 1) / (n - span + 1) < least):
             continue
         starts = np.unique(np.concatenate([np.arange(max(0, h - n + span), min(h, last) + 1) for h in places]))
-        prints = _fingerprints(sums[starts + n] - sums[starts])
+        prints = _fingerprints(sums[starts + size] - sums[starts])
         pairs: set[tuple[int, int]] = set()
         for b, values in enumerate(items.cut(prints)):
             for v in np.unique(values).tolist():
@@ -115,7 +119,7 @@ def _windows(items: Items, words: np.ndarray, parts: np.ndarray, least: float) -
         for i, s in sorted(pairs):
             if int(prints[s] ^ items.prints[i]).bit_count() <= items.radius:
                 a = int(starts[s])
-                score = weighted_similarity(parts[a : a + n - span + 1], items.parts[i])
+                score = weighted_similarity(parts[a : a + size - span + 1], items.parts[i])
                 if score >= least and (i not in best or score > best[i][0]):
                     best[i] = (score, a)
     return best
@@ -135,7 +139,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radi
     """(doc_id, item_id, similarity, first_word, n_words): benchmark items found in each row's whole text, with the
     best window of each.
 
-    Windows are as long as the item, at every word.  A window's SimHash (one vote of each word and bit) is looked up
+    Windows are as long as the item, at every word; a text of fewer words than the item is one window, the whole of it,
+    so an item without some of its words is found where nothing else stands.  A window's SimHash (one vote of each word and bit) is looked up
     by `radius` + 1 Hamming blocks, which finds every item within `radius` bits; pairs that stay within it are
     verified by the similarity of their five-word shingles, weighed by count, which must reach `least`.
 

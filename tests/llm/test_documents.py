@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from quorumtext.llm import decontam, html_text, langid, lines, mixing, ngram_join, secret_scan, suffix, token_trie
+from quorumtext.llm import decontam, html_text, langid, lines, mixing, ngram_join, secret_scan, shingles, suffix, token_trie
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, h long, node long, kept string, size string, before int"
 BLANK = " \t\n\x0b\x0c\r"
@@ -345,6 +345,36 @@ def test_html(spark):
     assert not html_text.extract_text(spark.createDataFrame([], "page_id long, html string")).collect()
 
 
+def test_decontamination_of_texts_shorter_than_the_item(spark, monkeypatch):
+    rng = random.Random(5)
+    w = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    items = {1: w(40), 2: w(15), 3: w(59), 4: w(6), 5: w(4)}
+    texts = [x[a : len(x) - b] for x in items.values() for a, b in ((0, 1), (0, 3), (2, 1), (1, 0), (0, 8), (9, 0), (3, 30))]
+    texts += [x[: len(x) - 3] + w(k) for x in items.values() for k in (1, 3, 40)] + [items[1][:17] + ["other"] + items[1][18:37], []]
+
+    def similarity(d, x):
+        k = min(5, len(x))
+        grams = lambda y: collections.Counter(tuple(y[a : a + k]) for a in range(len(y) - k + 1))
+        windows = [d[a : a + len(x)] for a in range(len(d) - len(x) + 1)] or [d]
+        return max(sum((grams(p) & grams(x)).values()) / sum((grams(p) | grams(x)).values()) for p in windows)
+
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in decontam.contaminated(docs, bench).collect()}
+    want = {(k, i): s for k, t in enumerate(texts) for i, x in items.items() if (s := similarity(t, x)) >= 0.8}
+    assert {k: s for k, (s, _) in got.items()} == pytest.approx(want)
+    short = [k for k, i in want if len(texts[k]) < len(items[i])]
+    assert len(short) >= 10 and got[1, 1] == (33 / 36, 0)
+    # a piece that ends a longer text is no whole text
+    hasher = shingles.Hasher()
+    block = decontam.Items([(1, " ".join(items[1]))], 15)
+    long = hasher.words([" ".join(w(22) + items[1][:35])])[0]
+    before = decontam._found(block, long, 5, 0.8)
+    assert decontam._found(block, hasher.words([" ".join(items[1][:35])])[0], 5, 0.8) == {0: (31 / 36, 0)}
+    monkeypatch.setattr(decontam, "STEP", 11)
+    assert decontam._found(block, long, 5, 0.8) == before == {}
+
+
 def test_pieces_of_long_texts(monkeypatch):
     """Cutting long texts changes neither words nor windows."""
     import numpy as np
