@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumtext.llm.arrow import frame, segments
-from quorumtext.llm.common import bit_filter, in_filter, written
+from quorumtext.llm.common import FILTER_BITS, bit_filter, in_filter, written
 from quorumtext.llm.shingles import ODD, mix
 
 PIECE = 32
 BLOCK = 32
 #: Contexts of a shard.  Anchors that occur more often than HOT are dealt by RANGES of starts and the bytes that all strings
-#: of a range share, so one anchor of many different copies is many groups.
+#: of a range share, and so are groups that still have more contexts, down to one start.  There the key is the whole
+#: string, equal strings of a segment are one row, and nothing is left to compare.
 SHARD, HOT, RANGES = 8_000, 4_000, 8
 
 
@@ -146,16 +147,70 @@ def _repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
     return written(found.where("n > 1"), "suffix-anchors")
 
 
-def _ranges(raw: bytes, anchor: int, place: int, first: int, starts: int, length: int) -> Iterator[tuple[int, int, int]]:
-    """(group, first, starts): the strings of a hot anchor by range of their start, counted from the anchor.  Equal strings
-    fall in the same range and share the bytes that all strings of that range cover."""
-    reach = length - PIECE
-    step = -(-(reach + 1) // RANGES)
-    for lo in range(place - reach, place + 1, step):
+def _steps(length: int) -> list[int]:
+    """Starts of a range at each split, down to one."""
+    out = [-(-(length - PIECE + 1) // RANGES)]
+    while out[-1] > 1:
+        out.append(-(-out[-1] // RANGES))
+    return out
+
+
+def _split(raw: bytes, group: int, place: int, low: int, first: int, starts: int, length: int, hot: list[np.ndarray], depth: int = 0) -> Iterator[tuple[int, int, int, int]]:
+    """(group, first, starts, depth): the strings of a group, which start at `low` or later, by range of their start,
+    counted from the anchor, for as long as the group is hot.  Equal strings fall in the same range and share the bytes
+    that all strings of that range cover, so they stay together; a range of one start is the string itself."""
+    steps = _steps(length)
+    if depth == min(len(hot), len(steps)) or not hot[depth][group % FILTER_BITS >> 6] >> np.uint64(group & 63) & np.uint64(1):
+        yield group, first, starts, depth
+        return
+    step = steps[depth]
+    for lo in range(low, first + starts, step):
         a, b = max(first, lo), min(first + starts, lo + step)
         if a < b:
-            core = raw[max(lo + step - 1, 0) : lo + length]
-            yield xxhash.xxh3_64_intdigest(core, seed=(anchor ^ (place - lo)) % (1 << 64)) - (1 << 63), a, b - a
+            core = raw[lo + step - 1 : lo + length]
+            key = xxhash.xxh3_64_intdigest(core, seed=(group ^ (place - lo)) % (1 << 64)) - (1 << 63)
+            yield from _split(raw, key, place, lo, a, b - a, length, hot, depth + 1)
+
+
+def _hot_groups(texts: DataFrame, length: int, often: DataFrame) -> tuple[list[np.ndarray], int]:
+    """Filters of the groups of more than HOT contexts at each depth, and how many contexts the splits add at most.
+
+    A group is counted after equal contexts of a segment have met, as it is sent.  Each depth that has hot groups reads
+    the texts once more; the last split needs no count."""
+    spark, steps, added = texts.sparkSession, _steps(length), 0
+    counted = often.withColumnRenamed("anchor", "group")
+    hot: list[np.ndarray] = []
+    for depth in range(1, len(steps) + 1):
+        large = counted.where(F.col("n") > HOT)
+        m = large.agg(F.sum("n")).first()[0] or 0
+        if not m:
+            break
+        hot.append(bit_filter(large, "group"))
+        if depth == len(steps):
+            added += m * RANGES
+            break
+        bits = spark.sparkContext.broadcast(hot)  # of fixed size
+
+        def run(batches: Iterator[pa.RecordBatch], bits=bits, depth=depth) -> Iterator[pa.RecordBatch]:
+            hot = bits.value
+            for batch in batches:
+                for part in segments(batch):
+                    seen = set()
+                    for text in part.column("text").to_pylist():
+                        raw = text.encode()
+                        a, place, first, starts = anchors(raw, length)
+                        maybe = in_filter(hot[0], a.view(np.int64))
+                        for h, p, s, n in zip(a[maybe].view(np.int64).tolist(), place[maybe].tolist(), first[maybe].tolist(), starts[maybe].tolist()):
+                            for group, s2, n2, d in _split(raw, h, p, p - length + PIECE, s, n, length, hot):
+                                if d == depth:
+                                    seen.add((group, xxhash.xxh3_64_intdigest(raw[s2 : s2 + n2 + length - 1], seed=p - s2)))
+                    groups, n = np.unique(np.array([g for g, _ in seen], np.int64), return_counts=True)
+                    yield frame({"group": (groups, pa.int64()), "n": (n, pa.int64())})
+
+        found = texts.select("text").mapInArrow(run, "group long, n long").groupBy("group").agg(F.sum("n").alias("n"))
+        counted = written(found.where("n > 1"), "suffix-groups")
+        added += counted.agg(F.sum("n")).first()[0] or 0
+    return hot, added
 
 
 def _bytes_at(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
@@ -292,11 +347,12 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select("text").where(F.octet_length("text") >= length)
     often = _repeated_anchors(texts, length)
-    bits = spark.sparkContext.broadcast((bit_filter(often, "anchor"), bit_filter(often.where(F.col("n") > HOT), "anchor")))  # of fixed size
+    hot_groups, added = _hot_groups(texts, length, often)
+    bits = spark.sparkContext.broadcast((bit_filter(often, "anchor"), hot_groups))  # of fixed size
     slim = texts.select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, often_repeated = bits.value
+        repeated, hot = bits.value
         for batch in batches:
             for part in segments(batch):
                 seen: dict[tuple, list] = {}
@@ -304,10 +360,9 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
                     raw = text.encode()
                     a, place, first, starts = anchors(raw, length)
                     maybe = in_filter(repeated, a.view(np.int64))
-                    hot = in_filter(often_repeated, a.view(np.int64))[maybe].tolist()
-                    found = zip(a[maybe].view(np.int64).tolist(), place[maybe].tolist(), first[maybe].tolist(), starts[maybe].tolist(), hot)
-                    for h, p, s, n, split in found:
-                        for group, s, n in _ranges(raw, h, p, s, n, length) if split else ((h, s, n),):
+                    found = zip(a[maybe].view(np.int64).tolist(), place[maybe].tolist(), first[maybe].tolist(), starts[maybe].tolist())
+                    for h, p, s, n in found:
+                        for group, s, n, _ in _split(raw, h, p, p - length + PIECE, s, n, length, hot):
                             seen.setdefault((group, p - s, raw[s : s + n + length - 1]), []).append((k1, k2, s, s + n + length - 1))
                 spans: dict[tuple[int, int], list] = {}
                 rows = []
@@ -323,7 +378,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
                 yield frame({n: (list(c), pa.binary() if n == "context" else pa.int64()) for n, c in zip(names, cols)})
 
     fields = "anchor long, left long, context binary, k1 long, k2 long, start long, stop long, weight long"
-    shards = max(1, -(-(often.agg(F.sum("n")).first()[0] or 0) // SHARD))
+    shards = max(1, -(-((often.agg(F.sum("n")).first()[0] or 0) + added) // SHARD))
     sent = slim.mapInArrow(run, fields).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     found = sent.groupBy("shard").applyInPandas(lambda f: _shard(f, length), "k1 long, k2 long, start long, stop long")
     return found

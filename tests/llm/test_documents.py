@@ -260,6 +260,34 @@ def test_suffix_dedup(docs, rows, none, monkeypatch, hot):
     assert not suffix.remove_repeats(none, length).collect()
 
 
+@pytest.mark.parametrize("size", [380, 420, 900])
+def test_suffix_groups_are_bounded(spark, monkeypatch, size):
+    """One passage amid different texts: no group of contexts is larger than HOT."""
+    repeated, hot, length = suffix._repeated, 20, 400
+    monkeypatch.setattr(suffix, "HOT", hot)
+
+    def checked(group, *rest):
+        import numpy as np
+
+        assert np.unique(group, return_counts=True)[1].max() <= hot
+        return repeated(group, *rest)
+
+    monkeypatch.setattr(suffix, "_repeated", checked)
+    rng = random.Random(size)
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = prose(size)
+    texts = [prose(rng.randrange(500)) + (passage if i % 3 else passage[:-30]) + prose(rng.randrange(300, 500)) for i in range(90)]
+    count = collections.Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.kept.decode() for r in suffix.remove_repeats(df, length).collect()}
+    for i, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for k in range(len(t) - length + 1):
+            if count[t[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
+        assert got[i] == "".join(c for c, g in zip(t, gone) if not g)
+
+
 def test_suffix_array():
     import numpy as np
 
