@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -58,11 +59,13 @@ class Items:
         for i, (n, f) in enumerate(zip(self.size, self.prints)):
             for b, v in enumerate(self.cut(np.array([f]))):
                 self.index.setdefault((n, b, int(v[0])), []).append(i)
-        #: every shingle of every item, and the lengths of the items that hold it
+        #: every shingle of every item, and the lengths of the items that hold it; (length, shingle) -> items
         self.lengths: dict[int, set[int]] = {}
-        for n, part in zip(self.size, self.parts):
-            for t in part.tolist():
+        self.holders: dict[tuple[int, int], list[int]] = {}
+        for i, (n, part) in enumerate(zip(self.size, self.parts)):
+            for t in set(part.tolist()):
                 self.lengths.setdefault(t, set()).add(n)
+                self.holders.setdefault((n, t), []).append(i)
         self.known = np.array(sorted(self.lengths), np.uint64)
 
     def cut(self, prints: np.ndarray) -> list[np.ndarray]:
@@ -116,12 +119,22 @@ def _windows(items: Items, words: np.ndarray, parts: np.ndarray, least: float, s
             for v in np.unique(values).tolist():
                 for i in items.index.get((n, b, v), ()):
                     pairs.update((i, s) for s in np.flatnonzero(values == v).tolist())
-        for i, s in sorted(pairs):
-            if int(prints[s] ^ items.prints[i]).bit_count() <= items.radius:
-                a = int(starts[s])
-                score = weighted_similarity(parts[a : a + size - span + 1], items.parts[i])
-                if score >= least and (i not in best or score > best[i][0]):
-                    best[i] = (score, a)
+        near = {(i, s) for i, s in pairs if int(prints[s] ^ items.prints[i]).bit_count() <= items.radius}
+        # A similar window may lie beyond the radius, but not without this many places that hold shingles of the item.
+        p, m = size - span + 1, n - span + 1
+        enough = math.ceil(least * (p + m) / (1 + least) - 1e-9)
+        held = np.zeros(len(parts) + 1, np.int64)
+        held[np.array(places) + 1] = 1
+        held = np.cumsum(held)
+        for s in np.flatnonzero(held[starts + p] - held[starts] >= enough).tolist():
+            a = int(starts[s])
+            shared = Counter(i for t in parts[a : a + p].tolist() for i in items.holders.get((n, t), ()))
+            near.update((i, s) for i, k in shared.items() if k >= enough)
+        for i, s in sorted(near):
+            a = int(starts[s])
+            score = weighted_similarity(parts[a : a + p], items.parts[i])
+            if score >= least and (i not in best or score > best[i][0]):
+                best[i] = (score, a)
     return best
 
 
@@ -141,8 +154,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radi
 
     Windows are as long as the item, at every word; a text of fewer words than the item is one window, the whole of it,
     so an item without some of its words is found where nothing else stands.  A window's SimHash (one vote of each word and bit) is looked up
-    by `radius` + 1 Hamming blocks, which finds every item within `radius` bits; pairs that stay within it are
-    verified by the similarity of their five-word shingles, weighed by count, which must reach `least`.
+    by `radius` + 1 Hamming blocks, which finds every item within `radius` bits; windows beyond it are found by the
+    number of shingles that `least` takes.  All pairs are verified by the similarity of their five-word shingles,
+    weighed by count, which must reach `least`, so none is missed whatever the radius.
 
     Words are lower-cased (A-Z) and split at ASCII white space; an item of fewer than five words is one shingle.
     Null or empty texts and items match nothing.  Repeated rows each give their rows.  The benchmark is brought to the

@@ -403,6 +403,25 @@ def test_decontamination_of_texts_shorter_than_the_item(spark, monkeypatch):
     assert decontam._found(block, long, 5, 0.8) == before == {}
 
 
+def test_decontamination_beyond_the_radius():
+    """Items whose first or last words are others: similar windows are found however far their fingerprints lie."""
+    rng = random.Random(11)
+    hasher, far = shingles.Hasher(), 0
+    for _ in range(1500):
+        n = rng.randint(15, 59)
+        text = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        k = (n - 4) // 9
+        new = [f"v{rng.randrange(10**6)}" for _ in range(k)]
+        copy = text[: n - k] + new if rng.random() < 0.5 else new + text[k:]
+        items = decontam.Items([(1, " ".join(text))], 15)
+        w = hasher.words([" ".join(copy)])[0]
+        score = decontam.weighted_similarity(shingles.shingles(w, 5), items.parts[0])
+        bits = int(decontam._fingerprints(decontam._signs(w).sum(0, keepdims=True))[0] ^ items.prints[0]).bit_count()
+        assert score >= 0.8 and decontam._found(items, w, 5, 0.8) == {0: (score, 0)}
+        far += bits > 15
+    assert far
+
+
 def test_pieces_of_long_texts(monkeypatch):
     """Cutting long texts changes neither words nor windows."""
     import numpy as np
