@@ -14,6 +14,9 @@ from quorumtext.llm.arrow import frame, segments
 
 # Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What a head holds, and which of that have content.  Anything else ends a head whose end tag is left out.
+HOLDERS = ("title", "script", "style", "noscript", "template", "noframes")
+HEAD = frozenset((*HOLDERS, "base", "basefont", "bgsound", "link", "meta"))
 UNSEEN = frozenset("head script style template noscript title iframe object audio video canvas svg datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -100,8 +103,8 @@ class Builder(HTMLParser):
             return
         if tag == "head":
             attrs = {}
-        elif self.open.get("head") and tag in BLOCK:
-            self._close({"head"}, ())  # a block cannot be in the head
+        elif self.open.get("head") and (tag in BLOCK or tag not in HEAD and not self._held()):
+            self._close({"head"}, ())  # it cannot be in the head
         if tag in ENDS_P:
             self._close({"p"}, SCOPE)
         if tag in CLOSES:
@@ -132,7 +135,13 @@ class Builder(HTMLParser):
             if node is not self.root and node.tag == tag:
                 self._leave(node)
 
+    def _held(self) -> bool:
+        """Inside an element of the head that has content of its own."""
+        return any(self.open.get(t) for t in HOLDERS)
+
     def handle_data(self, data):
+        if self.open.get("head") and data.strip(" \t\n\f\r") and not self._held():
+            self._close({"head"}, ())  # text cannot be in the head
         self.here.children.append(data)
 
 

@@ -403,6 +403,13 @@ def test_decontamination_of_texts_shorter_than_the_item(spark, monkeypatch):
     assert decontam._found(block, long, 5, 0.8) == before == {}
 
 
+def test_html_head_without_end_tag():
+    assert html_text.render("<head><title>T</title>Hello <b>x</b><p>y") == "Hello x\n\ny"
+    assert html_text.render("<head><title>T</title><meta charset=x> <b>Hello</b> x<p>y") == "Hello x\n\ny"
+    assert html_text.render("<html><head>\n<title>a</title><style>b</style><script>c</script><noscript>d<img></noscript>\n<template>e<b>f</b></template><link>\n<a>g</a>") == "g"
+    assert html_text.render("<head><title>T</title>\n</head>\n<body>x") == "x"
+
+
 def test_decontamination_beyond_the_radius():
     """Items whose first or last words are others: similar windows are found however far their fingerprints lie."""
     rng = random.Random(11)
