@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumtext.llm import decontam, html_text, langid, lines, mih, mixing, ngram_join, secret_scan, suffix, token_trie
+from quorumtext.llm import decontam, html_text, langid, lines, mih, mixing, ngram_join, quality, secret_scan, suffix, token_trie
 from quorumtext.llm.common import LOWER, UPPER, table
 from quorumtext.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -128,3 +128,10 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     cut = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r.stop - r.start)
     spans = F.size("removed").cast("long")
     return d.select("doc_id", "n_bytes", cut.alias("n_removed"), spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_quality_rules")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    ratio = quality.fit(docs, quality.trusted_rows(docs, table(spark, sf, "labels")))
+    return quality.quality(docs, ratio)
