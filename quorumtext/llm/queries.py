@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumtext.llm import decontam, html_text, langid, lines, mih, mixing, ngram_join, quality, secret_scan, suffix, token_trie
+from quorumtext.llm import decontam, html_text, langid, lines, mih, mixing, ngram_join, quality, secret_scan, suffix, token_trie, whitening
 from quorumtext.llm.common import LOWER, UPPER, table
 from quorumtext.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -135,3 +135,9 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     ratio = quality.fit(docs, quality.trusted_rows(docs, table(spark, sf, "labels")))
     return quality.quality(docs, ratio)
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = whitening.clean_vectors(table(spark, sf, "embeddings"))
+    return whitening.whiten(vectors, whitening.fit_spaces(vectors))
