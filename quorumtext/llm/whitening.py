@@ -124,6 +124,7 @@ def refine(a: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
     bits, last = float(np.finfo(WIDE).eps), math.inf
     for _ in range(rounds):
         r, s = eye - x.T @ x, x.T @ (m @ x)
+        s = (s + s.T) / 2  # a correction must turn the vectors, and not stretch them
         values = np.diag(s) / (1 - np.diag(r))
         off = s - np.diag(values)
         near = 2 * (np.linalg.norm(off.astype(np.float64), "fro") + norm * np.linalg.norm(r.astype(np.float64), "fro"))
@@ -141,11 +142,11 @@ def refine(a: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
                 mid = ranked[run].mean()
                 inner = own.T @ (m @ own) - mid * (own.T @ own)
                 size = np.abs(inner).max()
-                if size > 0:
+                if np.abs(inner - np.diag(np.diag(inner))).max() > 4 * d * bits * norm:
                     turn = np.linalg.eigh(((inner + inner.T) / (2 * size)).astype(np.float64))[1][:, ::-1]
                     x[:, run] = own @ turn.astype(WIDE)
         change = float(np.abs(np.where(far, step, r / 2)).max())
-        if change <= 4 * bits or (change < 1e-17 and change >= last):
+        if change <= 4 * bits or (change < 1e-6 and change > last / 2):
             break
         last = change
     r, s = eye - x.T @ x, x.T @ (m @ x)
