@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumtext.llm import decontam, html_text, langid, lines, mih, mixing, ngram_join, quality, secret_scan, suffix, token_trie, whitening
+from quorumtext.llm import decontam, html_text, langid, lines, mih, mixing, ngram_join, prefix_trie, quality, secret_scan
+from quorumtext.llm import suffix, token_trie, whitening
 from quorumtext.llm.common import LOWER, UPPER, table
 from quorumtext.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -141,3 +142,8 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     vectors = whitening.clean_vectors(table(spark, sf, "embeddings"))
     return whitening.whiten(vectors, whitening.fit_spaces(vectors))
+
+
+@query("op12_prefix_trie")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(table(spark, sf, "conversations"))
