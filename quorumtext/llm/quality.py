@@ -13,26 +13,23 @@ from quorumtext.llm.common import BLANKS, small
 
 #: Weights and scores are whole millionths, so sums do not depend on their order.
 UNIT = 1_000_000
-#: Pairs of words are hashed from the hashes of both.
-PAIR = 1_000_003
 
 
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS))
-    return F.filter(F.split(spaced, " ", -1), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), "")
 
 
 def grams(own: Column, buckets: int) -> Column:
-    """Bucket numbers (from 1) of the words and the pairs of neighbouring words in an array of word hashes."""
+    """Bucket numbers (from 0) of the words and the pairs of neighbouring words in an array of word hashes."""
     n = F.lit(buckets)
-    one = F.transform(own, lambda h: F.pmod(h, n) + 1)
-    pairs = F.zip_with(F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))), F.slice(own, 2, F.size(own)), lambda a, b: F.pmod(a * PAIR + b, n) + 1)
-    return F.concat(one, pairs)
+    ahead = F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0)))
+    pairs = F.transform(ahead, lambda a, i: F.pmod(F.xxhash64(a, F.get(own, i + 1)), n))
+    return F.concat(F.transform(own, lambda h: F.pmod(h, n)), pairs)
 
 
 def _hashed(docs: DataFrame, keep: list[str]) -> DataFrame:
-    return docs.select(*keep, F.transform(words(F.col("text")), lambda w: F.crc32(w.cast("binary"))).alias("__own"))
+    return docs.select(*keep, F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("__own"))
 
 
 def _counts(docs: DataFrame, buckets: int) -> list[int]:
@@ -40,7 +37,7 @@ def _counts(docs: DataFrame, buckets: int) -> list[int]:
     seen = _hashed(docs, []).select(F.explode(grams(F.col("__own"), buckets)).alias("b")).groupBy("b").count()
     out = [0] * buckets
     for b, n in seen.collect():  # at most `buckets` rows
-        out[int(b) - 1] = n
+        out[b] = n
     return out
 
 
@@ -59,7 +56,7 @@ class Ratio:
     def score(self, own: Column) -> Column:
         """Mean weight of a text's n-grams in whole millionths, rounded down; null for a text without words."""
         table = F.split(F.lit(",".join(map(str, self.weights))), ",").cast("array<long>")
-        total = F.aggregate(grams(own, self.buckets), F.lit(0).cast("long"), lambda s, b: s + F.get(table, (b - 1).cast("int")))
+        total = F.aggregate(grams(own, self.buckets), F.lit(0).cast("long"), lambda s, b: s + F.get(table, b.cast("int")))
         return F.floor(total / (2 * F.size(own) - 1)).cast("long")
 
 
@@ -102,25 +99,24 @@ def quality(docs: DataFrame, ratio: Ratio, least_words: int = 50, most_repeated:
     text = F.coalesce(F.col("text"), F.lit(""))
     lined = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     base = docs.select("doc_id", "text", words(F.col("text")).alias("__words"), lined.alias("__lines"))
-    hashes = F.transform("__words", lambda w: F.xxhash64(w))
     base = base.select(
         "doc_id", F.size("__words").cast("long").alias("n_words"),
-        F.char_length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.char_length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        hashes.alias("__h"), F.transform("__words", lambda w: F.crc32(w.cast("binary"))).alias("__own"),
+        F.transform("__words", lambda w: F.xxhash64(w)).alias("__own"),
     )
-    count = F.greatest(F.col("n_words").cast("int") - 2, F.lit(0))
-    pairs = F.zip_with(F.slice("__h", 1, count), F.slice("__h", 2, count), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    windows = F.zip_with(pairs, F.slice("__h", 3, count), lambda p, c: F.xxhash64(p.a, p.b, c))
-    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    base = base.withColumn("__sorted", placed).drop("__h")
-    same = lambda x, i: F.get("__sorted", i)["h"] == x["h"]
-    again = F.filter("__sorted", lambda x, i: F.coalesce(same(x, i - 1), F.lit(False)) | F.coalesce(same(x, i + 1), F.lit(False)))
-    starts = F.array_sort(F.transform(again, lambda x: x["i"]))
-    base = base.withColumn("__starts", starts).drop("__sorted")
+    ahead = F.slice("__own", 1, F.greatest(F.size("__own") - 2, F.lit(0)))
+    base = base.withColumn("__windows", F.transform(ahead, lambda a, i: F.xxhash64(a, F.get("__own", i + 1), F.get("__own", i + 2))))
+    # most texts repeat no window, and need no order
+    some = F.size(F.array_distinct("__windows")) < F.size("__windows")
+    placed = F.array_sort(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    base = base.withColumn("__sorted", F.when(some, placed)).drop("__windows")
+    same = lambda x, i: F.coalesce(F.get("__sorted", i)["h"] == x["h"], F.lit(False))
+    again = F.filter("__sorted", lambda x, i: same(x, i - 1) | same(x, i + 1))
+    base = base.withColumn("__starts", F.array_sort(F.transform(again, lambda x: x["i"]))).drop("__sorted")
     reach = F.transform("__starts", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("__starts", i + 1) - p, F.lit(3))))
-    covered = F.aggregate(reach, F.lit(0), lambda s, x: s + x).cast("long")
+    covered = F.coalesce(F.aggregate(reach, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long")
     base = base.withColumn("n_repeat_words", covered).drop("__starts")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     out = base.withColumn("base_failed", failed).withColumn("score", F.when(F.col("n_words") > 0, ratio.score(F.col("__own"))))
