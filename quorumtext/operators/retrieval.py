@@ -113,44 +113,111 @@ def asked_postings(passages: DataFrame, queries: DataFrame) -> tuple[DataFrame,
     return cut_lineage(counted), asked
 
 
-def bm25_top(passages: DataFrame, queries: DataFrame, k: int = TOP_K, k1: float = K1, b: float = B, seed: int = 2000) -> DataFrame:
+#: Passages of one block of the index, of which the largest weight of each term is known.
+BLOCK = 64
+
+
+class _Segment:
+    """Postings of some passages, by term and then passage, with the largest weight of each term in each block."""
+
+    def __init__(self, chunk: np.ndarray, term: np.ndarray, weight: np.ndarray):
+        self.chunks, doc = np.unique(chunk, return_inverse=True)
+        self.terms, term = np.unique(term, return_inverse=True)
+        order = np.lexsort((doc, term))
+        self.doc, self.weight = doc[order], weight[order]
+        self.starts = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+        self.blocks = -(-len(self.chunks) // BLOCK)
+        self.most = np.zeros((len(self.terms), self.blocks))
+        np.maximum.at(self.most, (term, doc // BLOCK), weight)
+
+    def scores(self, at: np.ndarray, idf: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage numbers, scores) of the passages of these blocks that hold one of the terms."""
+        inside = np.zeros(self.blocks, bool)
+        inside[blocks] = True
+        docs, parts = [], []
+        for t, w in zip(at, idf):
+            own = slice(self.starts[t], self.starts[t + 1])
+            keep = inside[self.doc[own] // BLOCK]
+            docs.append(self.doc[own][keep])
+            parts.append(self.weight[own][keep] * w)
+        docs = np.concatenate(docs)
+        total = np.bincount(docs, np.concatenate(parts), len(self.chunks))
+        found = np.flatnonzero(np.bincount(docs, minlength=len(self.chunks)))
+        # rounded, so that equal passages tie whatever order their terms were added in
+        return found, np.round(total[found], 9)
+
+    def best(self, terms: np.ndarray, idf: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(chunk ids, scores) of the `k` best passages that reach `floor`.  Blocks come by falling bound, a few first
+        and then twice as many each time; the k-th score so far lets the rest be skipped."""
+        at = np.searchsorted(self.terms, terms)
+        there = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms)
+        at, idf = at[there], idf[there]
+        bound = idf @ self.most[at] if len(at) else np.zeros(self.blocks)
+        order, docs, score, step, i = np.argsort(-bound, kind="stable"), np.zeros(0, np.int64), np.zeros(0), 2, 0
+        # bounds are sums in another order, and scores are rounded
+        while len(at) and i < self.blocks and bound[order[i]] > 0 and bound[order[i]] + 1e-8 >= floor:
+            more = order[i : i + step]
+            d, s = self.scores(at, idf, more[bound[more] + 1e-8 >= floor])
+            docs, score = np.concatenate([docs, d]), np.concatenate([score, s])
+            top = np.lexsort((docs, -score))[:k]
+            docs, score = docs[top], score[top]
+            if len(top) == k:
+                floor = max(floor, score[-1])
+            i, step = i + step, step * 2
+        return self.chunks[docs], score
+
+
+def bm25_top(
+    passages: DataFrame, queries: DataFrame, k: int = TOP_K, k1: float = K1, b: float = B, seed: int = 2000,
+    segment: int = 4096, query_block: int = 2000,
+) -> DataFrame:
     """(query_id, chunk_id, score, rank): the best `k` passages of each query, exactly.
 
     The rarest terms of a query, with about `seed` postings, give partial scores, whose k-th largest no final answer
-    falls below.  Its most frequent terms whose largest possible scores stay below that together cannot lift a passage
-    into the answer alone: only passages with another term are scored, each from the map of its terms.
+    falls below.  Postings of asked terms are dealt by hash of their passage to segments of about `segment` passages;
+    each is a block-max index: a block of passages is looked at only if the largest weights of the query's terms in
+    it could reach the k-th score known so far.  Segments hand on at most `k` rows a query; no pair of query and
+    passage is ever a row.  Terms meet by 64 bits of hash.
     """
     post, asked = asked_postings(passages, queries)
-    stats = post.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
-    n, avg = stats.select("n").scalar(), stats.select(F.when(F.col("avg_dl") > 0, F.col("avg_dl")).otherwise(1.0)).scalar()
+    stats = post.where("term = ''").agg(F.count("*"), F.avg("dl")).first()
+    n, avg = stats[0], stats[1] or 1.0
     post = post.where("term <> ''")
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     known = cut_lineage(asked.join(idf, "term"))
-
-    def weight(idf_: Column, tf: Column, dl: Column) -> Column:
-        return idf_ * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.greatest(dl, F.lit(1)) / avg))
+    norm = k1 * (1 - b + b * F.greatest("dl", F.lit(1)) / avg)
+    weighed = post.withColumn("w", F.col("tf") * (k1 + 1) / (F.col("tf") + norm))
 
     rare = Window.partitionBy("query_id").orderBy("df", "term")
     running = F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, 0))
     seeds = known.select("query_id", "term", "idf", running.alias("c"), F.row_number().over(rare).alias("r")).where((F.col("c") <= seed) | (F.col("r") == 1))
-    partial = post.join(seeds, "term").groupBy("query_id", "chunk_id").agg(F.sum(weight(F.col("idf"), F.col("tf"), F.col("dl"))).alias("score"))
+    partial = weighed.join(seeds, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("idf") * F.col("w")).alias("score"))
     floor = top_k(partial, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    frequent = Window.partitionBy("query_id").orderBy("idf", "term").rowsBetween(Window.unboundedPreceding, 0)
-    most = known.join(floor, "query_id", "left").withColumn("most", F.sum(F.col("idf") * (k1 + 1)).over(frequent))
-    # a hair of slack for the order in which weights are added
-    telling = most.where(F.col("most") * (1 + 1e-9) >= F.coalesce("floor", F.lit(0.0))).select("query_id", "term")
-    met = post.join(telling, "term").select("query_id", "chunk_id").distinct()
-    terms = known.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("terms"))
-    held = post.groupBy("chunk_id", "dl").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("held"))
-    both = met.join(terms, "query_id").join(held, "chunk_id").withColumn("norm", k1 * (1 - b + b * F.greatest("dl", F.lit(1)) / avg))
-
-    def add(acc: Column, t: Column) -> Column:
-        tf = F.coalesce(F.try_element_at("held", t.term), F.lit(0)).cast("double")
-        return acc + t.idf * tf * (k1 + 1) / (tf + F.col("norm"))
-
-    # rounded, so that equal passages tie whatever order their terms were added in
-    return top_k(both.select("query_id", "chunk_id", F.round(F.aggregate("terms", F.lit(0.0), add), 9).alias("score")), k)
+
+    segments = max(1, -(-n // segment))
+    parts = max(1, -(-queries.count() // query_block))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    own = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    left = weighed.select(own("chunk_id", segments).alias("s"), "chunk_id", F.xxhash64("term").alias("t"), "w").withColumn("q", every(parts))
+    packed = known.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "idf"))).alias("terms"))
+    packed = packed.join(floor, "query_id", "left").select(
+        own("query_id", parts).alias("q"), "query_id", F.col("terms.t").alias("t"), F.col("terms.idf").alias("idf"), F.coalesce("floor", F.lit(0.0)).alias("floor")
+    )
+    right = packed.withColumn("s", every(segments))
+
+    def search_segment(posts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if posts.empty or asked.empty:
+            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+        index = _Segment(posts["chunk_id"].to_numpy(), posts["t"].to_numpy(), posts["w"].to_numpy())
+        hits = [index.best(np.asarray(t), np.asarray(i), f, k) for t, i, f in zip(asked["t"], asked["idf"], asked["floor"])]
+        return pd.DataFrame({
+            "query_id": np.repeat(asked["query_id"].to_numpy(), [len(h[0]) for h in hits]),
+            "chunk_id": np.concatenate([h[0] for h in hits]), "score": np.concatenate([h[1] for h in hits]),
+        })
+
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {passages.schema['chunk_id'].dataType.simpleString()}, score double"
+    return top_k(left.groupBy("s", "q").cogroup(right.groupBy("s", "q")).applyInPandas(search_segment, kinds), k)
 
 
 def top_k(scores: DataFrame, k: int = TOP_K) -> DataFrame:
