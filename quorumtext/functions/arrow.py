@@ -198,6 +198,108 @@ TRACE = T.StructType(
 )
 
 
+#: Words of the sequences that mark a place in two readings.
+MARK = 4
+
+
+def _unique_in_both(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places (in a, in b) of the sequences of MARK words that stand once in each, by place in a."""
+    in_a, in_b = ([tuple(x[i : i + MARK]) for i in range(len(x) - MARK + 1)] for x in (a, b))
+    count_a, count_b = Counter(in_a), Counter(in_b)
+    at_b = {w: j for j, w in enumerate(in_b) if count_b[w] == 1}
+    return [(i, at_b[w]) for i, w in enumerate(in_a) if count_a[w] == 1 and w in at_b]
+
+
+def _stretches(n: int, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, length) of the stretches between marked places."""
+    edges = np.concatenate([[-1], np.sort(marks), [n]])
+    return edges[:-1] + 1, edges[1:], np.diff(edges) - 1
+
+
+def safe_cuts(a: list[str], b: list[str], piece: int) -> list[tuple[int, int]]:
+    """Places (i, j) at which both lists can be cut without changing how they align, about `piece` words apart.
+
+    The alignment takes the longest common run, then goes on left and right of it.  A run is therefore taken whenever
+    no run that conflicts with it (crosses it, or uses some of its words elsewhere) is as long.  Runs with a mark, a
+    sequence of words unique in both lists, are all known; a run without one fits between marks in both lists.  A cut
+    lies behind a run that is longer than every run of either kind that could conflict with it.
+    """
+    anchors = _unique_in_both(a, b)
+    if not anchors:
+        return []
+    runs, reach = [], {}
+    for i, j in anchors:
+        if i < reach.get(j - i, 0):
+            continue
+        lo, hi = 0, MARK
+        while i - lo > 0 and j - lo > 0 and a[i - lo - 1] == b[j - lo - 1]:
+            lo += 1
+        while i + hi < len(a) and j + hi < len(b) and a[i + hi] == b[j + hi]:
+            hi += 1
+        runs.append((i - lo, j - lo, lo + hi))
+        reach[j - i] = i + hi - MARK + 1
+    start_a, start_b, size = np.array(sorted(runs)).T
+    end_a, end_b = start_a + size, start_b + size
+    marks = np.array(anchors)
+    from_a, to_a, long_a = _stretches(len(a) - MARK + 1, marks[:, 0])
+    from_b, to_b, long_b = _stretches(len(b) - MARK + 1, marks[:, 1])
+
+    def safe(r: int) -> bool:
+        other = np.arange(len(size)) != r
+        crossing = ((start_a < end_a[r]) & (end_b > start_b[r])) & ((end_a > start_a[r]) | (start_b >= end_b[r]))
+        crossing |= ((end_a > start_a[r]) & (start_b < end_b[r])) & ((end_b > start_b[r]) | (start_a >= end_a[r]))
+        if size[crossing & other].max(initial=0) >= size[r]:
+            return False
+        before_a = long_a[from_a < end_a[r]].max(initial=0)
+        after_a = long_a[to_a + MARK - 1 > start_a[r]].max(initial=0)
+        before_b = long_b[from_b < end_b[r]].max(initial=0)
+        after_b = long_b[to_b + MARK - 1 > start_b[r]].max(initial=0)
+        return size[r] > max(min(before_a, after_b), min(after_a, before_b)) + MARK - 1
+
+    cuts = []
+    for target in range(piece, len(a), piece):
+        near = np.flatnonzero(np.abs(end_a - target) < piece // 2)
+        for r in near[np.argsort(-size[near], kind="stable")][:8]:
+            place = (int(end_a[r]), int(end_b[r]))
+            if place[0] < len(a) and place[1] < len(b) and (not cuts or (place[0] > cuts[-1][0] and place[1] > cuts[-1][1])) and safe(r):
+                cuts.append(place)
+                break
+    return cuts
+
+
+_CUT = T.StructType([T.StructField(f, _INT) for f in ("i", "j")])
+
+
+def page_cuts(piece: int):
+    """Column function: the cuts of (pivot keys, other keys), (0, 0) and the ends included."""
+
+    @F.arrow_udf(T.ArrayType(_CUT))
+    def cuts(pivot: pa.Array, other: pa.Array) -> pa.Array:
+        rows = []
+        for a, b in zip(pivot.to_pylist(), other.to_pylist()):
+            places = [(0, 0), *safe_cuts(a, b, piece), (len(a), len(b))]
+            rows.append([{"i": i, "j": j} for i, j in places])
+        return pa.array(rows, to_arrow_type(T.ArrayType(_CUT)))
+
+    return cuts
+
+
+@F.arrow_udf(T.DoubleType())
+def key_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Sequence ratio of two key lists, as the choice of the pivot uses it."""
+    return pa.array([_Matcher(None, x, y).ratio() for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+
+
+@F.arrow_udf(T.StructType([T.StructField("slots", T.ArrayType(_INT)), T.StructField("gaps", T.ArrayType(_RUN))]))
+def align_piece(pivot: pa.Array, other: pa.Array) -> pa.Array:
+    """Alignment of one piece of a reading to the same piece of the pivot."""
+    rows = []
+    for a, b in zip(pivot.to_pylist(), other.to_pylist()):
+        slots, runs = _pair_up(a, b)
+        rows.append({"slots": slots, "gaps": [{"gap": g, "ord": 0, "lo": lo, "hi": hi} for g, lo, hi in runs]})
+    return pa.array(rows, to_arrow_type(T.StructType([T.StructField("slots", T.ArrayType(_INT)), T.StructField("gaps", T.ArrayType(_RUN))])))
+
+
 @F.arrow_udf(ALIGNED)
 def align_page(keys: pa.Array) -> pa.Array:
     """Alignment of the readings of one page to their pivot; input is array<array<key>> in reader order."""

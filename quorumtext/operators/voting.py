@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumtext.functions import text as X
-from quorumtext.functions.arrow import align_page
+from quorumtext.functions.arrow import align_page, align_piece, key_ratio, page_cuts
 
 WORD_FIELDS = (
     "text", "confidence", "flagged", "likely", "alternatives", "votes", "readers", "by_model",
@@ -93,9 +93,9 @@ def page_frame(readings: DataFrame, max_slots: int = 16) -> DataFrame:
         F.raise_error(F.concat(F.lit("reader slot out of range: "), F.col("slot").cast("string")))
     )
     one = F.struct(guarded.alias("slot"), "reader", "text")
-    pages = readings.groupBy("page_id").agg(F.sort_array(F.collect_list(one)).alias("r"))
+    pages = readings.groupBy("page_id").agg(F.sort_array(F.collect_list(one)).alias("r"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
     return with_tokens(
-        pages.select("page_id", F.transform("r", lambda x: F.struct(x.reader, x.text)).alias("r"))
+        pages.select("page_id", "chars", F.transform("r", lambda x: F.struct(x.reader, x.text)).alias("r"))
     )
 
 
@@ -235,7 +235,7 @@ _NO_GAP = "cast(null as struct<text:string,votes:int,number:boolean>)"
 
 def align_positional(pages: DataFrame) -> DataFrame:
     """Readings of equal length: column = position, the first reading is the pivot."""
-    return pages.selectExpr(
+    return pages.drop("chars").selectExpr(
         "*",
         f"""transform(rd[0].toks, (t, i) -> named_struct(
               'pos', i, 'sub', 1, 'k', 0,
@@ -244,9 +244,62 @@ def align_positional(pages: DataFrame) -> DataFrame:
     )
 
 
-def align_sequences(pages: DataFrame) -> DataFrame:
-    """Sequence alignment to the pivot reading; runs the pivot lacks become gap columns in between."""
-    aligned = pages.withColumn("al", align_page(F.expr("transform(rd, r -> r.keys)")))
+#: Characters of a page beyond which it is aligned in pieces, and words a piece is meant to hold.
+LONG_PAGE, PIECE_WORDS = 60_000, 1_000
+
+
+def page_chars(pages: DataFrame) -> Column:
+    """Size of a page row: as `page_frame` counted it, else from its tokens."""
+    return F.col("chars") if "chars" in pages.columns else F.aggregate("rd", F.lit(0), lambda n, r: n + 2 * F.size(r.toks))
+
+
+def _align_pieces(pages: DataFrame, piece: int) -> DataFrame:
+    """(page_id, al) as `align_page` gives it, for long pages: each pair of readings is compared for the pivot in a task
+    of its own, then every reading is cut, together with the pivot, where both certainly meet, and the pieces are aligned
+    in tasks of their own and put together again."""
+    keys = pages.select("page_id", F.expr("transform(rd, r -> r.keys)").alias("ks"))
+    spread = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = keys.select("page_id", F.posexplode("ks").alias("i", "ki"), "ks")
+    pairs = numbered.select("page_id", "i", "ki", F.posexplode("ks").alias("j", "kj")).where("i <> j").repartition(spread, "page_id", "i", "j")
+    ratio = F.when(F.col("ki") == F.col("kj"), F.lit(1.0)).otherwise(key_ratio("ki", "kj"))
+    scored = pairs.select("page_id", "i", "j", ratio.alias("ratio")).groupBy("page_id", "i")
+    # added in reading order, as one task would
+    total = F.aggregate(F.sort_array(F.collect_list(F.struct("j", "ratio"))), F.lit(0.0), lambda t, x: t + x.ratio)
+    sums = scored.agg(total.alias("total")).groupBy("page_id").agg(F.max_by("i", F.struct("total", -F.col("i"))).alias("pivot"))
+    chosen = keys.join(sums, "page_id", "left").withColumn("pivot", F.coalesce("pivot", F.lit(0)))
+    readings = chosen.select("page_id", "pivot", F.expr("ks[pivot]").alias("kp"), F.posexplode("ks").alias("r", "kr"))
+    cut = readings.where("r <> pivot").withColumn("cuts", page_cuts(piece)("kp", "kr"))
+    ranges = F.expr("transform(sequence(1, size(cuts) - 1), x -> struct(cuts[x - 1].i as i, cuts[x - 1].j as j, cuts[x].i as to_i, cuts[x].j as to_j))")
+    each = cut.withColumn("ranges", ranges).select("page_id", "r", "kp", "kr", F.posexplode("ranges").alias("piece", "c"))
+    each = each.select(
+        "page_id", "r", "piece", F.expr("c.i").alias("i"), F.expr("c.j").alias("j"),
+        F.expr("slice(kp, c.i + 1, c.to_i - c.i)").alias("a"), F.expr("slice(kr, c.j + 1, c.to_j - c.j)").alias("b"),
+    ).repartition(spread, "page_id", "r", "piece")
+    done = each.withColumn("al", align_piece("a", "b")).select(
+        "page_id", "r", "piece", F.expr("transform(al.slots, s -> s + j)").alias("slots"),
+        F.expr("transform(al.gaps, g -> struct(g.gap + i as gap, r as ord, g.lo + j as lo, g.hi + j as hi))").alias("gaps"),
+    )
+    whole = done.groupBy("page_id", "r").agg(F.sort_array(F.collect_list(F.struct("piece", "slots", "gaps"))).alias("p"))
+    whole = whole.select("page_id", "r", F.flatten("p.slots").alias("slots"), F.flatten("p.gaps").alias("gaps"))
+    own = readings.where("r = pivot").select(
+        "page_id", "r", F.expr("transform(kr, (k, i) -> i)").alias("slots"), F.expr("cast(array() as array<struct<gap:int,ord:int,lo:int,hi:int>>)").alias("gaps")
+    )
+    packed = whole.unionByName(own).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("r", "slots", "gaps"))).alias("p"))
+    al = F.struct(F.col("pivot").alias("pivot"), F.col("p.slots").alias("slots"), F.flatten("p.gaps").alias("gaps"))
+    return packed.join(chosen.select("page_id", "pivot"), "page_id").select("page_id", al.alias("al"))
+
+
+def align_sequences(pages: DataFrame, long_page: int = LONG_PAGE, piece: int = PIECE_WORDS) -> DataFrame:
+    """Sequence alignment to the pivot reading; runs the pivot lacks become gap columns in between.
+
+    A page of more than `long_page` characters is aligned in pieces by many tasks, with the same result.
+    """
+    size = page_chars(pages)
+    keys = F.expr("transform(rd, r -> r.keys)")
+    long = pages.where(size > long_page)
+    pieces = _align_pieces(long, piece)
+    aligned = pages.where(size <= long_page).withColumn("al", align_page(keys)).unionByName(long.join(pieces, "page_id"))
+    aligned = aligned.drop("chars")
     ordered = aligned.selectExpr(
         "*",
         "concat(array(al.pivot), filter(sequence(0, size(rd) - 1), i -> i <> al.pivot)) as ords",

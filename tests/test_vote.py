@@ -122,3 +122,52 @@ def test_consensus_runs_end_to_end(spark):
     got = {r.page_id: r for r in pages.collect()}
     assert got["rx"].doc_type == "prescription" and got["n"].doc_type == "note"
     assert got["n"].text == "a plain note"
+
+
+def test_cuts_change_no_alignment():
+    from quorumtext.functions.arrow import _pair_up, safe_cuts
+
+    rng, cut = random.Random(1), 0
+    for _ in range(1500):
+        size, e = rng.choice([6, 20, 60, 200]), rng.choice([0.02, 0.1, 0.2])
+        a = [str(int(size * rng.random() ** 2)) for _ in range(rng.choice([3, 20, 60, 150]))]
+        b = []
+        for w in a:
+            x = rng.random()
+            b += [] if x < e else [str(rng.randrange(size))] if x < 2 * e else [w, str(rng.randrange(size))] if x < 3 * e else [w]
+        if rng.random() < 0.3 and len(b) > 10:  # a passage that moved
+            i, j = sorted(rng.sample(range(len(b)), 2))
+            moved, rest = b[i:j], b[:i] + b[j:]
+            k = rng.randrange(len(rest) + 1)
+            b = rest[:k] + moved + rest[k:]
+        places = [(0, 0), *safe_cuts(a, b, rng.choice([5, 10, 30])), (len(a), len(b))]
+        slots, gaps = [], []
+        for (i, j), (k, m) in zip(places, places[1:]):
+            s, g = _pair_up(a[i:k], b[j:m])
+            slots += [x if x is None else x + j for x in s]
+            gaps += [(p + i, lo + j, hi + j) for p, lo, hi in g]
+        cut += len(places) - 2
+        assert (slots, gaps) == _pair_up(a, b)
+    assert cut > 100
+
+
+def test_long_pages_align_in_many_tasks(spark):
+    rng = random.Random(4)
+    truth = [f"w{int(900 * rng.random() ** 2)}" for _ in range(20_000)]
+    copies = []
+    for k in range(3):
+        copies.append(" ".join(w + "x" if rng.random() < 0.02 else w for w in truth if rng.random() > 0.01))
+    rows = readings(spark, {"long": copies, "short": ["the cat sat", "the cat sat on", "a cat sat"], "one": ["alone here"]})
+    pages = V.page_frame(rows)
+    found = V._align_pieces(pages, 500).collect()
+    want = {r.page_id: r.al for r in pages.select("page_id", V.align_page(F.expr("transform(rd, r -> r.keys)")).alias("al")).collect()}
+    assert {r.page_id: r.al for r in found} == want
+    keys = {r.page_id: r.k for r in pages.select("page_id", F.expr("transform(rd, r -> r.keys)").alias("k")).collect()}["long"]
+    from quorumtext.functions.arrow import safe_cuts
+
+    assert len(safe_cuts(keys[0], keys[1], 500)) > 25
+    both = [
+        sorted((r.page_id, r.words) for r in V.vote_columns(V.align_sequences(pages, long_page=n, piece=500)).select("page_id", F.to_json("words").alias("words")).collect())
+        for n in (0, 10**9)
+    ]
+    assert both[0] == both[1]
