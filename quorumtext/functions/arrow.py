@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from bisect import bisect_left
 from collections import Counter
 from difflib import Match, SequenceMatcher
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +75,54 @@ def seq_ratio_from(cutoff: float):
     return ratio
 
 
+#: Total letters of two words up to which their index keys name both lengths.
+EXACT_TOTAL = 60
+
+
+def least_match(total: int, cutoff: float) -> int:
+    """Letters that two words of `total` letters must have in common, in order, to reach the ratio."""
+    return math.ceil(cutoff * total / 2 - 1e-9)
+
+
+def letter_keys(word: str, cutoff: float, ranks: dict[tuple[str, int], int]) -> set[int]:
+    """Keys of which two words share at least one if their ratio reaches the cutoff.
+
+    The letters of a word, numbered by occurrence, stand in one global order, rare ones first (`ranks`; letters without
+    a rank come before all others).  Two words that match in M letters have the first three of these among their first
+    n - M + 3 letters each, so every three of those, with both lengths, are a key.  For long words the first letter
+    among the first n - M + 1 is enough.
+    """
+    seen: Counter = Counter()
+    letters = []
+    for ch in word:
+        seen[ch] += 1
+        letters.append(ranks.get((ch, seen[ch]), -1 - ord(ch) * 4096 - seen[ch]))
+    letters.sort()
+    n, out = len(letters), set()
+    partners = [m for m in range(math.floor(n * cutoff / 2), math.ceil(n * (2 / cutoff - 1)) + 2) if m and least_match(n + m, cutoff) <= min(n, m)]
+    for m in partners:
+        if n + m > EXACT_TOTAL:
+            continue
+        least = least_match(n + m, cutoff)
+        k = min(3, max(1, least))
+        first = letters[: n - least + k]
+        out |= {hash((n + m, min(n, m), *some)) for some in combinations(first, k)}
+    far = [least_match(n + m, cutoff) for m in partners if n + m > EXACT_TOTAL]
+    if far:
+        out |= {hash((-1, letter)) for letter in letters[: n - min(far) + 1]}
+    return out
+
+
+def ratio_keys(cutoff: float, ranks: dict[tuple[str, int], int]):
+    """Column function of `letter_keys`."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def keys(words: pa.Array) -> pa.Array:
+        return pa.array([sorted(letter_keys(w, cutoff, ranks)) for w in words.to_pylist()], pa.list_(pa.int64()))
+
+    return keys
+
+
 @F.arrow_udf(T.StringType())
 def _nfc(a: pa.Array) -> pa.Array:
     return pa.array([x and unicodedata.normalize("NFC", x) for x in a.to_pylist()], pa.string())

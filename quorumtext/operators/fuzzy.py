@@ -7,15 +7,13 @@ Spark broadcasts a dictionary when its size allows.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quorumtext.functions import rx as R
 from quorumtext.functions import text as X
-from quorumtext.functions.arrow import seq_ratio_from
+from quorumtext.functions.arrow import ratio_keys, seq_ratio_from
 
 SALT = 8  # tasks a frequent letter pair is dealt over
 
@@ -114,70 +112,41 @@ def near_join(left: DataFrame, right: DataFrame, a: str = "a", b: str = "b") ->
 
 # ---------------------------------------------------------------- sequence ratio
 
-def _least_match(total: int, cutoff: float) -> int:
-    return math.ceil(cutoff * total / 2 - 1e-9)
-
+#: Numbered letters whose rank travels to the tasks; beyond these, letters count as rarest.
+RANKED = 5_000
 
-def _sparse_totals(cutoff: float) -> list[int]:
-    """Total lengths at which two words can reach the cutoff without sharing two neighbouring letters.
 
-    M matched letters in B blocks leave T - 2M letters unmatched and B <= T - 2M + 1, so M > B (some block has
-    two letters) whenever 3M > T + 1.
-    """
-    if cutoff <= 2 / 3:
-        raise ValueError("cutoff must be above 2/3 for the letter-pair blocks to be complete")
-    longest = math.ceil(1 / (1.5 * cutoff - 1)) + 2
-    return [t for t in range(2, longest + 1) if 3 * _least_match(t, cutoff) <= t + 1]
+def letter_ranks(words: DataFrame, word: str) -> dict[tuple[str, int], int]:
+    """Rank of each (letter, occurrence) by the number of words that have it, the rarest first; at most RANKED."""
+    letters = words.select(F.filter(F.split(F.col(word), ""), lambda c: c != "").alias("ls"))
+    times = F.transform(F.array_distinct("ls"), lambda c: F.struct(c.alias("c"), F.size(F.filter("ls", lambda o: o == c)).alias("n")))
+    numbered = letters.select(F.explode(times).alias("t")).select(F.col("t.c").alias("c"), F.explode(F.sequence(F.lit(1), F.col("t.n"))).alias("k"))
+    top = numbered.groupBy("c", "k").count().orderBy(F.desc("count"), "c", "k").limit(RANKED).collect()
+    return {(r["c"], r["k"]): len(top) - i for i, r in enumerate(top)}
 
 
-def _blocks(c: Column, cutoff: float) -> Column:
-    n = F.length(c)
-    grams = F.when(
-        n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(c, i, F.lit(2)))
-    ).otherwise(F.array().cast("array<string>"))
-    # occurrences are numbered, so equal blocks count the multiset intersection of the letter pairs
-    pairs = F.transform(
-        grams,
-        lambda g, i: F.concat_ws("|", F.lit("b"), F.size(F.filter(F.slice(grams, F.lit(1), i), lambda o: o == g)).cast("string"), g),
-    )
-    # the sparse totals share no pair of neighbours but still M letters: two words that do must agree on one of
-    # their first n - M + 1 numbered letters in any fixed order
-    plain = F.filter(F.split(c, ""), lambda ch: ch != "")
-    letters = F.sort_array(
-        F.transform(
-            plain, lambda ch, i: F.concat_ws("#", ch, F.size(F.filter(F.slice(plain, F.lit(1), i), lambda o: o == ch)).cast("string"))
-        ),
-        asc=False,
-    )
-    totals = F.filter(
-        F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_least_match(t, cutoff)).alias("m")) for t in _sparse_totals(cutoff)]),
-        lambda x: (x.t > n) & (2 * F.least(n, x.t - n) >= cutoff * x.t - 1e-9) & (x.m <= n),
-    )
-    single = F.flatten(
-        F.transform(
-            totals,
-            lambda x: F.transform(F.slice(letters, F.lit(1), n - x.m + 1), lambda ch: F.concat(x.t.cast("string"), ch)),
-        )
-    )
-    return F.array_distinct(F.concat(pairs, single))
+def candidate_pairs(words: DataFrame, entries: DataFrame, cutoff: float, word: str = "word", entry: str = "entry") -> DataFrame:
+    """Distinct (word, entry) that share a key of the letter index: every pair that reaches the ratio, and few others."""
+    xs = words.select(word).where(F.length(word) > 0).distinct()
+    ys = entries.select(entry).where(F.length(entry) > 0).distinct()
+    keys = ratio_keys(cutoff, letter_ranks(ys, entry))
+    ws = spread(xs, word).select(word, F.explode(keys(F.col(word))).alias("block"))
+    es = spread(ys, entry).select(entry, F.explode(keys(F.col(entry))).alias("block"))
+    # a frequent key can hold a large part of all words: they are dealt over SALT tasks
+    ws = ws.withColumn("salt", F.pmod(F.xxhash64(word), F.lit(SALT)))
+    es = es.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).withColumn("salt", F.col("salt").cast("bigint"))
+    on = ["block", "salt"]
+    total = F.length(word) + F.length(entry)
+    # unmatched letters are at least as many as edits
+    most = (total - 2 * F.ceil(cutoff * total / 2 - 1e-9)).cast("int")
+    met = spread(ws, *on).join(spread(es, *on), on).where(most >= F.abs(F.length(word) - F.length(entry))).select(word, entry, most.alias("most")).distinct()
+    return met.where(F.expr(f"levenshtein(`{word}`, `{entry}`, most) >= 0")).select(word, entry)
 
 
 def fuzzy_pairs(words: DataFrame, entries: DataFrame, cutoff: float, word: str = "word", entry: str = "entry") -> DataFrame:
     """Distinct (word, entry, ratio) with sequence ratio of (entry, word) at or above the cutoff."""
-    w, e = F.col(word), F.col(entry)
-    ws = words.select(word).where(F.length(word) > 0).distinct().select(word, F.explode(_blocks(w, cutoff)).alias("block"))
-    es = entries.select(entry).where(F.length(entry) > 0).distinct().select(entry, F.explode(_blocks(e, cutoff)).alias("block"))
-    total = F.length(w) + F.length(e)
-    fits = 2 * F.least(F.length(w), F.length(e)) >= cutoff * total - 1e-9
-    # M matched letters in B blocks hold M - B >= 3M - T - 1 common letter pairs
-    needed = F.greatest(F.lit(1), 3 * F.ceil(cutoff * total / 2 - 1e-9) - total - 1)
-    # a frequent letter pair can hold a large part of all words: its words are dealt over SALT tasks
-    ws = ws.withColumn("salt", F.pmod(F.xxhash64(word), F.lit(SALT)))
-    es = es.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).withColumn("salt", F.col("salt").cast("bigint"))
-    on = ["block", "salt"]
-    met = spread(ws, *on).join(spread(es, *on), on).where(fits).groupBy(word, entry).agg(F.count("*").alias("common"))
-    likely = met.where(F.col("common") >= needed).select(word, entry)
-    return likely.withColumn("ratio", seq_ratio_from(cutoff)(e, w)).where(F.col("ratio") >= cutoff)
+    likely = candidate_pairs(words, entries, cutoff, word, entry)
+    return likely.withColumn("ratio", seq_ratio_from(cutoff)(F.col(entry), F.col(word))).where(F.col("ratio") >= cutoff)
 
 
 def fuzzy_top(words: DataFrame, entries: DataFrame, cutoff: float, n: int, word: str = "word", entry: str = "entry") -> DataFrame:

@@ -2,7 +2,7 @@
 
 import datetime as dt
 import random
-from difflib import get_close_matches
+from difflib import SequenceMatcher, get_close_matches
 
 from pyspark.sql import functions as F
 
@@ -90,6 +90,23 @@ def test_fuzzy_top_equals_close_matches(spark):
     assert got == {w: m for w in words if (m := get_close_matches(w, vocab, n=3, cutoff=0.7))}
 
 
+def test_ratio_join_equals_brute_force_and_looks_at_few_pairs(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aabbcdefé") for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    words += ["".join(rng.choice("abcd") for _ in range(n)) for n in (25, 31, 33, 40, 70)]
+    words += [w[:5] + w[6:] for w in words[-5:]]
+    entries = ["".join(rng.choice("aabbcdefé") for _ in range(rng.randint(1, 9))) for _ in range(150)] + [w[:-3] + "zz" for w in words[-10:]]
+    a, b = spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(w,) for w in entries], "entry string")
+    for cutoff in (0.6, 0.8):
+        got = {(r.word, r.entry): r.ratio for r in fuzzy.fuzzy_pairs(a, b, cutoff).collect()}
+        ratios = {(w, e): SequenceMatcher(None, e, w).ratio() for w in set(words) for e in set(entries)}
+        assert got == {p: r for p, r in ratios.items() if r >= cutoff}
+    syllables = ["re", "ing", "tion", "th", "ou", "st", "er", "an", "ble", "ly", "ha", "ed", "wh", "sh", "nt", "or"]
+    mixed = [sorted({"".join(rng.choices(syllables, k=rng.randint(2, 5))) for _ in range(300)}) for _ in range(2)]
+    a, b = (spark.createDataFrame([(w,) for w in m], f"{n} string") for m, n in zip(mixed, ("word", "entry")))
+    assert fuzzy.candidate_pairs(a, b, 0.7).count() < 0.05 * len(mixed[0]) * len(mixed[1])
+
+
 def test_hamming_join_equals_brute_force(spark):
     rng = random.Random(8)
     base = [rng.getrandbits(63) for _ in range(60)]
