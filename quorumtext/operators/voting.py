@@ -93,7 +93,10 @@ def page_frame(readings: DataFrame, max_slots: int = 16) -> DataFrame:
         F.raise_error(F.concat(F.lit("reader slot out of range: "), F.col("slot").cast("string")))
     )
     one = F.struct(guarded.alias("slot"), "reader", "text")
-    pages = readings.groupBy("page_id").agg(F.sort_array(F.collect_list(one)).alias("r"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+    # by an explicit number: pages are small next to the work on them, and should not be coalesced to a few tasks
+    spread = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    readings = readings.withColumn("__n", F.length("text")).repartition(spread, "page_id")
+    pages = readings.groupBy("page_id").agg(F.sort_array(F.collect_list(one)).alias("r"), F.coalesce(F.sum("__n"), F.lit(0)).alias("chars"))
     return with_tokens(
         pages.select("page_id", "chars", F.transform("r", lambda x: F.struct(x.reader, x.text)).alias("r"))
     )
@@ -244,8 +247,8 @@ def align_positional(pages: DataFrame) -> DataFrame:
     )
 
 
-#: Characters of a page beyond which it is aligned in pieces, and words a piece is meant to hold.
-LONG_PAGE, PIECE_WORDS = 60_000, 1_000
+#: Characters of all readings of a page beyond which it is aligned in pieces, and words a piece is meant to hold.
+LONG_PAGE, PIECE_WORDS = 400_000, 1_000
 
 
 def page_chars(pages: DataFrame) -> Column:
@@ -292,13 +295,14 @@ def _align_pieces(pages: DataFrame, piece: int) -> DataFrame:
 def align_sequences(pages: DataFrame, long_page: int = LONG_PAGE, piece: int = PIECE_WORDS) -> DataFrame:
     """Sequence alignment to the pivot reading; runs the pivot lacks become gap columns in between.
 
-    A page of more than `long_page` characters is aligned in pieces by many tasks, with the same result.
+    A page of more than `long_page` characters is aligned in pieces by many tasks, with the same result.  Whether there
+    is one is asked first, which reads no more than the lengths of the texts.
     """
     size = page_chars(pages)
-    keys = F.expr("transform(rd, r -> r.keys)")
+    aligned = pages.where(size <= long_page).withColumn("al", align_page(F.expr("transform(rd, r -> r.keys)")))
     long = pages.where(size > long_page)
-    pieces = _align_pieces(long, piece)
-    aligned = pages.where(size <= long_page).withColumn("al", align_page(keys)).unionByName(long.join(pieces, "page_id"))
+    if not long.select("page_id").isEmpty():
+        aligned = aligned.unionByName(long.join(_align_pieces(long, piece), "page_id"))
     aligned = aligned.drop("chars")
     ordered = aligned.selectExpr(
         "*",

@@ -23,7 +23,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """Documents for row-heavy work, spread evenly: raw text moves once, the compact form of all that follows."""
-    return table(spark, sf, "documents").select("doc_id", *columns).repartition("doc_id")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf, "documents").select("doc_id", *columns).repartition(parts, "doc_id")
 
 
 def slip(tok: Column, pos: Column, page: Column, reader: int) -> Column:
