@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quorumtext.llm.arrow import frame, segments
 from quorumtext.llm.common import word_count
-from quorumtext.llm.shingles import Hasher, mix, shingles
+from quorumtext.llm.shingles import ODD, Hasher, mix, shingles
 
 #: Benchmark words a task holds at a time; a larger benchmark is taken in blocks of whole items.
 BLOCK_WORDS = 400_000
@@ -22,13 +22,18 @@ SPAN = 5
 STEP = 50_000
 
 
-def _signs(words: np.ndarray) -> np.ndarray:
-    """Each word's 64 votes, +1 or -1."""
-    return np.unpackbits(mix(words).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
+#: Bits of a fingerprint.
+BITS = 384
+
+
+def _signs(parts: np.ndarray) -> np.ndarray:
+    """Each shingle's BITS votes, +1 or -1."""
+    seeds = np.arange(1, BITS // 64 + 1, dtype=np.uint64) * ODD
+    return np.unpackbits(mix(parts[:, None] + seeds).view(np.uint8).reshape(-1, BITS // 8), axis=1).astype(np.int8) * 2 - 1
 
 
 def _fingerprints(votes: np.ndarray) -> np.ndarray:
-    return np.packbits(votes > 0, axis=1).view(np.uint64).ravel()
+    return votes > 0
 
 
 def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -39,12 +44,13 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class Items:
-    """One block of benchmark items: fingerprints indexed by item length and Hamming block."""
+    """One block of benchmark items: fingerprints indexed by item length and Hamming block.
 
-    def __init__(self, rows: list[tuple[int, str]], radius: int):
+    A fingerprint is cut into `radius` + 1 blocks, so two of them that differ in `radius` bits or fewer agree in one."""
+
+    def __init__(self, rows: list[tuple[int, str]], radius: int, exact: bool = False):
         hasher = Hasher()
-        self.radius, self.blocks = radius, radius + 1
-        self.edges = np.linspace(0, 64, self.blocks + 1).astype(int)
+        self.blocks, self.wide, self.exact = radius + 1, BITS // (radius + 1), exact
         self.ids, self.size, self.parts, prints = [], [], [], []
         for item_id, text in rows:
             w = hasher.words([text])[0]
@@ -52,13 +58,13 @@ class Items:
                 self.ids.append(item_id)
                 self.size.append(len(w))
                 self.parts.append(shingles(w, SPAN))
-                prints.append(_fingerprints(_signs(w).sum(0, keepdims=True))[0])
-        self.prints = np.array(prints, np.uint64)
+                prints.append(_fingerprints(_signs(self.parts[-1]).sum(0, dtype=np.int32)))
+        self.prints = np.array(prints, bool).reshape(-1, BITS)
         #: (length, block, value) -> items
         self.index: dict[tuple[int, int, int], list[int]] = {}
-        for i, (n, f) in enumerate(zip(self.size, self.prints)):
-            for b, v in enumerate(self.cut(np.array([f]))):
-                self.index.setdefault((n, b, int(v[0])), []).append(i)
+        for i, (n, values) in enumerate(zip(self.size, self.cut(self.prints).tolist())):
+            for b, v in enumerate(values):
+                self.index.setdefault((n, b, v), []).append(i)
         #: every shingle of every item, and the lengths of the items that hold it; (length, shingle) -> items
         self.lengths: dict[int, set[int]] = {}
         self.holders: dict[tuple[int, int], list[int]] = {}
@@ -68,8 +74,10 @@ class Items:
                 self.holders.setdefault((n, t), []).append(i)
         self.known = np.array(sorted(self.lengths), np.uint64)
 
-    def cut(self, prints: np.ndarray) -> list[np.ndarray]:
-        return [prints >> np.uint64(a) & np.uint64((1 << (b - a)) - 1) for a, b in zip(self.edges, self.edges[1:])]
+    def cut(self, prints: np.ndarray) -> np.ndarray:
+        """Value of each block of each fingerprint."""
+        used = prints[:, : self.blocks * self.wide].reshape(-1, self.blocks, self.wide)
+        return used @ (1 << np.arange(self.wide))
 
 
 def _found(items: Items, words: np.ndarray, short: int, least: float) -> dict[int, tuple[float, int]]:
@@ -104,8 +112,8 @@ def _windows(items: Items, words: np.ndarray, parts: np.ndarray, least: float, s
     for h in hits.tolist():
         for n in items.lengths[int(parts[h])]:
             of_length.setdefault(n, []).append(h)
-    sums = np.zeros((len(words) + 1, 64), np.int32)
-    np.cumsum(_signs(words), axis=0, out=sums[1:])
+    sums = np.zeros((len(parts) + 1, BITS), np.int32)
+    np.cumsum(_signs(parts), axis=0, out=sums[1:])
     for n, places in of_length.items():
         span = min(SPAN, n)
         size = min(n, len(words))  # a shorter document is one window
@@ -113,23 +121,26 @@ def _windows(items: Items, words: np.ndarray, parts: np.ndarray, least: float, s
         if size < n and (not start or (size - span + 1) / (n - span + 1) < least):
             continue
         starts = np.unique(np.concatenate([np.arange(max(0, h - n + span), min(h, last) + 1) for h in places]))
-        prints = _fingerprints(sums[starts + size] - sums[starts])
-        pairs: set[tuple[int, int]] = set()
-        for b, values in enumerate(items.cut(prints)):
-            for v in np.unique(values).tolist():
-                for i in items.index.get((n, b, v), ()):
-                    pairs.update((i, s) for s in np.flatnonzero(values == v).tolist())
-        near = {(i, s) for i, s in pairs if int(prints[s] ^ items.prints[i]).bit_count() <= items.radius}
-        # A similar window may lie beyond the radius, but not without this many places that hold shingles of the item.
         p, m = size - span + 1, n - span + 1
-        enough = math.ceil(least * (p + m) / (1 + least) - 1e-9)
-        held = np.zeros(len(parts) + 1, np.int64)
-        held[np.array(places) + 1] = 1
-        held = np.cumsum(held)
-        for s in np.flatnonzero(held[starts + p] - held[starts] >= enough).tolist():
-            a = int(starts[s])
-            shared = Counter(i for t in parts[a : a + p].tolist() for i in items.holders.get((n, t), ()))
-            near.update((i, s) for i, k in shared.items() if k >= enough)
+        near: set[tuple[int, int]] = set()
+        # most windows that hold one shingle of an item hold no more: few starts at a time, so memory is bounded
+        for k in range(0, len(starts), 2048):
+            own = starts[k : k + 2048]
+            values = items.cut(_fingerprints(sums[own + p] - sums[own]))
+            for b in range(items.blocks):
+                for v in np.unique(values[:, b]).tolist():
+                    for i in items.index.get((n, b, v), ()):
+                        near.update((i, k + s) for s in np.flatnonzero(values[:, b] == v).tolist())
+        if items.exact:
+            # a similar window has at least this many places that hold shingles of the item
+            enough = math.ceil(least * (p + m) / (1 + least) - 1e-9)
+            held = np.zeros(len(parts) + 1, np.int64)
+            held[np.array(places) + 1] = 1
+            held = np.cumsum(held)
+            for s in np.flatnonzero(held[starts + p] - held[starts] >= enough).tolist():
+                a = int(starts[s])
+                shared = Counter(i for t in parts[a : a + p].tolist() for i in items.holders.get((n, t), ()))
+                near.update((i, s) for i, k in shared.items() if k >= enough)
         for i, s in sorted(near):
             a = int(starts[s])
             score = weighted_similarity(parts[a : a + p], items.parts[i])
@@ -148,15 +159,16 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield [tuple(r) for r in rows]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 15) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 31, exact: bool = False) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): benchmark items found in each row's whole text, with the
     best window of each.
 
     Windows are as long as the item, at every word; a text of fewer words than the item is one window, the whole of it,
-    so an item without some of its words is found where nothing else stands.  A window's SimHash (one vote of each word and bit) is looked up
-    by `radius` + 1 Hamming blocks, which finds every item within `radius` bits; windows beyond it are found by the
-    number of shingles that `least` takes.  All pairs are verified by the similarity of their five-word shingles,
-    weighed by count, which must reach `least`, so none is missed whatever the radius.
+    so an item without some of its words is found where nothing else stands.  A window's SimHash has BITS bits, voted by
+    its five-word shingles as often as they occur; it is looked up by `radius` + 1 Hamming blocks, which finds every item
+    within `radius` bits, and by chance nearly all of those at `least` (see the README for the recall measured).  All
+    pairs are verified by the similarity of their shingles, weighed by count, which must reach `least`.  With `exact`,
+    windows that hold as many shingles of an item as `least` takes are verified too, so none is missed.
 
     Words are lower-cased (A-Z) and split at ASCII white space; an item of fewer than five words is one shingle.
     Null or empty texts and items match nothing.  Repeated rows each give their rows.  The benchmark is brought to the
@@ -169,7 +181,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radi
         shared = docs.sparkSession.sparkContext.broadcast(rows)  # at most about BLOCK_WORDS words
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items, hasher = Items(shared.value, radius), Hasher()
+            items, hasher = Items(shared.value, radius, exact), Hasher()
             short = min((n for n in items.size if n < SPAN), default=SPAN)
             for batch in batches:
                 for part in segments(batch):

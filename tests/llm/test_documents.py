@@ -395,7 +395,7 @@ def test_decontamination_of_texts_shorter_than_the_item(spark, monkeypatch):
     assert len(short) >= 10 and got[1, 1] == (33 / 36, 0)
     # a piece that ends a longer text is no whole text
     hasher = shingles.Hasher()
-    block = decontam.Items([(1, " ".join(items[1]))], 15)
+    block = decontam.Items([(1, " ".join(items[1]))], 31)
     long = hasher.words([" ".join(w(22) + items[1][:35])])[0]
     before = decontam._found(block, long, 5, 0.8)
     assert decontam._found(block, hasher.words([" ".join(items[1][:35])])[0], 5, 0.8) == {0: (31 / 36, 0)}
@@ -410,23 +410,27 @@ def test_html_head_without_end_tag():
     assert html_text.render("<head><title>T</title>\n</head>\n<body>x") == "x"
 
 
-def test_decontamination_beyond_the_radius():
-    """Items whose first or last words are others: similar windows are found however far their fingerprints lie."""
+def test_fingerprints_find_near_copies():
+    """Items whose first or last words are others, down to the least similarity: nearly all are found by their
+    fingerprints, and all of them in exact mode."""
     rng = random.Random(11)
-    hasher, far = shingles.Hasher(), 0
+    hasher, found, exact, far = shingles.Hasher(), 0, 0, 0
     for _ in range(1500):
         n = rng.randint(15, 59)
         text = [f"w{rng.randrange(10**6)}" for _ in range(n)]
         k = (n - 4) // 9
         new = [f"v{rng.randrange(10**6)}" for _ in range(k)]
         copy = text[: n - k] + new if rng.random() < 0.5 else new + text[k:]
-        items = decontam.Items([(1, " ".join(text))], 15)
         w = hasher.words([" ".join(copy)])[0]
+        items = decontam.Items([(1, " ".join(text))], 31)
         score = decontam.weighted_similarity(shingles.shingles(w, 5), items.parts[0])
-        bits = int(decontam._fingerprints(decontam._signs(w).sum(0, keepdims=True))[0] ^ items.prints[0]).bit_count()
-        assert score >= 0.8 and decontam._found(items, w, 5, 0.8) == {0: (score, 0)}
-        far += bits > 15
-    assert far
+        votes = decontam._signs(shingles.shingles(w, 5)).sum(0, dtype="int32")
+        far += int((decontam._fingerprints(votes) ^ items.prints[0]).sum()) > 31
+        got = decontam._found(items, w, 5, 0.8)
+        assert score >= 0.8 and got in ({}, {0: (score, 0)})
+        found += bool(got)
+        exact += decontam._found(decontam.Items([(1, " ".join(text))], 31, exact=True), w, 5, 0.8) == {0: (score, 0)}
+    assert far > 100 and found >= 0.98 * 1500 and exact == 1500
 
 
 def test_pieces_of_long_texts(monkeypatch):
@@ -438,7 +442,7 @@ def test_pieces_of_long_texts(monkeypatch):
     rng = random.Random(4)
     texts = [" ".join("".join(rng.choices("abcé", k=rng.randint(1, 9))) for _ in range(n)) for n in (0, 1, 7, 400)] + [None, "x" * 90, " \n"]
     whole, ends = shingles.Hasher().words(texts)
-    items = decontam.Items([(1, " ".join(texts[3].split()[100:130])), (2, " ".join(texts[3].split()[205:208]))], 15)
+    items = decontam.Items([(1, " ".join(texts[3].split()[100:130])), (2, " ".join(texts[3].split()[205:208]))], 31)
     words = whole[ends[2] : ends[3]]
     found = decontam._found(items, words, 3, 0.8)
     assert found == {0: (1.0, 100), 1: (1.0, 205)}
