@@ -1,14 +1,16 @@
 """Corpus pipeline: each stage is one operator of the llm folder, written as Parquet and read by the next.
 
-Rows without doc_id take part in every stage.  Rows that share a doc_id count as one document.  Null texts have no
-language and go with the first stage.  Extra columns stay to the last stage, which returns the mix.
+Rows without doc_id take part in every stage.  Rows that share a doc_id count as one document where documents are
+counted; among near copies, rows are told apart by id and text, so rows that share an id but not a text are judged each
+by its own text.  Null texts have no language and go with the first stage.  Extra columns stay to the last stage, which
+returns the mix.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumtext.llm import decontam, langid, lines, mixing, ngram_join
@@ -40,15 +42,23 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _name() -> Column:
-    """The id that the join knows a row by: rows without one get a large number from their text."""
-    own = F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 61)
-    return F.coalesce(F.col("doc_id").cast("long"), own)
+def _named(docs: DataFrame) -> DataFrame:
+    """Adds `__id`, the number that the join knows a row's id and text by: the doc_id; a large number from id and text
+    for rows without one, and for all texts of an id but the first by hash."""
+    hashed = docs.withColumn("__h", F.xxhash64("text"))
+    twice = hashed.where("doc_id is not null").groupBy("doc_id").agg(F.min("__h").alias("__lo"), F.max("__h").alias("__hi"))
+    twice = twice.where("__lo <> __hi").select(F.col("doc_id").alias("__doc"), "__lo")
+    own = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 61)
+    first = F.col("__lo").isNull() | (F.col("__h") == F.col("__lo"))
+    joined = hashed.join(small(twice), F.col("doc_id") == F.col("__doc"), "left")
+    return joined.withColumn("__id", F.when(F.col("doc_id").isNotNull() & first, F.col("doc_id").cast("long")).otherwise(own)).drop("__h", "__doc", "__lo")
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that links of similarity 0.8 join, the one with the smallest id stays.  Texts without words stay."""
-    named = docs.withColumn("__id", _name())
+    """Of the documents that links of similarity 0.8 join, the one with the smallest id stays (rows without id, and later
+    texts of an id, rank behind all others).  Of rows with equal id and text the smallest row stays.  Texts without words
+    stay."""
+    named = _named(docs)
     found = written(ngram_join.similar_sets(named.select(F.col("__id").alias("doc_id"), "text")), "pipeline-groups")
     found = found.where("n_shingles > 0").withColumnRenamed("doc_id", "__id")
     gone = small(found.where("__id <> component_id").select("__id").distinct())
@@ -56,7 +66,8 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = named.join(gone, "__id", "left_anti")
     if not twice.isEmpty():
         twice = small(twice)
-        once = kept.join(twice, "__id", "left_semi").dropDuplicates(["__id"])
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        once = kept.join(twice, "__id", "left_semi").groupBy("__id").agg(F.min(row).alias("r")).select("__id", "r.*")
         kept = kept.join(twice, "__id", "left_anti").unionByName(once)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
