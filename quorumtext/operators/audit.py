@@ -218,19 +218,26 @@ def summary(scored: DataFrame) -> DataFrame:
     return out.withColumn("dataset", F.coalesce("dataset", F.lit("Combined")))
 
 
+# Names of the failure categories.
+EMPTY, NEIGHBOUR = "empty output / abstained entirely", "matches a neighbouring row's label (suspected label error)"
+PARTLY, NUMBER = "partly unreadable ([?] kept)", "number wrong or missing"
+EXTRA, MISSING = "extra words added", "word missing"
+NEAR_MISS, FAR_MISS = "near miss (<=25% characters wrong)", "far miss (>25% characters wrong)"
+
+
 def category() -> Column:
     """One failure category per wrong prediction, first matching rule wins."""
     pred, label = F.coalesce("pred", F.lit("")), F.col("label")
     n = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda t: t != ""))
     return (
-        F.when(F.col("empty"), "empty output / abstained entirely")
-        .when(F.col("neighbour_label"), "matches a neighbouring row's label (suspected label error)")
-        .when(pred.contains("[?]"), "partly unreadable ([?] kept)")
-        .when(F.col("has_digit") & ~F.col("digits_ok"), "number wrong or missing")
-        .when(n(pred) > n(label), "extra words added")
-        .when(n(pred) < n(label), "word missing")
-        .when(F.col("char_edits") / F.col("ref_chars") <= 0.25, "near miss (<=25% characters wrong)")
-        .otherwise("far miss (>25% characters wrong)")
+        F.when(F.col("empty"), EMPTY)
+        .when(F.col("neighbour_label"), NEIGHBOUR)
+        .when(pred.contains("[?]"), PARTLY)
+        .when(F.col("has_digit") & ~F.col("digits_ok"), NUMBER)
+        .when(n(pred) > n(label), EXTRA)
+        .when(n(pred) < n(label), MISSING)
+        .when(F.col("char_edits") / F.col("ref_chars") <= 0.25, NEAR_MISS)
+        .otherwise(FAR_MISS)
     )
 
 
