@@ -439,3 +439,52 @@ def align_wild(hyp: pa.Array, ref: pa.Array) -> pa.Array:
         edits, wrong, wild = edit_trace(h or [], r or [])
         rows.append({"edits": edits, "wrong": wrong, "wild": wild})
     return pa.array(rows, to_arrow_type(TRACE))
+
+
+def bit_distance(a: str, b: str) -> int:
+    """Edit distance of two long texts, bit-parallel: a column of the table is two integers with a bit for each letter of
+    `a` (the cell below is one more, or one less), so a step for each letter of `b` costs len(a) / 64 machine words.
+    What both texts share at either end is left out."""
+    lead = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        lead += 1
+    tail = 0
+    for x, y in zip(reversed(a[lead:]), reversed(b[lead:])):
+        if x != y:
+            break
+        tail += 1
+    a, b = a[lead : len(a) - tail], b[lead : len(b) - tail]
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    places: dict[str, list[int]] = {}
+    for i, ch in enumerate(a):
+        places.setdefault(ch, []).append(i)
+    masks = {}
+    for ch, at in places.items():
+        if ch in b:
+            bits = np.zeros(len(a), np.uint8)
+            bits[at] = 1
+            masks[ch] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    more, less, distance = every, 0, len(a)
+    for ch in b:
+        same = masks.get(ch, 0)
+        diagonal = (((same & more) + more) ^ more) | same | less
+        up = less | (every & ~(diagonal | more))
+        down = more & diagonal
+        distance += bool(up & last) - bool(down & last)
+        up = up << 1 | 1
+        down <<= 1
+        more = (down | ~(diagonal | up)) & every
+        less = up & diagonal & every
+    return distance
+
+
+@F.arrow_udf(T.IntegerType())
+def text_distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    pairs = zip(a.to_pylist(), b.to_pylist())
+    return pa.array([None if x is None or y is None else bit_distance(x, y) for x, y in pairs], pa.int32())

@@ -167,3 +167,24 @@ def test_vote_deadline_stream(spark, tmp_path):
     assert out["all"].voters == "0,1" and not out["all"].by_deadline
     assert out["late"].voters == "0,1" and out["late"].timed_out == "2" and out["late"].by_deadline
     assert out["alone"].voters == "0,1" and out["alone"].timed_out == "2"
+
+
+def test_bit_distance():
+    from quorumtext.functions.arrow import bit_distance
+
+    rng = random.Random(12)
+
+    def slow(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    for n in (0, 1, 2, 5, 63, 64, 65, 130):
+        for _ in range(15):
+            a = "".join(rng.choices("abcé ", k=n))
+            b = "".join(c for c in a if rng.random() > 0.1) + "".join(rng.choices("abd", k=rng.randint(0, 6)))
+            b = b[rng.randint(0, 2) :]
+            assert bit_distance(a, b) == bit_distance(b, a) == slow(a, b)
