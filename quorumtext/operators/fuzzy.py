@@ -39,15 +39,22 @@ def resolve(names: DataFrame, aliases: DataFrame, drugs: DataFrame, name: str =
     return out.withColumn("canonical", F.when(F.col("known"), F.col("canonical"))).drop("target", "known")
 
 
-def expand_groups(groups: DataFrame) -> DataFrame:
-    """(group_id, name) -> (name, alike): every other name of the groups a name is in.
+def group_mates(groups: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Distinct (name, other): every other name of the groups a name is in, for the given `names` only if there are any.
 
-    The names of a group are packed once and unpacked per member: groups are short hand-made lists.
+    Membership stays one row a name and group.  Names that are asked for meet the members of their groups, which are
+    dealt over SALT tasks, so no row or task holds a whole group; what comes out grows with the names asked for.
     """
-    packed = groups.groupBy("group_id").agg(F.collect_set("name").alias("names"))
-    member = packed.select(F.explode("names").alias("name"), "names")
-    others = member.select("name", F.explode(F.filter("names", lambda n: n != F.col("name"))).alias("other"))
-    return others.groupBy("name").agg(F.sort_array(F.collect_set("other")).alias("alike"))
+    member = groups.select("group_id", "name").where("group_id is not null and name is not null").distinct()
+    asked = member if names is None else member.join(names.select("name").distinct(), "name", "left_semi")
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    others = member.select("group_id", F.col("name").alias("other"), F.pmod(F.hash("name"), F.lit(SALT)).alias("salt"))
+    return asked.join(others, ["group_id", "salt"]).where("name <> other").select("name", "other").distinct()
+
+
+def expand_groups(groups: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(name, alike): the mates of each name in one sorted array, of the given `names` only if there are any."""
+    return group_mates(groups, names).groupBy("name").agg(F.sort_array(F.collect_set("other")).alias("alike"))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -12,6 +12,7 @@ from quorumtext.plans import inputs as I
 from quorumtext.plans import oracle as O
 from quorumtext.plans.catalog import query
 from quorumtext.plans.text_queries import RX_SQL, PER_DAY_SQL, pick, rx_cells
+from quorumtext.session import cut_lineage
 
 # A small made-up formulary; real ones come from the user.
 DRUGS = [("alfazine", "mg", [20.0, 40.0], 80.0), ("betadine-x", "mcg", [25.0, 50.0], 300.0), ("gammaprol", "mg", [20.0], None)]
@@ -122,15 +123,18 @@ def spelling_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "lookalike_flags",
-    f"""WITH {O.VOTED}, {O.LEX}, g AS (SELECT key AS name, left(key, 3) AS gid FROM lex WHERE regexp_matches(key, '^[a-z]+$')),
+    f"""WITH {O.VOTED}, {O.LEX}, g AS (SELECT key AS name, array_to_string(list_sort(list_distinct(string_split(key, ''))), '') AS gid FROM lex WHERE regexp_matches(key, '^[a-z]+$')),
     al AS (SELECT a.name, string_agg(DISTINCT b.name, ',' ORDER BY b.name) AS alike FROM g a JOIN g b ON a.gid = b.gid AND a.name <> b.name WHERE length(a.name) >= 4 GROUP BY a.name)
     SELECT v.page_id, v.idx, v.text, al.alike FROM voted v JOIN al ON al.name = trim(regexp_replace(lower(v.text), '[^a-z-]', '', 'g'), '-') WHERE v.text <> chr(10) AND idx % 13 <> 1""",
 )
 def lookalike_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Names made of the same letters are a group; only names that stand on a page are looked up."""
     lex = fuzzy.lexicon(I.lexicon_words(spark, sf)).where(F.col("key").rlike("^[a-z]+$"))
-    groups = lex.select(F.substring("key", 1, 3).alias("group_id"), F.col("key").alias("name"))
-    alike = fuzzy.expand_groups(groups).where(F.length("name") >= 4)
+    letters = F.array_join(F.sort_array(F.array_distinct(F.filter(F.split("key", ""), lambda c: c != ""))), "")
+    groups = lex.select(letters.alias("group_id"), F.col("key").alias("name"))
     words = I.voted(spark, sf).withColumn("resolved_by", F.when(F.col("idx") % 13 == 1, "human"))
+    words = cut_lineage(words)
+    alike = fuzzy.expand_groups(groups, safety.page_names(words)).where(F.length("name") >= 4)
     out = safety.lasa_flags(words, alike).where("lookalikes is not null")
     return out.select("page_id", "idx", "text", F.array_join("lookalikes", ",").alias("alike"))
 
