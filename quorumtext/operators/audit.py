@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from quorumtext.functions import text as X
 from quorumtext.functions.arrow import bench_norm
+from quorumtext.operators.selection import medians
 
 # ---------------------------------------------------------------- near copies
 
@@ -49,18 +50,31 @@ def exclude_copies(test: DataFrame, train: DataFrame, distance: int = 2, bits: i
 # ---------------------------------------------------------------- inventory
 
 def split_inventory(files: DataFrame) -> DataFrame:
-    """One pass over (split, label, content, width, height): counts per split."""
+    """Counts per split of (split, label, content), and of images (width, height) where the table has those columns: an
+    image that is there but has no size could not be read."""
     label = F.col("label")
-    return files.groupBy("split").agg(
+    sized = {"width", "height"} <= set(files.columns)
+    broken = [F.count_if(F.col("content").isNotNull() & (F.col("width").isNull() | F.col("height").isNull())).alias("unreadable")] if sized else []
+    counts = files.groupBy("split").agg(
         F.count("*").alias("rows"),
         F.count_if(F.col("content").isNull()).alias("missing"),
         F.count_if(F.coalesce(X.strip(label), F.lit("")) == "").alias("empty_label"),
         F.countDistinct("label").alias("unique_labels"),
-        F.median(F.length("label")).alias("median_label"),
         F.max(F.length("label")).alias("longest_label"),
         F.count_if(X.has_digit(label)).alias("with_digit"),
         F.count_if(label.contains(" ")).alias("with_space"),
+        *broken,
     )
+    middle = {"median_label": F.length("label")}
+    if sized:
+        middle |= {"median_width": F.col("width"), "median_height": F.col("height")}
+    return _with_medians(counts, files, "split", middle)
+
+
+def _with_medians(counts: DataFrame, rows: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
+    """Both per key; a row a key, so this join is small whatever the input."""
+    middle = medians(rows, key, values).withColumnRenamed(key, "__key")
+    return counts.join(middle, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
 
 
 def exact_duplicates(files: DataFrame) -> DataFrame:
@@ -213,9 +227,10 @@ def summary(scored: DataFrame) -> DataFrame:
         F.count_if("has_digit").alias("digit_samples"),
         F.count_if(F.col("has_digit") & ~F.col("digits_ok")).alias("digit_errors"),
         F.avg("readers").alias("avg_readers"),
-        F.median("seconds").alias("median_seconds"),
     )
-    return out.withColumn("dataset", F.coalesce("dataset", F.lit("Combined")))
+    out = out.withColumn("dataset", F.coalesce("dataset", F.lit("Combined")))
+    names = F.explode(F.array_distinct(F.array(F.coalesce("dataset", F.lit("Combined")), F.lit("Combined"))))
+    return _with_medians(out, scored.select(names.alias("dataset"), "seconds"), "dataset", {"median_seconds": F.col("seconds")})
 
 
 # Names of the failure categories.
@@ -276,14 +291,14 @@ def faithfulness(rows: DataFrame, recomputed: DataFrame) -> DataFrame:
 
 def reader_health(log: DataFrame) -> DataFrame:
     """(reader, status, ms): answered, failed, timeout rate, latency per reader."""
-    return log.groupBy("reader").agg(
+    counts = log.groupBy("reader").agg(
         F.count("*").alias("calls"),
         F.count_if(F.col("status") == "done").alias("answered"),
         F.count_if(F.col("status") == "failed").alias("failed"),
         F.avg((F.col("status") == "timeout").cast("int")).alias("timeout_rate"),
-        F.median(F.when(F.col("status") == "done", F.col("ms"))).alias("median_ms"),
         F.max("ms").alias("max_ms"),
     )
+    return _with_medians(counts, log, "reader", {"median_ms": F.when(F.col("status") == "done", F.col("ms"))})
 
 
 def reader_coverage(readings: DataFrame, samples: Column, share: float = 0.6) -> DataFrame:

@@ -23,10 +23,14 @@ HASHES = f"h AS (SELECT vec_id, label, {hash_sql(64)} AS h FROM embeddings)"
 
 @query(
     "hamming_join",
-    f"WITH {HASHES}, u AS (SELECT DISTINCT h FROM h) SELECT a.h AS ha, b.h AS hb, bit_count(xor(a.h, b.h)) AS d FROM u a JOIN u b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= 10",
+    f"""WITH {HASHES}, c AS (SELECT h FROM h UNION ALL SELECT xor(xor(h, (1::BIGINT << (vec_id % 61)::INT)), (1::BIGINT << (vec_id % 7)::INT)) FROM h), u AS (SELECT DISTINCT h FROM c)
+    SELECT a.h AS ha, b.h AS hb, bit_count(xor(a.h, b.h)) AS d FROM u a JOIN u b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= 10""",
 )
 def hamming_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector's hash and a copy of it with one or two other bits."""
     h = vec_hash(spark, sf)
+    flip = lambda n: F.expr(f"shiftleft(1L, cast(vec_id % {n} as int))")
+    h = h.select("h").unionByName(h.select(F.col("h").bitwiseXOR(flip(61)).bitwiseXOR(flip(7)).alias("h")))
     return A.hamming_join(h.select(F.col("h").alias("ha")), h.select(F.col("h").alias("hb")), 10).where("ha < hb")
 
 
@@ -159,10 +163,11 @@ def neighbour_labels(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {O.CELLS} SELECT 'r' || k AS reader, count(*) AS words, count(*) FILTER (WHERE key = {O.key('tok')}) AS right, round(avg((key = {O.key('tok')})::INT), 6) AS accuracy FROM cells WHERE tok <> chr(10) GROUP BY k""",
 )
 def truth_join(spark: SparkSession, sf: str) -> DataFrame:
-    f = I.keyed_frame(spark, sf)
-    cells = f.select("page_id", F.explode_outer("rd").alias("r")).select("page_id", "r.reader", F.posexplode_outer("r.keys").alias("pos", "key"))
-    truth = f.select("page_id", F.posexplode_outer(F.transform("truth", X.key)).alias("pos", "want"))
-    both = cells.join(truth, ["page_id", "pos"]).where(F.col("want") != X.NEWLINE)
+    """Cells and true words of a page stand in one row and are paired there."""
+    f = I.keyed_frame(spark, sf).withColumn("want", F.transform("truth", X.key))
+    readers = f.select("want", F.explode_outer("rd").alias("r"))
+    pairs = readers.select(F.col("r.reader").alias("reader"), F.explode_outer(F.arrays_zip(F.col("r.keys").alias("key"), F.col("want"))).alias("z"))
+    both = pairs.select("reader", "z.key", "z.want").where(F.col("want") != X.NEWLINE)
     return A.reader_accuracy(both.select("reader", (F.col("key") == F.col("want")).alias("right"))).withColumn("accuracy", F.round("accuracy", 6))
 
 
@@ -178,13 +183,19 @@ def faithfulness(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "inventory",
-    """WITH f AS (SELECT source AS split, lang AS label, text AS content FROM documents), d AS (SELECT split, sum(n - 1)::BIGINT AS duplicates FROM (SELECT split, sha256(content) AS h, count(*) AS n FROM f GROUP BY ALL) GROUP BY split)
+    """WITH f AS (SELECT source AS split, lang AS label, text AS content, CASE WHEN doc_id % 9 <> 4 THEN n_chars % 640 END AS width, CASE WHEN doc_id % 9 <> 4 THEN n_chars % 480 END AS height FROM documents), d AS (SELECT split, sum(n - 1)::BIGINT AS duplicates FROM (SELECT split, sha256(content) AS h, count(*) AS n FROM f GROUP BY ALL) GROUP BY split)
     SELECT split, count(*) AS rows, count(*) FILTER (WHERE content IS NULL) AS missing, count(*) FILTER (WHERE trim(content) = '') AS empty_label, count(DISTINCT content) AS unique_labels, median(length(content)) AS median_label,
-      max(length(content)) AS longest_label, count(*) FILTER (WHERE regexp_matches(content, '[0-9]')) AS with_digit, count(*) FILTER (WHERE contains(content, ' ')) AS with_space, any_value(duplicates) AS duplicates
+      max(length(content)) AS longest_label, count(*) FILTER (WHERE regexp_matches(content, '[0-9]')) AS with_digit, count(*) FILTER (WHERE contains(content, ' ')) AS with_space, any_value(duplicates) AS duplicates,
+      count(*) FILTER (WHERE content IS NOT NULL AND width IS NULL) AS unreadable, median(width) AS median_width, median(height) AS median_height
     FROM f JOIN d USING (split) GROUP BY split""",
 )
 def inventory(spark: SparkSession, sf: str) -> DataFrame:
-    files = I.table(spark, sf, "documents").select(F.col("source").alias("split"), F.col("text").alias("label"), F.col("text").alias("content"))
+    """Documents as image files; the number of characters stands for the size, and some could not be read."""
+    seen = F.col("doc_id") % 9 != 4
+    files = I.table(spark, sf, "documents").select(
+        F.col("source").alias("split"), F.col("text").alias("label"), F.col("text").alias("content"),
+        F.when(seen, F.col("n_chars") % 640).alias("width"), F.when(seen, F.col("n_chars") % 480).alias("height"),
+    )
     return A.split_inventory(files).join(A.exact_duplicates(files), "split")
 
 

@@ -188,3 +188,18 @@ def test_bit_distance():
             b = "".join(c for c in a if rng.random() > 0.1) + "".join(rng.choices("abd", k=rng.randint(0, 6)))
             b = b[rng.randint(0, 2) :]
             assert bit_distance(a, b) == bit_distance(b, a) == slow(a, b)
+
+
+def test_medians(spark):
+    from statistics import median
+
+    from quorumtext.operators.selection import medians
+
+    rng, rows = random.Random(2), []
+    for key, n in (("hot", 900), ("even", 8), ("one", 1), (None, 5), ("none", 0)):
+        rows += [(key, rng.choice([1.5, 2.0, rng.random() * 9]), rng.randrange(5)) for _ in range(n)] + [(key, None, None), (key, float("nan"), None)]
+    df = spark.createDataFrame(rows, "key string, x double, y int")
+    got = {r.key: (r.x, r.y) for r in medians(df, "key", {"x": F.col("x"), "y": F.col("y")}).collect()}
+    real = lambda k, i: [r[i] for r in rows if r[0] == k and r[i] is not None and r[i] == r[i]]
+    assert got == {k: (pytest.approx(median(real(k, 1))), median(real(k, 2))) for k in ("hot", "even", "one", None)}
+    assert not medians(df.limit(0), "key", {"x": F.col("x")}).collect()
