@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from difflib import SequenceMatcher, get_close_matches
 
+import pytest
 from pyspark.sql import functions as F
 
 from quorumtext.functions import arrow
