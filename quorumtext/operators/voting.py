@@ -82,17 +82,25 @@ def dedupe_claims(readings: DataFrame) -> DataFrame:
     return readings.join(first, ["page_id", "reader", "slot"], "left_semi")
 
 
+def in_list(max_slots: int = 16) -> Column:
+    """Is the slot one of the reader list?"""
+    return F.coalesce(F.col("slot").between(0, max_slots - 1), F.lit(False))
+
+
+def stray_slots(readings: DataFrame, max_slots: int = 16) -> DataFrame:
+    """(page_id, slot, reader, problem): rows whose slot no reader has."""
+    note = F.concat(F.lit("reader slot out of range: "), F.coalesce(F.col("slot").cast("string"), F.lit("none")))
+    return readings.where(~in_list(max_slots)).select("page_id", "slot", "reader", note.alias("problem"))
+
+
 def page_frame(readings: DataFrame, max_slots: int = 16) -> DataFrame:
-    """page_id, rd: array<struct<ord, reader, toks, keys>> in slot order.
+    """page_id, rd: array<struct<ord, reader, toks, keys>> in slot order; and `chars`, the size of the texts.
 
-    (page_id, slot) must be unique (see `latest_per_slot`).  A slot outside the reader list stops the job
-    rather than growing a group without bound.
+    (page_id, slot) must be unique (see `latest_per_slot`).  A slot outside the reader list takes no part, so no group
+    grows without bound; `stray_slots` lists such rows.
     """
-    ok = F.col("slot").between(0, max_slots - 1)
-    guarded = F.when(ok, F.col("slot")).otherwise(
-        F.raise_error(F.concat(F.lit("reader slot out of range: "), F.col("slot").cast("string")))
-    )
-    one = F.struct(guarded.alias("slot"), "reader", "text")
+    readings = readings.where(in_list(max_slots))
+    one = F.struct("slot", "reader", "text")
     # by an explicit number: pages are small next to the work on them, and should not be coalesced to a few tasks
     spread = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     readings = readings.withColumn("__n", F.length("text")).repartition(spread, "page_id")
@@ -409,52 +417,6 @@ def vote_columns(pages: DataFrame, drop_minority: bool = True) -> DataFrame:
     return words
 
 
-def vote_rows(pages: DataFrame, drop_minority: bool = True) -> DataFrame:
-    """One row per voted column of `cols`, with the fields of `vote_columns`: page_id, idx, text, alternatives, votes,
-    readers, by_model, top, number.
-
-    Only the test which columns stay runs inside the page row.  The rest is plain expressions on rows, where a column on
-    which all readers agree never reaches the tally.  No exchange is needed.
-    """
-    nl = "(c.sub = 1 and c.cells[0].tok = '\n')"
-    one = "(c.gap is null and c.cells[0].key <> '[?]' and forall(c.cells, x -> x.tok <=> c.cells[0].tok))"
-    keep = f"""coalesce({nl}, false) or c.gap is not null or coalesce({one}, false)
-        or size(filter(c.cells, x -> x.tok is not null and x.tok <> '\n')) * 2 >= size(rd)"""
-    kept = f"filter(cols, c -> {keep})" if drop_minority else "cols"
-    # the outer form: a plain explode would infer a filter on the array and compute it twice
-    rows = pages.select("page_id", F.expr("rd.reader").alias("who"), F.posexplode_outer(F.expr(kept)).alias("idx", "c")).where("idx is not null")
-    rows = rows.selectExpr("page_id", "idx", "who", "c.cells as cells", "c.gap as gap", f"coalesce({nl}, false) as nl", f"coalesce({one}, false) as one")
-    rows = rows.selectExpr(
-        "*", """case when nl or one then null
-          else filter(cells, x -> x.tok is not null and x.tok <> '\n' and x.key <> '[?]') end as real""",
-    )
-    rows = rows.selectExpr(
-        "* except (real)",
-        f"case when one then cells[0].tok rlike r'{X.DIGIT}' else exists(real, x -> x.tok rlike r'{X.DIGIT}') end as own_number",
-        f"case when one or gap is not null then {_surface('array(coalesce(gap.text, cells[0].tok))')} end as plain",
-        f"""case when real is not null then transform(array_distinct(real.key), (q, i) -> named_struct(
-              'votes', size(filter(real, x -> x.key = q)), 'first', -i, 'key', q, 'same', filter(real, x -> x.key = q).tok)) end as tally""",
-    )
-    rows = rows.withColumn("tally", F.expr(
-        f"""transform(tally, t -> named_struct('votes', t.votes, 'first', t.first, 'key', t.key, 'same', t.same,
-              'surface', {_surface('t.same')}))"""
-    )).withColumn("best", F.expr("array_max(tally)"))
-    return rows.selectExpr(
-        "page_id", "idx",
-        "case when nl then '\n' when plain is not null then plain when best is null then '[?]' else best.surface end as text",
-        """case when nl then null when plain is not null or best is null then cast(array() as array<string>)
-             else array_sort(array_distinct(flatten(transform(filter(tally, t -> t.key <> best.key), t -> t.same)))) end as alternatives""",
-        """case when nl then null when plain is not null then array(named_struct('text', plain, 'votes', coalesce(gap.votes, size(cells))))
-             else transform(tally, t -> named_struct('text', t.surface, 'votes', t.votes)) end as votes""",
-        "case when not nl then size(who) end as readers",
-        """case when nl then null when one then transform(who, r -> named_struct('reader', r, 'text', cells[0].tok))
-             else transform(who, (r, i) -> named_struct('reader', r,
-               'text', get(filter(cells, x -> x.ord = i and x.tok <> '\n').tok, 0))) end as by_model""",
-        "case when not nl then coalesce(gap.votes, best.votes, if(one, size(cells), 0)) end as top",
-        "case when not nl then coalesce(gap.number, own_number) end as number",
-    )
-
-
 def explode_words(pages: DataFrame, rule: str = "two_thirds", digits_strict: bool = True) -> DataFrame:
     """One row per word with a dense `idx`, confidence and flag under the given rule."""
     # the outer form: a plain explode would infer a `size(words) > 0` filter and compute the whole vote twice

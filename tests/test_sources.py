@@ -1,6 +1,7 @@
 """Scanners, streams and the faults of the first round, on small files and rows."""
 
 import datetime as dt
+import hashlib
 import json
 
 import pytest
@@ -119,6 +120,26 @@ def test_page_type_column_and_repeated_slots(spark):
     assert {r.page_id: r.doc_type for r in pages.collect()} == {1: "note", 2: "prescription"}
 
 
+def test_replay_steps(spark):
+    with pytest.raises(ValueError):
+        pipeline.parse_config("vote+kbb")
+    with pytest.raises(ValueError):
+        pipeline.parse_config("votes")
+    texts = ["take alpha now", "take alphq now", "take alxha now"]
+    rows = [(1, k, f"r{k}", t, None, "") for k, t in enumerate(texts)]
+    lexicon, shipped, dictionary = (spark.createDataFrame(x, s) for x, s in (
+        ([("alphas", 1)], "word string, ord int"), ([("alpha", 1)], "word string, ord int"), ([("zzzz", "zzzz")], "key string, word string")))
+    picks = spark.createDataFrame([(1, 1, "alphas")], "page_id int, idx int, pick string")
+    names = ["vote", "vote+dict", "vote+dict+appkb", "vote+context+kb", "vote+context+kbstrict"]
+    got = {r.config: r for r in pipeline.replay(spark.createDataFrame(rows, READINGS), names, lexicon=lexicon, dictionary=dictionary, picks=picks, shipped=shipped).collect()}
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    plain = digest("take alpha now")
+    assert {c: (r.words, r.flagged, r.digest) for c, r in got.items()} == {
+        "vote": (3, 1, plain), "vote+dict": (3, 1, plain), "vote+dict+appkb": (3, 0, plain),
+        "vote+context+kb": (3, 0, digest("take alphas now")), "vote+context+kbstrict": (3, 1, digest("take alphas now")),
+    }
+
+
 def test_replay_votes_prescriptions_by_their_own_rule(spark):
     text = "Tab alfa 10 mg 1-0-1 x 5 days "
     rows = [(1, k, f"r{k}", text + ("often" if k else "after"), None, "") for k in range(3)] + [(2, k, f"r{k}", "plain " + ("often" if k else "after"), None, "") for k in range(3)]
@@ -134,18 +155,18 @@ def test_lookalike_table(spark):
     assert got == {"cozaar": ["zocor"], "zocor": ["cozaar"], "losartan": ["losartin"], "losartin": ["losartan"]}
 
 
-def test_row_vote_equals_page_vote(spark):
-    rows = [(1, 0, "a", "the cat\nsat [?] on 5 mats", None, ""), (1, 1, "b", "the cot\nsat there on 6 mats", None, ""), (1, 2, "c", "the cat\nsat their on 5 [mats]", None, "")]
-    pages = V.align_positional(V.page_frame(spark.createDataFrame(rows, READINGS)))
-    key = lambda df: sorted(map(str, df.collect()))
-    assert key(V.finish_words(V.vote_rows(pages))) == key(V.explode_words(V.vote_columns(pages)))
-    pages = V.align_sequences(V.page_frame(spark.createDataFrame([*rows, (1, 3, "d", "the big cat\nsat on 5", None, "")], READINGS)))
-    assert key(V.finish_words(V.vote_rows(pages))) == key(V.explode_words(V.vote_columns(pages)))
+def test_stray_slots_are_listed_and_do_not_vote(spark):
+    rows = [(1, k, f"r{k}", "the cat sat", None, "") for k in range(3)] + [(1, 99, "far", "a dog ran", None, ""), (1, None, "none", "a dog ran", None, ""), (1, -1, "less", "x", None, "")]
+    df = spark.createDataFrame(rows, READINGS)
+    good, out = pipeline.admitted(df)
+    assert {r.reader for r in good.collect()} == {"r0", "r1", "r2"}
+    assert {(r.reader, r.problem) for r in out.collect()} == {(n, f"reader slot out of range: {s}") for n, s in (("far", "99"), ("none", "none"), ("less", "-1"))}
+    assert [r.text for r in V.explode_words(V.vote_columns(V.align_sequences(V.page_frame(df)))).orderBy("idx").collect()] == ["the", "cat", "sat"]
 
 
 def test_json_and_markdown_exports(spark):
     rows = [(1, k, f"r{k}", "Tab alfa 10 mg" if k else "Tab alta 70 mg", None, "") for k in range(3)]
-    words = V.finish_words(V.vote_rows(V.align_positional(V.page_frame(spark.createDataFrame(rows, READINGS)))))
+    words = V.explode_words(V.vote_columns(V.align_positional(V.page_frame(spark.createDataFrame(rows, READINGS)))))
     pages = spark.createDataFrame([(1, "scan.png", START, "prescription", 3, 1, "raw")], "page_id int, name string, digitized_at timestamp, doc_type string, models int, failed int, baseline string")
     readings = spark.createDataFrame([(1, f"r{k}", None) for k in range(3)] + [(1, "r9", "down"), (1, "baseline", "x")], "page_id int, reader string, error string")
     drugs = spark.createDataFrame([(1, 0, "alfa", "10 mg", "Tab", "OD", None, ["too much"], True)], "page_id int, row int, drug string, strength string, form string, frequency string, duration string, warnings array<string>, flagged boolean")
