@@ -19,7 +19,7 @@ from quorumtext.llm.shingles import ODD, Hasher, mix, shingles
 BLOCK_WORDS = 400_000
 SPAN = 5
 #: Windows start in so many words at a time; a longer text is taken in pieces that share an item's length.
-STEP = 50_000
+STEP = 5_000
 
 
 #: Bits of a fingerprint.
@@ -113,7 +113,7 @@ def _windows(items: Items, words: np.ndarray, parts: np.ndarray, least: float, s
         for n in items.lengths[int(parts[h])]:
             of_length.setdefault(n, []).append(h)
     sums = np.zeros((len(parts) + 1, BITS), np.int32)
-    np.cumsum(_signs(parts), axis=0, out=sums[1:])
+    np.cumsum(_signs(parts), axis=0, dtype=np.int32, out=sums[1:])
     for n, places in of_length.items():
         span = min(SPAN, n)
         size = min(n, len(words))  # a shorter document is one window
