@@ -171,3 +171,28 @@ def test_long_pages_align_in_many_tasks(spark):
         for n in (0, 10**9)
     ]
     assert both[0] == both[1]
+
+
+def test_settings_over_sequences(spark):
+    from quorumtext.operators import scoring
+
+    texts = {"p": ["buy 7 litres milk", "buy 1 litres of milk", "buy 7 litres of milk"], "q": ["the cat sat", "the cat sat", "cat sat"]}
+    truth = spark.createDataFrame([("p", "buy 7 litres of milk".split()), ("q", "the cat sat".split())], "page_id string, ref array<string>")
+    got = {(r["mask"], r.rule, r.digits_strict, r.drop_minority): r for r in scoring.tune_sequences(readings(spark, texts), truth, ["r0", "r1", "r2"]).collect()}
+    assert len(got) == 4 * 3 * 2 * 2 and {r.ref_words for r in got.values()} == {8}
+    for (mask, rule, digits, drop), r in got.items():
+        own = {p: [t for i, t in enumerate(x) if mask >> i & 1] for p, x in texts.items()}
+        edits = flagged = wrong_flagged = 0
+        for p, x in own.items():
+            cfg = V.vote_columns(V.align_sequences(V.page_frame(readings(spark, {p: x}))), drop) if (mask, rule) in ((7, "two_thirds"), (3, "unanimous")) else None
+            if cfg is None:
+                break
+            words = V.explode_words(cfg, rule, digits).orderBy("idx").collect()
+            want = {"p": "buy 7 litres of milk", "q": "the cat sat"}[p].split()
+            h = [w.text for w in words]
+            ops = [o for o in SequenceMatcher(None, h, want, autojunk=False).get_opcodes() if o[0] != "equal"]
+            edits += sum(max(o[2] - o[1], o[4] - o[3]) for o in ops)
+            flagged += sum(w.flagged for w in words)
+        else:
+            assert (r.word_edits, r.flagged) == (edits, flagged)
+    assert "r9" not in got and not scoring.tune_sequences(readings(spark, {"p": texts["p"]}), truth, ["r0", "r1", "r2"]).collect()
