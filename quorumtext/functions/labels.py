@@ -97,9 +97,23 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def short_number(x: Column) -> Column:
-    """Up to six significant digits without a trailing ``.0``."""
-    rounded = F.round(x, 6).cast("decimal(28,6)").cast("string")
-    return F.regexp_replace(F.regexp_replace(rounded, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """As printf's ``%g``: six significant digits without trailing zeros, with an exponent from a million on."""
+    size = F.abs(x.cast("double"))
+    power = F.floor(F.log10(size)).cast("int")
+    six = F.bround(F.when(power > 5, size / F.pow(F.lit(10.0), power - 5)).otherwise(size * F.pow(F.lit(10.0), 5 - power))).cast("bigint").cast("string")
+    power = power + F.length(six) - 6  # 999999.7 has one digit more when rounded
+    digits = F.regexp_replace(six, "0+$", "")
+    rest = digits.substr(F.lit(2), F.length(digits))
+    exponent = F.concat(F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    plain = (
+        F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+        .when(F.length(digits) <= power + 1, F.rpad(digits, power + 1, F.lit("0")))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), digits.substr(power + 2, F.length(digits))))
+    )
+    short = F.when(
+        (power < -4) | (power > 5), F.concat(F.substring(digits, 1, 1), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""), exponent)
+    ).otherwise(plain)
+    return F.when(size == 0, "0").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), short))
 
 
 def hash_split(stem: Column) -> Column:

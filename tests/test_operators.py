@@ -204,3 +204,9 @@ def test_medians(spark):
     real = lambda k, i: [r[i] for r in rows if r[0] == k and r[i] is not None and r[i] == r[i]]
     assert got == {k: (pytest.approx(median(real(k, 1))), median(real(k, 2))) for k in ("hot", "even", "one", None)}
     assert not medians(df.limit(0), "key", {"x": F.col("x")}).collect()
+
+
+def test_short_number_is_printf_g(spark):
+    values = [0.0, 0.5, 2.5, 1000.0, 1485.25, 12345.75, 123456.25, 123456.5, 123457.5, 222750.25, 999999.5, 999999.75, 1e6, 1234565.0, 2227502.25, 1.5e11, 1e-4, 2.5e-5, -12.5]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").orderBy("i")
+    assert [r.y for r in df.select(L.short_number(F.col("x")).alias("y")).collect()] == ["%g" % v for v in values]
