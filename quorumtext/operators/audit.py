@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from quorumtext.functions import text as X
 from quorumtext.functions.arrow import bench_norm
+from quorumtext.operators.fuzzy import spread
 from quorumtext.operators.selection import medians
 
 # ---------------------------------------------------------------- near copies
@@ -36,7 +37,9 @@ def hamming_join(a: DataFrame, b: DataFrame, distance: int, bits: int = 64, agre
     x = a.select("ha").distinct().select("ha", F.explode(_bands(F.col("ha"), bits, distance, agree)).alias("band"))
     y = b.select("hb").distinct().select("hb", F.explode(_bands(F.col("hb"), bits, distance, agree)).alias("band"))
     d = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    near = x.join(y, "band").where(d <= distance).select("ha", "hb").distinct()
+    # the keys of a hash are many times its size, which Spark's estimate does not see: without the hint a side that is
+    # called small goes through the driver, and without the explicit number few tasks compare all candidates
+    near = spread(x, "band").join(spread(y, "band").hint("merge"), "band").where(d <= distance).select("ha", "hb").distinct()
     return near.withColumn("d", d)
 
 

@@ -115,6 +115,8 @@ def test_hamming_join_equals_brute_force(spark):
     df = spark.createDataFrame([(h,) for h in hashes], "h bigint")
     got = {(r.ha, r.hb) for r in audit.hamming_join(df.select(F.col("h").alias("ha")), df.select(F.col("h").alias("hb")), 2).collect()}
     assert got == {(x, y) for x in set(hashes) for y in set(hashes) if bin(x ^ y).count("1") <= 2}
+    plan = audit.hamming_join(df.select(F.col("h").alias("ha")), df.select(F.col("h").alias("hb")), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("REPARTITION_BY_NUM") == 2
 
 
 def test_chunks(spark):
