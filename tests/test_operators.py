@@ -212,3 +212,35 @@ def test_short_number_is_printf_g(spark):
     values = [0.0, 0.5, 2.5, 1000.0, 1485.25, 12345.75, 123456.25, 123456.5, 123457.5, 222750.25, 999999.5, 999999.75, 1e6, 1234565.0, 2227502.25, 1.5e11, 1e-4, 2.5e-5, -12.5]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").orderBy("i")
     assert [r.y for r in df.select(L.short_number(F.col("x")).alias("y")).collect()] == ["%g" % v for v in values]
+
+
+def test_page_score_on_rows_and_long_pages(spark):
+    import time
+
+    from quorumtext.functions.arrow import bit_distance, edit_trace, long_distance
+
+    rng = random.Random(12)
+    for _ in range(300):
+        a = "".join(rng.choice("abcé ") for _ in range(rng.randint(0, 30)))
+        b = "".join(c if rng.random() > 0.2 else rng.choice(["", "x", "ab"]) for c in a)
+        exact = bit_distance(a, b)
+        assert [long_distance(a, b, k) for k in (None, exact, exact + 3)] == [exact] * 3
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr("quorumtext.functions.arrow.TABLE_CELLS", 0)
+            assert [long_distance(a, b, k) for k in (None, exact, exact + 3)] == [exact] * 3
+    # words replaced by position: no table is filled, however long the page
+    ref = [f"w{rng.randint(0, 5000)}" for _ in range(60_000)]
+    hyp = [w if rng.random() > 0.1 else "[?]" for w in ref]
+    start = time.perf_counter()
+    edits, wrong, wild = edit_trace(hyp, ref)
+    assert time.perf_counter() - start < 5
+    assert edits == sum(wrong) == sum(a != b for a, b in zip(hyp, ref)) and not wild
+    # a shift behind which the words agree again is found as before
+    assert edit_trace(list("xabcdy"), list("abcdyz"))[0] == 2
+
+
+def test_word_edits_by_line(spark):
+    from quorumtext.operators import scoring
+
+    lines = spark.createDataFrame([(1, list("abc"), list("axc")), (2, list("xabcd"), list("abcdx")), (3, list("ab"), list("abc")), (4, [], ["a"])], "i int, h array<string>, r array<string>")
+    assert {r.i: r.edits for r in scoring.word_edits(lines).collect()} == {1: 1, 2: 2, 3: 1, 4: 1}
