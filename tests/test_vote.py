@@ -215,3 +215,26 @@ def test_row_vote_equals_page_vote(spark):
     # a filter on the words must not repeat the tally below the explode
     plan = V.vote_rows(V.positional_rows(pages)).where("flagged")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_distinct(transform(lambda") <= 1
+
+
+def test_split_words_of_a_long_page(spark):
+    import time
+
+    rng = random.Random(9)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(6_000)]
+    split = [p for i, w in enumerate(names) for p in ((w[:4], w[4:]) if i % 12 == 0 else (w,))]
+    slipped = [w[:-1] + "z" if i % 24 == 0 else w for i, w in enumerate(names)]
+    pages = V.page_frame(readings(spark, {"p": [" ".join(split), " ".join(slipped), " ".join(slipped)], "q": ["a b", "ab"], "e": [""]}))
+    start = time.perf_counter()
+    got = {r.page_id: [x.toks for x in r.rd] for r in V.unsplit(pages).collect()}
+    assert time.perf_counter() - start < 40
+    assert got["p"][0] == names and got["p"][1] == slipped and got["q"] == [["a", "b"], ["ab"]] and got["e"] == [[]]
+
+
+def test_near_words_equal_all_pairs():
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(4, 11))) for _ in range(400)})
+    near = arrow.NearWords(words)
+    for w in words[:120]:
+        plain = {o for o in words if arrow.bit_distance(w, o) <= (1 if max(len(w), len(o)) <= 8 else 2)}
+        assert set(near.find(w)) == plain
