@@ -116,6 +116,14 @@ def test_dictionary_needs_a_strict_majority(spark):
     assert out[1].text == "wodget" and out[1].flagged
 
 
+def test_equal_readings_are_one_value(spark):
+    df = words(spark, [row(0, "wodget", {"wodget": 1, "Widget.": 2}), row(1, "wodget", {"widget": 2, "Wodget": 1})])
+    assert repair._doubtful(df).select("spelled").distinct().count() == 1
+    lex = spark.createDataFrame([("widget", "widget")], "key string, word string")
+    got = repair.dictionary_support(df, lex, "near").collect()
+    assert sorted((r.idx, r.best.entry, r.best.support) for r in got) == [(0, "widget", 3), (1, "widget", 3)]
+
+
 def test_consensus_runs_end_to_end(spark):
     df = readings(spark, {"rx": ["Tab Gamaprol 20 mg 1-0-1"] * 3, "n": ["a plain note", "a plain note", "a plane note"]}).withColumn("error", F.lit(None).cast("string"))
     _, pages = pipeline.consensus(df)
