@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorumtext.functions import arrow
-from quorumtext.operators import pipeline, repair, review
+from quorumtext.functions import text as X
+from quorumtext.operators import pipeline, repair, review, scoring, similarity
 from quorumtext.operators import voting as V
 
 
@@ -246,3 +247,28 @@ def test_near_words_equal_all_pairs():
     for w in words[:120]:
         plain = {o for o in words if arrow.bit_distance(w, o) <= (1 if max(len(w), len(o)) <= 8 else 2)}
         assert set(near.find(w)) == plain
+
+
+def test_rows_that_stand_for_several_words(spark):
+    df = spark.createDataFrame([(1.0, True, 3), (1.0, False, 1), (0.6, True, 2)], "confidence double, right boolean, n long")
+    got = {(r.words, r.right) for r in scoring.calibration(df).collect()}
+    assert got == {(4, 3), (2, 2)}
+    cells = spark.createDataFrame([(["a", "a"], [False, False], "a", 5)], "keys array<string>, digits array<boolean>, truth string, n long")
+    assert [r["columns"] for r in scoring.vote_signatures(cells, 2).collect()] == [5]
+
+
+def test_similarity_of_cells_is_that_of_reader_rows(spark):
+    cells = spark.createDataFrame([(1, ["a.", "A", "b"]), (1, ["b", "b", "b"]), (1, ["c", None, "c"]), (2, ["x", "x", "x"])], "page_id int, toks array<string>")
+    each = cells.select("page_id", F.posexplode("toks").alias("i", "t")).where("t is not null")
+    rows = each.select("page_id", F.concat(F.lit("r"), F.col("i").cast("string")).alias("reader"), X.key(F.col("t")).alias("key"))
+    names = ["r0", "r1", "r2"]
+    plain, got = similarity.pair_similarity(rows, names), similarity.cell_similarity(cells, names)
+    assert sorted(plain.collect()) == sorted(got.collect())
+
+
+def test_no_text_moves_to_count_readers(spark):
+    df = spark.createDataFrame([(1, 0, "a", "long text", None), (1, 0, "a", " ", "gone"), (1, 1, "b", "", None)], "page_id int, slot int, reader string, text string, error string")
+    out = review.page_readers(df)
+    assert [tuple(r) for r in out.collect()] == [(1, 1, 1)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "THEN x" in plan
