@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorumtext.functions import text as X
+
 
 def pair_similarity(tokens: DataFrame, readers: list[str]) -> DataFrame:
     """(page_id, reader, score): summed 2M/T of a reader with all others, M = shared keys with multiplicity.
@@ -14,6 +16,20 @@ def pair_similarity(tokens: DataFrame, readers: list[str]) -> DataFrame:
     """
     count = [F.count_if(F.col("reader") == r).alias(f"c{i}") for i, r in enumerate(readers)]
     per_key = tokens.groupBy("page_id", "key").agg(*count)
+    return _similarity(per_key, readers)
+
+
+def cell_similarity(cells: DataFrame, readers: list[str]) -> DataFrame:
+    """`pair_similarity` of aligned cells (page_id, toks in the order of `readers`): a word all wrote alike is one row for
+    all of them, and keys are made of the distinct words of a page."""
+    each = cells.select("page_id", "toks", F.explode(F.array_distinct("toks")).alias("tok")).where("tok is not null")
+    same = [(F.get("toks", F.lit(i)) == F.col("tok")) for i in range(len(readers))]
+    per_word = each.groupBy("page_id", "tok").agg(*[F.count_if(s).alias(f"c{i}") for i, s in enumerate(same)])
+    counts = [F.sum(f"c{i}").alias(f"c{i}") for i in range(len(readers))]
+    return _similarity(per_word.withColumn("key", X.key(F.col("tok"))).groupBy("page_id", "key").agg(*counts), readers)
+
+
+def _similarity(per_key: DataFrame, readers: list[str]) -> DataFrame:
     n = range(len(readers))
     sums = [F.sum(f"c{i}").alias(f"s{i}") for i in n]
     shared = [F.sum(F.least(f"c{i}", f"c{j}")).alias(f"m{i}_{j}") for i in n for j in n if i < j]
