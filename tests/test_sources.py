@@ -176,3 +176,9 @@ def test_json_and_markdown_exports(spark):
     assert [w["text"] for w in doc["words"]] == ["Tab", "alfa", "10", "mg"] and [w["verified"] for w in doc["words"]] == [True, True, False, True]
     text = exports.to_markdown(words, pages, drugs).first().value
     assert "| alfa | 10 mg | Tab | OD | - | Check dose: too much |" in text and "- Models that read it: 3 (1 failed)" in text and "**[[10?]]**" in text
+
+
+def test_exports_gather_marked_words_only(spark):
+    df = spark.createDataFrame([(1, 0, "ab", False), (1, 1, "c", True)], "page_id int, idx int, text string, flagged boolean")
+    p = exports._bodies(df).collect()[0]
+    assert (p.body, p.marked) == ("ab [[c?]]", 1)
