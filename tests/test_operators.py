@@ -91,6 +91,20 @@ def test_fuzzy_top_equals_close_matches(spark):
     assert got == {w: m for w in words if (m := get_close_matches(w, vocab, n=3, cutoff=0.7))}
 
 
+def test_ratio_join_moves_words_in_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("aabcdefé日") for _ in range(rng.randint(1, 9))) for _ in range(300)}) + ["ab" * 40, "a" * 30, "zz"]
+    entries = sorted({"".join(rng.choice("aabcdefé日") for _ in range(rng.randint(1, 9))) for _ in range(200)}) + ["ab" * 39, "a" * 20]
+    a, b = (spark.createDataFrame([(w,) for w in m], f"{n} string") for m, n in ((words, "word"), (entries, "entry")))
+    monkeypatch.setattr(fuzzy, "ENTRIES", 50)
+    pairs = fuzzy.fuzzy_pairs(a, b, 0.7)
+    ratios = {(w, e): SequenceMatcher(None, e, w).ratio() for w in words for e in entries}
+    assert {(r.word, r.entry): r.ratio for r in pairs.collect()} == {p: r for p, r in ratios.items() if r >= 0.7}
+    # no keys are made of a word in a row of its own, and no pair moves before it is judged
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "MapInArrow" in plan
+
+
 def test_ratio_join_equals_brute_force_and_looks_at_few_pairs(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("aabbcdefé") for _ in range(rng.randint(1, 9))) for _ in range(150)]
