@@ -207,6 +207,26 @@ def test_settings_over_sequences(spark):
     assert "r9" not in got and not scoring.tune_sequences(readings(spark, {"p": texts["p"]}), truth, ["r0", "r1", "r2"]).collect()
 
 
+def test_settings_compare_a_subset_of_a_page_at_most_twice(spark, monkeypatch):
+    from quorumtext.operators import scoring
+
+    texts = {"p": ["one two 3 four", "one two extra 3 four", "one too 8 four more"], "q": ["a b", "a b", "a b"], "e": [" ", "x", "x"]}
+    truth = spark.createDataFrame([("p", "one two 3 four".split()), ("q", ["a", "b"]), ("e", ["x"])], "page_id string, ref array<string>")
+    real, rows = scoring.page_edits, []
+    monkeypatch.setattr(scoring, "page_edits", lambda pages: (rows.append(pages.count()), real(pages))[1])
+    got = {(r["mask"], r.rule, r.digits_strict, r.drop_minority): r for r in scoring.tune_sequences(readings(spark, texts), truth, ["r0", "r1", "r2"]).collect()}
+    assert rows[0] <= 2 * 4 * 3 and len(got) == 4 * 3 * 2 * 2
+    for mask in (6, 7):
+        own = {p: [t if mask >> i & 1 else "" for i, t in enumerate(x)] for p, x in texts.items()}
+        r = readings(spark, own).where("trim(text) <> ''")
+        for drop in (True, False):
+            words = V.vote_columns(V.align_sequences(V.page_frame(r)), drop)
+            for rule, digits in (("unanimous", True),) if drop else (("majority", False),):
+                hyp = scoring.evaluation_words(V.explode_words(words, rule, digits))
+                want = scoring.page_score(hyp.join(truth, "page_id")).agg(*[F.sum(c).alias(c) for c in scoring.COUNTS]).first()
+                assert [got[mask, rule, digits, drop][c] for c in scoring.COUNTS] == list(want)
+
+
 def test_row_vote_equals_page_vote(spark):
     texts = {
         "even": ["Tab 20 mg\nthe cat", "tab 20 mg\nthe [cat]", "Tab 29 mg\nThe [?]"],
