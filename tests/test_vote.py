@@ -307,3 +307,30 @@ def test_no_text_moves_to_count_readers(spark):
     assert [tuple(r) for r in out.collect()] == [(1, 1, 1)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "THEN x" in plan
+
+
+def test_blocks_as_difflib_on_lists_that_repeat():
+    import random
+    import time
+    from difflib import SequenceMatcher
+
+    from quorumtext.functions import arrow, matching
+
+    rnd = random.Random(4)
+    for n in (5, 40, 250):
+        for kinds in (1, 2, 5, 40, 400):
+            for _ in range(8):
+                a = [str(int(kinds * rnd.random() ** 2)) for _ in range(n)]
+                b = [w for w in a if rnd.random() > 0.1] + [str(rnd.randrange(kinds)) for _ in range(rnd.randrange(4))]
+                for junk in (True, False):
+                    found = matching.blocks(*arrow._as_words(a, b), junk)
+                    want = SequenceMatcher(None, a, b, autojunk=junk)
+                    assert sum(k for _, _, k in found) == sum(m.size for m in want.get_matching_blocks())
+                slots, _ = arrow._pair_up(a, b)
+                assert [slots[i + k] - j for i, j, size in want.get_matching_blocks() for k in range(size)] == [
+                    k for _, _, size in want.get_matching_blocks() for k in range(size)]
+    # one word over and over was walked through for every block
+    long = ["ha" if rnd.random() > 0.05 else str(rnd.randrange(9)) for _ in range(4000)]
+    began = time.time()
+    arrow._pair_up(long, [w for w in long if rnd.random() > 0.03])
+    assert time.time() - began < 5
