@@ -334,3 +334,16 @@ def test_blocks_as_difflib_on_lists_that_repeat():
     began = time.time()
     arrow._pair_up(long, [w for w in long if rnd.random() > 0.03])
     assert time.time() - began < 5
+
+
+def test_lists_of_a_slice_with_nulls():
+    import pyarrow as pa
+
+    from quorumtext.functions import arrow
+
+    column = pa.array([["x"], ["a", None], None, [], ["b"]], pa.list_(pa.string()))
+    assert arrow._lists(column.slice(1)) == [["a", None], [], [], ["b"]]
+    rows = [[{"toks": ["re", "member"], "keys": ["re", "member"], "word": [True] * 2, "plain": [True] * 2}, {"toks": ["remember"], "keys": ["remember"], "word": [True], "plain": [True]}], None, []]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2, 3]), pa.array([None, *rows])], names=["page_id", "__readers"])
+    out = next(arrow.with_joined([batch.slice(1)]))
+    assert out.column("__to").to_pylist() == [[[1], None], None, []]
